@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -29,10 +28,25 @@ class CadenceRule:
 
 
 def _glob_to_regex(pattern: str) -> str:
-    """Whole-name match of a glob in Java syntax."""
-    translated = fnmatch.translate(pattern)
-    body = re.sub(r"\(\?P?>", "(?>", translated)
-    return body.replace(r"\Z", r"\z").replace(r"\z", r"\z")
+    """Whole-name match of a glob, in Java syntax."""
+    out, i = [], 0
+    while i < len(pattern):
+        ch = pattern[i]
+        end = pattern.find("]", i + 2 + pattern.startswith("!", i + 1)) if ch == "[" else -1
+        if ch == "*":
+            out.append(".*")
+        elif ch == "?":
+            out.append(".")
+        elif end > 0:
+            body = pattern[i + 1 : end]
+            negated = body.startswith("!")
+            chars = re.sub(r"([\\\[\]^&~|])", r"\\\1", body[1:] if negated else body)
+            out.append(f"[{'^' if negated else ''}{chars}]")
+            i = end
+        else:
+            out.append(re.escape(ch))
+        i += 1
+    return rf"(?s)\A{''.join(out)}\z"
 
 
 def name_matches(pattern: str, name: ColumnOrName) -> Column:
