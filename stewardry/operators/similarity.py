@@ -87,7 +87,7 @@ def overlap_join(
     # A pair that shares several prefix items is kept at the first of them only.
     first_shared = F.element_at(F.array_intersect("a_prefix_items", "b_prefix_items"), 1)
     condition = condition & keep(side("a"), side("b")) & (first_shared == F.col("a_item"))
-    out = ["id", *carry]
+    out = ["id", "items", *carry]
     return a.join(b, condition).select(*[f"a_{c}" for c in out], *[f"b_{c}" for c in out])
 
 
@@ -101,7 +101,7 @@ def jaccard_pairs(sets: DataFrame, threshold: float, block: Sequence[str] = (),
         large = F.greatest(F.size(a("items")), F.size(b("items"))).cast("double")
         return (small >= large * F.lit(t) - F.lit(EPS)) & (jaccard(a("items"), b("items")) >= F.lit(t - EPS))
 
-    pairs = overlap_join(sets, block, prefix, keep, ["items", *carry])
+    pairs = overlap_join(sets, block, prefix, keep, carry)
     return pairs.withColumn("jaccard", jaccard("a_items", "b_items"))
 
 
@@ -324,7 +324,7 @@ def _pairs_by_stem_and_word(near: DataFrame, described: DataFrame, settings: Sim
     def keep(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
         return ((a("role") != b("role")) | a("same")) & (jaccard(a("items"), b("items")) >= a("gap") - F.lit(EPS))
 
-    joined = overlap_join(sets, ["stem_pair"], prefix, keep, ["items", *carry])
+    joined = overlap_join(sets, ["stem_pair"], prefix, keep, carry)
     # Ids start with the role, so side a of the join is side a of the stem pair.
     return joined.select(
         F.col("a_cls").alias("a_id"),

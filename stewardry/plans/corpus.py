@@ -67,7 +67,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         sha256_hex("text").alias("sha256"),
         F.trim(F.substring(F.regexp_replace("text", r"[\r\n\t ]+", " "), 1, 120)).alias("summary"),
         F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("doc_id") * 60_000_000).alias("last_analyzed_utc"),
-    )
+    ).withColumn("last_checked_utc", F.col("last_analyzed_utc"))
 
 
 CORPUS_SQL = r"""
@@ -131,7 +131,6 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governed.select(
         "*",
         F.substring(F.sha2("path", 256), 1, 32).alias("file_id"),
-        F.col("last_analyzed_utc").alias("last_checked_utc"),
         chosen["ids"].alias("category_ids"),
         chosen["needs_review"].alias("category_needs_review"),
         F.lit(None).cast("string").alias("last_change_summary"),
@@ -273,11 +272,11 @@ near AS (
   SELECT a.path AS anchor_path, a.us AS anchor_us, a.ord AS ord, e.path AS path, min((e.us, e.ord)) AS seen
   FROM fs_events a JOIN fs_events e ON a.folder = e.folder AND a.path <> e.path
     AND e.us BETWEEN a.us - {window_minutes * 60_000_000} AND a.us + {window_minutes * 60_000_000}
-  GROUP BY ALL),
+  GROUP BY a.path, a.us, a.ord, e.path),
 bundles AS MATERIALIZED (
   SELECT anchor_path, anchor_us, ord, list(path ORDER BY seen, path) AS related_paths,
     substr(sha256(anchor_path || '|' || printf('%.3f', anchor_us / 1e6) || '|' || string_agg(path, ',' ORDER BY seen, path)), 1, 12) AS bundle_id
-  FROM near GROUP BY ALL ORDER BY anchor_us DESC, ord DESC LIMIT {max_bundles})"""
+  FROM near GROUP BY anchor_path, anchor_us, ord ORDER BY anchor_us DESC, ord DESC LIMIT {max_bundles})"""
 
 
 def document_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:

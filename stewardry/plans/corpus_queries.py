@@ -108,7 +108,7 @@ def summary_histories(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "recent_changes",
     c.VERSIONS_SQL,
-    sql=f"""SELECT path, change_summary, strftime(last_analyzed_utc, {_TS}) AS utc FROM (
+    sql=f"""SELECT path, trim(change_summary) AS change_summary, strftime(last_analyzed_utc, {_TS}) AS utc FROM (
       SELECT * FROM changes WHERE change_summary IS NOT NULL
       QUALIFY row_number() OVER (PARTITION BY path ORDER BY last_analyzed_utc DESC, ord DESC) = 1)
       ORDER BY last_analyzed_utc DESC, ord LIMIT 20""",
@@ -341,11 +341,11 @@ conversations AS (
     count(*) AS member_count, count(*) FILTER (CAST(last_analyzed_utc AS DATE) = DATE '2024-01-01') AS today_n,
     min(security_level) AS max_security, arg_min(summary, pos) AS one_liner, 0 AS k, 0 AS size, first_ord AS f, '' AS gk
   FROM shown GROUP BY folder, first_ord HAVING count(*) >= 2),
-threads AS MATERIALIZED (
+threads AS MATERIALIZED (SELECT * FROM (
   SELECT * FROM conversations UNION ALL
   SELECT 'ver:' || substr(group_key, 1, 80), 'version', group_key, NULL, arg_min(path, pos), max(last_analyzed_utc), count(*),
     count(*) FILTER (CAST(last_analyzed_utc AS DATE) = DATE '2024-01-01'), min(security_level), arg_min(summary, pos), 1, size, 0, group_key
-  FROM listed GROUP BY group_key, size
+  FROM listed GROUP BY group_key, size)
   ORDER BY last_utc DESC, k, size DESC, f, gk LIMIT 40)"""
 _THREADS_SQL = c.MEMBERS_SQL + _FOLDERS_SQL
 
@@ -672,8 +672,9 @@ _CADENCE = (
     CadenceRule("weekly_n", "n*_v2.md", "Weekly notes"),
     CadenceRule("monthly_docx", r"\.docx$", "", "monthly", "src1/"),
     CadenceRule("brackets", "n[0-4]?*.TXT", "Bracketed", "weekly"),
-    CadenceRule("absent", "(", "Absent", "weekly"),
+    CadenceRule("invalid", "(1", "Invalid pattern", "weekly"),
     CadenceRule("late", "*", "Late", "weekly", "/elsewhere/"),
+    CadenceRule("never", "zzz*", "Never", "monthly"),
 )
 
 
@@ -694,8 +695,8 @@ lines AS (
   UNION ALL SELECT 4, 'mismatch', 'level differs from the model: ' || mismatch FROM metrics WHERE mismatch > 0
   UNION ALL SELECT 5, 'skip_sensitive', 'unclassified with a sensitive name: ' || skip_sensitive FROM metrics WHERE skip_sensitive > 0
   UNION ALL SELECT 5, 'skip', 'unclassified: ' || skip_extract FROM metrics WHERE skip_sensitive = 0 AND skip_extract > 0
-  UNION ALL SELECT 103, 'cadence', 'periodic document missing: Absent: not found (pattern=()'
-  UNION ALL SELECT 104, 'cadence', 'periodic document missing: Late: not found (pattern=*)')"""
+  UNION ALL SELECT 104, 'cadence', 'periodic document missing: Late: not found (pattern=*)'
+  UNION ALL SELECT 105, 'cadence', 'periodic document missing: Never: not found (pattern=zzz*)')"""
 
 
 @query("action_lines", _METRICS_SQL, _ACTIONS_SQL, sql="SELECT CAST(p AS BIGINT) AS priority, code, message FROM lines ORDER BY p LIMIT 6")
@@ -713,7 +714,7 @@ def action_lines(spark: SparkSession, sf: str) -> DataFrame:
         CASE WHEN skip_sensitive > 0 THEN ', of which sensitive file names: ' || skip_sensitive ELSE '' END END AS blind_spot,
       (SELECT arg_max(inference_source, last_analyzed_utc) FROM files) AS last_inference_backend,
       (SELECT string_agg(message, ';' ORDER BY p) FROM (SELECT * FROM lines ORDER BY p LIMIT 4)) AS actions,
-      'Absent: not found (pattern=();Late: not found (pattern=*)' AS cadence_misses, CAST(0 AS BIGINT) AS threads FROM metrics""",
+      'Late: not found (pattern=*);Never: not found (pattern=zzz*)' AS cadence_misses, CAST(0 AS BIGINT) AS threads FROM metrics""",
 )
 def digest_payload(spark: SparkSession, sf: str) -> DataFrame:
     payload = digest.digest_payload(c.files(spark, sf), c.skips(spark, sf), c.audit(spark, sf), _AS_OF, _CADENCE)
@@ -744,7 +745,8 @@ found AS (
   SELECT 0 AS ord, 'weekly_n' AS id, arg_max(path, (last_analyzed_utc, -ord)) FILTER (week AND regexp_full_match(name, 'n.*_v2\.md')) AS latest FROM named
   UNION ALL SELECT 1, 'monthly_docx', arg_max(path, (last_analyzed_utc, -ord)) FILTER (month AND name LIKE '%.docx' AND contains(path, 'src1/')) FROM named
   UNION ALL SELECT 2, 'brackets', arg_max(path, (last_analyzed_utc, -ord)) FILTER (week AND regexp_full_match(name, 'n[0-4]..*\.txt')) FROM named
-  UNION ALL SELECT 3, 'absent', NULL UNION ALL SELECT 4, 'late', NULL)"""
+  UNION ALL SELECT 3, 'invalid', arg_max(path, (last_analyzed_utc, -ord)) FILTER (week AND contains(name, '(1')) FROM named
+  UNION ALL SELECT 4, 'late', NULL UNION ALL SELECT 5, 'never', NULL)"""
 )
 
 
