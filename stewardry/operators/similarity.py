@@ -26,7 +26,7 @@ from ..functions.text import (
     strip,
     summary_tokens,
 )
-from ..session import cut_lineage
+from ..session import cut_lineage, shuffle_partitions
 
 EPS = 1e-9
 SALT_ROWS = 2_000
@@ -75,6 +75,9 @@ def overlap_join(
     left = posted.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
     right = posted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     key = [*block, "item", "salt"]
+    # Few bytes make many comparisons here, so partitions must not be merged by their size.
+    parts = shuffle_partitions(sets.sparkSession)
+    left, right = left.repartition(parts, *key), right.repartition(parts, *key)
     a = left.select([F.col(c).alias(f"a_{c}") for c in left.columns])
     b = right.select([F.col(c).alias(f"b_{c}") for c in right.columns])
 
@@ -91,15 +94,23 @@ def overlap_join(
     return a.join(b, condition).select(*[f"a_{c}" for c in out], *[f"b_{c}" for c in out])
 
 
-def jaccard_pairs(sets: DataFrame, threshold: float, block: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
-    """Pairs of ``sets(id, items)`` with a Jaccard index of at least ``threshold`` (> 0)."""
+def jaccard_pairs(
+    sets: DataFrame,
+    threshold: float,
+    block: Sequence[str] = (),
+    carry: Sequence[str] = (),
+    also: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
+) -> DataFrame:
+    """Pairs of ``sets(id, items)`` with a Jaccard index of at least ``threshold`` (> 0) for which
+    ``also(a, b)`` holds."""
     t = float(threshold)
     prefix = F.size("items") - F.ceil(F.size("items") * F.lit(t) - F.lit(EPS)).cast("int") + 1
 
     def keep(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
         small = F.least(F.size(a("items")), F.size(b("items"))).cast("double")
         large = F.greatest(F.size(a("items")), F.size(b("items"))).cast("double")
-        return (small >= large * F.lit(t) - F.lit(EPS)) & (jaccard(a("items"), b("items")) >= F.lit(t - EPS))
+        near = (small >= large * F.lit(t) - F.lit(EPS)) & (jaccard(a("items"), b("items")) >= F.lit(t - EPS))
+        return near if also is None else near & also(a, b)
 
     pairs = overlap_join(sets, block, prefix, keep, carry)
     return pairs.withColumn("jaccard", jaccard("a_items", "b_items"))
@@ -118,6 +129,7 @@ def stem_ratio_udf() -> Callable[[Column, Column], Column]:
 def _with_ratios(pairs: DataFrame) -> DataFrame:
     """Add the ratio of ``a_stem, b_stem`` in both orders. Equal stems need no Python."""
     ratio = stem_ratio_udf()
+    pairs = cut_lineage(pairs)  # read twice below
     stems = pairs.select("a_stem", "b_stem").filter(F.col("a_stem") != F.col("b_stem")).distinct()
     scored = stems.select(
         F.col("a_stem").alias("_sa"),
@@ -150,7 +162,7 @@ def stem_pairs(stems: DataFrame, min_ratio: float) -> DataFrame:
     base = stems.select("ext", "stem").distinct().withColumn("id", F.concat_ws("\x1f", "ext", "stem"))
 
     def bound_ok(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
-        total = (F.length(a("stem")) + F.length(b("stem"))).cast("double")
+        total = (F.size(a("chars")) + F.size(b("chars"))).cast("double")
         shared = F.size(F.array_intersect(a("chars"), b("chars"))).cast("double")
         return (F.lit(2.0) * shared / total) >= F.lit(r - EPS)
 
@@ -284,17 +296,21 @@ _PAIR = ["a_id", "b_id", "jaccard", "both", "ratio_ab", "ratio_ba", *[f"{s}_{o}"
 
 
 def _pairs_by_words(described: DataFrame, low: float, settings: SimilaritySettings) -> DataFrame:
+    """Pairs found by their words. The characters two stems share bound their ratio from above, so
+    that hardly any pair without a chance leaves the join."""
     sets = described.filter(F.size("tokens") > 0).select(
-        F.col("cls").alias("id"), F.col("tokens").alias("items"), "ext", "stem", *_ORDERS
-    )
-    near = jaccard_pairs(sets, low, ["ext"], ["stem", *_ORDERS])
-    shared = F.size(F.array_intersect(numbered_grams("a_stem", 1), numbered_grams("b_stem", 1))).cast("double")
-    total = (F.length("a_stem") + F.length("b_stem")).cast("double")
-    best_ratio = F.when(total > 0, F.lit(2.0) * shared / total).otherwise(F.lit(1.0))
-    possible = near.filter(
-        pair_score(best_ratio, F.col("jaccard"), F.lit(True), settings) >= F.lit(settings.threshold - EPS)
+        F.col("cls").alias("id"), F.col("tokens").alias("items"), "ext", "stem", numbered_grams("stem", 1).alias("chars"), *_ORDERS
     )
-    return _with_ratios(possible).withColumn("both", F.lit(True)).select(*_PAIR)
+
+    def reachable(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+        total = (F.size(a("chars")) + F.size(b("chars"))).cast("double")
+        shared = F.size(F.array_intersect(a("chars"), b("chars"))).cast("double")
+        best_ratio = F.when(total > 0, F.lit(2.0) * shared / total).otherwise(F.lit(1.0))
+        score = pair_score(best_ratio, jaccard(a("items"), b("items")), F.lit(True), settings)
+        return score >= F.lit(settings.threshold - EPS)
+
+    near = jaccard_pairs(sets, low, ["ext"], ["stem", "chars", *_ORDERS], reachable)
+    return _with_ratios(near).withColumn("both", F.lit(True)).select(*_PAIR)
 
 
 def _pairs_by_stem_and_word(near: DataFrame, described: DataFrame, settings: SimilaritySettings) -> DataFrame:

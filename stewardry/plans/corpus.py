@@ -26,6 +26,7 @@ from ..operators.routing import route, skip_events
 from ..operators.versions import assign_file_ids, last_changes, self_changes
 from ..sources.files import extract
 from ..functions.times import as_timestamp
+from ..session import cut_lineage, spread
 
 RULES = (
     Rule("email", r"[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}", min_level="P1", hint="e-mail address"),
@@ -47,7 +48,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     group = F.floor(F.col("doc_id") / 4)
     suffix = (
         F.when(F.col("doc_id") % 4 == 0, "").when(F.col("doc_id") % 4 == 1, " (1)").when(F.col("doc_id") % 4 == 2, " - copy").otherwise("_v2")
@@ -175,6 +176,11 @@ files AS MATERIALIZED (
 )
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Written out without its text, as a governance table that several operators read would be."""
+    return cut_lineage(df.drop("text", "hits"))
+
+
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files with the component made of their copy key."""
     return assign_components(files(spark, sf_dir), "filename_key")
@@ -330,12 +336,16 @@ skips AS (
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit rows of the files a real model classified; some of the others only as copies."""
+    return audit_of(files(spark, sf_dir))
+
+
+def audit_of(governed: DataFrame) -> DataFrame:
+    """Audit rows; those of files without a real model name a copy of the file."""
     note = audit_note(
         F.concat(F.lit("keep with\n"), F.col("lang")),
         F.when(F.col("security_level") == "P1", "redact_before_external").when(F.col("source") == "src1", "nowhere").otherwise("ok_external"),
     )
-    rows = build_audit_rows(files(spark, sf_dir).withColumn("_note", note), "_note", {"P1": "Secret", "P2": "Sensitive"})
+    rows = build_audit_rows(governed.withColumn("_note", note), "_note", {"P1": "Secret", "P2": "Sensitive"})
     copied = F.when(F.col("source") == "mock", F.concat(F.lit("copy of "), "file")).otherwise(F.col("file"))
     return rows.withColumn("file", copied)
 

@@ -351,7 +351,7 @@ _THREADS_SQL = c.MEMBERS_SQL + _FOLDERS_SQL
 
 
 def _threads(spark: SparkSession, sf: str) -> DataFrame:
-    return build_threads(c.members(spark, sf), c.ROOTS, "2024-01-01 12:00:00", max_threads=40)
+    return build_threads(c.stored(c.members(spark, sf)), c.ROOTS, "2024-01-01 12:00:00", max_threads=40)
 
 
 @query(
@@ -416,9 +416,9 @@ def folders_by_bundle(spark: SparkSession, sf: str) -> DataFrame:
       ORDER BY last_utc DESC, k, size DESC, f, gk LIMIT 1""",
 )
 def thread_of_newest(spark: SparkSession, sf: str) -> DataFrame:
-    files = c.files(spark, sf)
+    files = c.stored(c.files(spark, sf))
     newest = files.orderBy(*search.newest_first()).select("path").first().path
-    return search.thread_of(files, _threads(spark, sf), path=newest.upper()).select("id", "kind")
+    return search.thread_of(files, c.stored(_threads(spark, sf)), path=newest.upper()).select("id", "kind")
 
 
 @query(
@@ -430,10 +430,10 @@ top AS (SELECT * FROM threads ORDER BY last_utc DESC, k, size DESC, f, gk LIMIT
       UNION ALL SELECT top.id, top.kind, pos - 1, path, '' FROM top JOIN listed ON top.k = 1 AND listed.group_key = top.gk""",
 )
 def thread_lineage(spark: SparkSession, sf: str) -> DataFrame:
-    files = c.files(spark, sf)
-    newest = files.orderBy(*search.newest_first()).select("path").first().path
-    thread = search.thread_of(files, _threads(spark, sf), path=newest)
-    return search.lineage_of(files, thread).select(
+    files = c.stored(c.files(spark, sf))
+    threads = c.stored(_threads(spark, sf))
+    newest = threads_top(threads, 1).first().id
+    return search.lineage_of(files, search.thread_of(files, threads, thread_id=newest)).select(
         "thread_id", "kind", F.col("position").cast("long").alias("position"), "path", "last_change_summary"
     )
 
@@ -679,7 +679,8 @@ _CADENCE = (
 
 
 def _metrics(spark: SparkSession, sf: str) -> DataFrame:
-    return digest.metrics_row(digest.metrics(c.files(spark, sf), c.skips(spark, sf), c.audit(spark, sf), _AS_OF))
+    files = c.stored(c.files(spark, sf))
+    return digest.metrics_row(digest.metrics(files, c.skips(spark, sf), c.audit_of(files), _AS_OF))
 
 
 @query("digest_metrics", _METRICS_SQL, sql="SELECT * FROM metrics")
@@ -701,7 +702,7 @@ lines AS (
 
 @query("action_lines", _METRICS_SQL, _ACTIONS_SQL, sql="SELECT CAST(p AS BIGINT) AS priority, code, message FROM lines ORDER BY p LIMIT 6")
 def action_lines(spark: SparkSession, sf: str) -> DataFrame:
-    cadence = evaluate_cadence(c.files(spark, sf), _CADENCE, _AS_OF)
+    cadence = evaluate_cadence(c.corpus(spark, sf), _CADENCE, _AS_OF)
     return digest.action_lines(_metrics(spark, sf), cadence, 6).withColumn("priority", F.col("priority").cast("long"))
 
 
@@ -717,7 +718,8 @@ def action_lines(spark: SparkSession, sf: str) -> DataFrame:
       'Late: not found (pattern=*);Never: not found (pattern=zzz*)' AS cadence_misses, CAST(0 AS BIGINT) AS threads FROM metrics""",
 )
 def digest_payload(spark: SparkSession, sf: str) -> DataFrame:
-    payload = digest.digest_payload(c.files(spark, sf), c.skips(spark, sf), c.audit(spark, sf), _AS_OF, _CADENCE)
+    files = c.stored(c.files(spark, sf))
+    payload = digest.digest_payload(files, c.skips(spark, sf), c.audit_of(files), _AS_OF, _CADENCE)
     return payload.select(
         "today_classified", "p1", "p2", "tracked_files", "skip_extract", "skip_sensitive", "blind_spot", "last_inference_backend",
         F.array_join("actions", ";").alias("actions"), F.array_join("cadence_misses", ";").alias("cadence_misses"),
@@ -804,7 +806,7 @@ def _damaged(spark: SparkSession, sf: str) -> DataFrame:
       WHERE security_level IN ('P1', 'P2') AND NOT EXISTS (SELECT 1 FROM audit WHERE contains(audit.file || ' ' || audit.note, damaged.name))""",
 )
 def governance_lint(spark: SparkSession, sf: str) -> DataFrame:
-    return lint.governance_lint(_damaged(spark, sf), c.audit(spark, sf), match="substring")
+    return lint.governance_lint(c.stored(_damaged(spark, sf)), c.stored(c.audit(spark, sf)), match="substring")
 
 
 @query(

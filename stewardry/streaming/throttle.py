@@ -6,13 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-_SUMMARY = "path string, bucket long, thresholds array<long>, exits array<long>"
-_ENTRY = "path string, bucket long, entry long"
-
 
 def _first_allowed(us: np.ndarray, last: int | None, gap: int) -> int:
     return 0 if last is None else int(np.searchsorted(us, last + gap))
@@ -28,7 +25,7 @@ def passing(us: np.ndarray, last: int | None, gap: int) -> list[int]:
 
 
 def throttle(events: DataFrame, seconds: float = 2.0, bucket_seconds: int = 3600) -> DataFrame:
-    """The events of ``events(path, event_ts, ord)`` that pass.
+    """The events of ``events(path, event_ts, ord)`` that pass, as ``path, event_ts, ord``.
 
     A path is cut into time buckets that are worked on independently: each bucket first says how
     it would end for every way it can be entered (only its first ``seconds`` matter for that), the
@@ -38,50 +35,52 @@ def throttle(events: DataFrame, seconds: float = 2.0, bucket_seconds: int = 3600
     gap = int(max(0.0, seconds) * 1_000_000)
     width = int(max(bucket_seconds, seconds, 1) * 1_000_000)
     if gap == 0:
-        return events
-    timed = events.withColumn("us", F.unix_micros("event_ts")).withColumn("bucket", F.floor(F.col("us") / F.lit(width)).cast("long"))
-
-    def summarize(pdf: pd.DataFrame) -> pd.DataFrame:
-        us = np.sort(pdf["us"].to_numpy())
-        follow = np.searchsorted(us, us + gap)
-        end = us.copy()
-        for i in range(len(us) - 1, -1, -1):
-            if follow[i] < len(us):
-                end[i] = end[follow[i]]
-        start = int(pdf["bucket"].iloc[0]) * width
-        reach = min(int(np.searchsorted(us, start + gap)), len(us) - 1)
-        # Later entries never end earlier, so one threshold per distinct end is enough.
-        best: dict[int, int] = {}
-        for i in range(reach + 1):
-            best[int(end[i])] = int(us[i])
-        return pd.DataFrame(
-            {"path": [pdf["path"].iloc[0]], "bucket": [pdf["bucket"].iloc[0]], "thresholds": [list(best.values())], "exits": [list(best)]}
+        return events.select("path", "event_ts", "ord")
+    us = F.unix_micros("event_ts")
+    buckets = (
+        events.groupBy("path", F.floor(us / F.lit(width)).cast("long").alias("bucket"))
+        .agg(F.sort_array(F.collect_list(F.struct(us.alias("us"), F.col("ord")))).alias("seen"))
+    )
+    times = F.transform("seen", lambda e: e["us"])
+    step = lambda last, t: F.when(t >= last + gap, t).otherwise(last)
+    # An entry decides which event passes first: one of those early in the bucket or the first
+    # after them. Later first events never end the bucket earlier.
+    early = (F.col("bucket") * width) + gap
+    firsts = F.array_distinct(F.filter(times, lambda t: (t < early) | (t == F.array_min(F.filter(times, lambda x: x >= early)))))
+    ways = F.transform(
+        firsts, lambda f: F.struct(f.alias("first"), F.aggregate(F.filter(times, lambda t: t >= f), f, step).alias("end"))
+    )
+    none = F.lit(None).cast("long")
+    entries_type = "array<struct<bucket:bigint,entry:bigint>>"
+
+    def follow(state: Column, b: Column) -> Column:
+        last = state["last"]
+        taken = F.filter(b["ways"], lambda w: last.isNull() | (w["first"] >= last + gap))
+        end = F.when(F.size(taken) > 0, F.element_at(taken, 1)["end"])
+        return F.struct(
+            F.coalesce(end, last).alias("last"),
+            F.concat(state["entries"], F.array(F.struct(b["bucket"].alias("bucket"), last.alias("entry")))).alias("entries"),
+        )
+
+    start = F.struct(none.alias("last"), F.array().cast(entries_type).alias("entries"))
+    along = F.sort_array(F.collect_list(F.struct(F.col("bucket"), ways.alias("ways"))))
+    entries = (
+        buckets.groupBy("path")
+        .agg(F.aggregate(along, start, follow)["entries"].alias("e"))
+        .select("path", F.explode("e").alias("e"))
+        .select("path", "e.bucket", "e.entry")
+    )
+
+    def thin(state: Column, e: Column) -> Column:
+        passes = state["last"].isNull() | (e["us"] >= state["last"] + gap)
+        return F.struct(
+            F.when(passes, e["us"]).otherwise(state["last"]).alias("last"),
+            F.when(passes, F.concat(state["kept"], F.array(e))).otherwise(state["kept"]).alias("kept"),
         )
 
-    def follow_path(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bucket")
-        entries, last = [], None
-        for thresholds, exits in zip(pdf["thresholds"], pdf["exits"]):
-            entries.append(last)
-            for threshold, exit_ in zip(thresholds, exits):
-                if last is None or threshold >= last + gap:
-                    last = int(exit_)
-                    break
-        return pd.DataFrame({"path": pdf["path"], "bucket": pdf["bucket"], "entry": pd.array(entries, dtype="Int64")})
-
-    slim = timed.select("path", "bucket", "us")
-    summaries = slim.groupBy("path", "bucket").applyInPandas(summarize, _SUMMARY)
-    entries = summaries.groupBy("path").applyInPandas(follow_path, _ENTRY)
-
-    schema = timed.join(entries, ["path", "bucket"]).schema
-
-    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "ord"])
-        entry = pdf["entry"].iloc[0]
-        return pdf.iloc[passing(pdf["us"].to_numpy(), None if pd.isna(entry) else int(entry), gap)]
-
-    kept = timed.join(entries, ["path", "bucket"]).groupBy("path", "bucket").applyInPandas(thin, schema)
-    return kept.select(*events.columns)
+    begin = F.struct(F.col("entry").alias("last"), F.array().cast("array<struct<us:bigint,ord:bigint>>").alias("kept"))
+    kept = buckets.join(entries, ["path", "bucket"]).select("path", F.explode(F.aggregate("seen", begin, thin)["kept"]).alias("e"))
+    return kept.select("path", F.timestamp_micros("e.us").alias("event_ts"), F.col("e.ord").alias("ord"))
 
 
 def throttle_stream(events: DataFrame, seconds: float = 2.0) -> DataFrame:
