@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings the operators count on; all of them can be set on a live session.
@@ -19,6 +21,9 @@ SQL_SETTINGS = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
+    """Set the SQL settings, and send this package's functions along with the tasks, so that the
+    workers need no copy of it."""
+    cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
     for key, value in SQL_SETTINGS.items():
         spark.conf.set(key, value)
     return spark

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.paths import in_excluded_dir
+from ..functions.paths import in_excluded_dir, passes_file_filters
 from ..functions.times import as_timestamp
 from ..operators.classify import Scorer, classify
 from ..operators.governance import (
@@ -85,7 +85,13 @@ def process_batch(
     at = as_timestamp(now)
     current = stored_files(spark, root, batch_id)
     listed = found.filter(~in_excluded_dir("path", settings.exclude_dirs))
-    texts = extract(with_sha256(listed), settings.extractors).drop("content")
+    admitted = passes_file_filters("path", "length", settings.extensions, settings.min_bytes, settings.max_bytes)
+    none = F.lit(None).cast("string")
+    texts = (
+        extract(with_sha256(listed.filter(admitted)), settings.extractors)
+        .drop("content")
+        .unionByName(listed.filter(~admitted).drop("content").withColumns({"sha256": none, "text": none, "skip_reason": none}))
+    )
     # Extraction runs once; everything below reads its written result.
     routed = cut_lineage(route(texts, current.select("path", "sha256"), settings.extensions, settings.min_bytes, settings.max_bytes))
     order = F.lit(batch_id) * F.lit(2**40) + F.pmod(F.xxhash64("path"), F.lit(2**40))

@@ -85,9 +85,10 @@ def throttle(events: DataFrame, seconds: float = 2.0, bucket_seconds: int = 3600
 
 def throttle_stream(events: DataFrame, seconds: float = 2.0) -> DataFrame:
     """Streaming form over ``events(path, event_ts)``: the state is one time per path, forgotten
-    after ``max(60, 10 * seconds)`` seconds without an event."""
+    ``max(60, 10 * seconds)`` seconds of event time after the last event that passed. Events that
+    arrive later than that are left out."""
     gap = int(max(0.0, seconds) * 1_000_000)
-    forget_ms = int(max(60.0, 10 * seconds) * 1000)
+    forget = int(max(60.0, 10 * seconds))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -97,13 +98,16 @@ def throttle_stream(events: DataFrame, seconds: float = 2.0) -> DataFrame:
         last = state.get[0] if state.exists else None
         kept = us[passing(us, last, gap)] if gap else us
         if len(kept):
-            state.update((int(kept[-1]),))
-        if state.exists:
-            state.setTimeoutDuration(forget_ms)
+            last = int(kept[-1])
+            state.update((last,))
+        due = last // 1000 + forget * 1000
+        if due > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(due)
         yield pd.DataFrame({"path": key[0], "us": kept})
 
-    slim = events.select("path", F.unix_micros("event_ts").alias("us"))
+    marked = events.withWatermark("event_ts", f"{forget} seconds")
+    slim = marked.select("path", "event_ts", F.unix_micros("event_ts").alias("us"))
     out = slim.groupBy("path").applyInPandasWithState(
-        step, "path string, us long", "last long", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, "path string, us long", "last long", "append", GroupStateTimeout.EventTimeTimeout
     )
     return out.select("path", F.timestamp_micros("us").alias("event_ts"))
