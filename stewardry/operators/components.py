@@ -39,7 +39,8 @@ def _fingerprint(edges: DataFrame) -> tuple[int, int]:
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``node, component`` for every node of ``edges(u, v)``; the component is its smallest node."""
-    stars = cut_lineage(edges.filter(F.col("u") != F.col("v")).select("u", "v").distinct())
+    edges = cut_lineage(edges.select("u", "v").distinct())
+    stars = edges.filter(F.col("u") != F.col("v"))
     before = _fingerprint(stars)
     for _ in range(max_rounds):
         if before[0] == 0:

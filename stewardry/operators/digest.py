@@ -179,16 +179,12 @@ def action_lines(
             )
         )
     default = row.select(F.lit(1_000_000).alias("priority"), F.lit("none").alias("code"), F.lit("nothing to do").alias("message"))
-    # Config-sized: seven counters and one line per cadence rule.
-    ranked = lines.unionByName(default).orderBy("priority").limit(max(1, max_lines) + 1)
-    others = F.count(F.lit(1)).alias("n")
-    total = lines.agg(others)
-    return (
-        ranked.join(F.broadcast(total), (F.col("code") != "none") | (F.col("n") == 0))
-        .orderBy("priority")
-        .limit(max(1, max_lines))
-        .select("priority", "code", "message")
-    )
+    # Configuration-sized: seven counters and one line per cadence rule.
+    every = F.sort_array(F.collect_list(F.struct("priority", "code", "message")))
+    found = F.filter("every", lambda e: e["code"] != "none")
+    shown = F.slice(F.when(F.size(found) > 0, found).otherwise(F.col("every")), 1, max(1, max_lines))
+    gathered = lines.unionByName(default).agg(every.alias("every"))
+    return gathered.select(F.explode(shown).alias("l")).select("l.*")
 
 
 def last_inference(files: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ def assign_components(
 
     features = similarity_features(rows).withColumn("cls", feature_class(settings))
     features = cut_lineage(features)
-    edges = similar_classes(features, settings)
+    edges = cut_lineage(similar_classes(features, settings))
     if mode == "similarity":
         links = edges
         node = F.col("cls")

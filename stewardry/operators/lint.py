@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.levels import clean_level
 from ..functions.text import basename, strip
+from ..session import cut_lineage
 
 
 def _record_findings(files: DataFrame) -> DataFrame:
@@ -54,21 +57,25 @@ def named_nowhere(names: DataFrame, audit: DataFrame, gram: int = 4) -> DataFram
     for rows that hold their rarest piece of ``gram`` characters, and only those are compared.
     """
     left = names.join(audit.select(F.col("file").alias("name")).distinct(), "name", "left_anti")
-    left = left.filter(F.col("name") != "").withColumn("piece", F.least(F.length("name"), F.lit(gram)))
+    left = left.filter(F.col("name") != "").distinct().withColumn("piece", F.least(F.length("name"), F.lit(gram)))
+    left = cut_lineage(left)
+    # At most ``gram`` piece lengths; those below it occur only with names that short.
+    sizes = [r.piece for r in left.select("piece").distinct().collect()]
+    if not sizes:
+        return left.select("name")
     texts = audit.select(_audit_text().alias("text")).distinct()
-    sizes = range(1, gram + 1)
-    # Short names have short pieces; those piece lengths are produced only if such names exist.
-    wanted = left.select("piece").distinct()
-    postings = None
-    for size in sizes:
-        part = texts.select("text", F.lit(size).alias("piece"), F.explode(_grams(F.col("text"), size)).alias("g"))
-        postings = part if postings is None else postings.unionByName(part)
-    postings = postings.join(F.broadcast(wanted), "piece", "left_semi")
+    postings = reduce(
+        DataFrame.unionByName,
+        [texts.select("text", F.lit(n).alias("piece"), F.explode(_grams(F.col("text"), n)).alias("g")) for n in sizes],
+    )
     frequency = postings.groupBy("piece", "g").agg(F.count(F.lit(1)).alias("n"))
-    pieces = None
-    for size in sizes:
-        part = left.filter(F.col("piece") == size).select("name", "piece", F.explode(_grams(F.col("name"), size)).alias("g"))
-        pieces = part if pieces is None else pieces.unionByName(part)
+    pieces = reduce(
+        DataFrame.unionByName,
+        [
+            left.filter(F.col("piece") == n).select("name", "piece", F.explode(_grams(F.col("name"), n)).alias("g"))
+            for n in sizes
+        ],
+    )
     rarest = (
         pieces.join(frequency, ["piece", "g"], "left")
         .groupBy("name", "piece")
@@ -76,7 +83,7 @@ def named_nowhere(names: DataFrame, audit: DataFrame, gram: int = 4) -> DataFram
         .select("name", "piece", F.col("r.g").alias("g"))
     )
     found = rarest.join(postings, ["piece", "g"]).filter(F.col("text").contains(F.col("name"))).select("name").distinct()
-    return left.select("name").distinct().join(found, "name", "left_anti")
+    return left.select("name").join(found, "name", "left_anti")
 
 
 def audit_gaps(files: DataFrame, audit: DataFrame, match: str = "basename") -> DataFrame:
