@@ -111,14 +111,12 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     ledger, versions = secret_scan.update_ledger(docs)
     found = secret_scan.findings_of(versions, ledger)
-    base = F.filter("findings", lambda f: f["kind"].isin(*secret_scan.BASE_KINDS))
-    counts = [
-        F.size(F.filter("findings", lambda f, k=k: f["kind"] == k)).cast("long").alias(f"n_{k}") for k in secret_scan.BASE_KINDS
-    ]
+    of_kind = lambda *kinds: F.filter("findings", lambda f: f["kind"].isin(*kinds))
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in secret_scan.BASE_KINDS]
     return found.select(
         F.col("key").alias("doc_id"),
         *counts,
-        F.sha2(secret_scan.joined(base), 256).alias("base_sha256"),
+        F.sha2(secret_scan.joined(of_kind(*secret_scan.BASE_KINDS)), 256).alias("base_sha256"),
         secret_scan.joined(F.col("findings")).alias("spans"),
     )
 
