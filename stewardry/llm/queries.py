@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, quality, secret_scan
+from . import decontamination, mixing, near_dedup, quality, secret_scan
 from .common import store, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,33 @@ def query(fn: Query, sql: str | None = None) -> Query:
     return fn
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents"), near_dedup.NearDup(shingle=3, percent=85))
+
+
+query(
+    op2_near_dedup,
+    rf"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + least(len(w), 3) - 1), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM split WHERE len(w) > 0)
+), sizes AS (SELECT doc_id, count(*)::BIGINT AS n FROM sets GROUP BY doc_id
+), both_ways AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM sets x JOIN sets y ON x.g = y.g AND x.doc_id <> y.doc_id
+  JOIN sizes p ON p.doc_id = x.doc_id JOIN sizes q ON q.doc_id = y.doc_id
+  GROUP BY x.doc_id, y.doc_id HAVING 100 * count(*) >= 85 * (any_value(p.n) + any_value(q.n) - count(*))
+), reach AS (
+  SELECT doc_id AS node, doc_id AS c FROM documents
+  UNION SELECT b, c FROM reach JOIN both_ways ON node = a WHERE c < b
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(c) AS component_id, d.doc_id = min(c) AS kept
+FROM documents d JOIN reach ON node = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id GROUP BY d.doc_id, n
+""",
+)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.plan(docs).select(
