@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir, configure
 
 # Rows of a key table (a few longs each) that may be broadcast after counting it.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 
 ARROW_SETTINGS = {
     # Texts may be long: batches are bounded by bytes as well as by rows.

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, small, store
+from .common import small, store
 from .words import text_bytes
 
 FINDING = "array<struct<start:int,rank:int,kind:string,end:int>>"
@@ -62,14 +62,16 @@ _HEX[[ord(c) for c in "0123456789abcdef"]] = True
 
 
 def _long_hex(texts: pa.Array, least: int = 24) -> np.ndarray:
-    """Which texts have a run of at least ``least`` hex digits."""
+    """Which texts may have a run of at least ``least`` hex digits; runs across two texts count
+    for the first one, the pattern decides."""
     data, bounds = text_bytes(texts)
+    run, length = _HEX[data], 1
+    while length < least and len(run):
+        step = min(length, least - length)
+        run = run[: len(run) - step] & run[step:]
+        length += step
     has = np.zeros(len(bounds) - 1, dtype=bool)
-    if len(data):
-        other = np.flatnonzero(~_HEX[data])
-        edges = np.unique(np.concatenate([bounds, other, other + 1]))
-        runs = edges[:-1][(np.diff(edges) >= least) & _HEX[data[np.minimum(edges[:-1], len(data) - 1)]]]
-        has[np.searchsorted(bounds, runs, "right") - 1] = True
+    has[np.searchsorted(bounds, np.flatnonzero(run), "right") - 1] = True
     return has
 
 
@@ -79,23 +81,22 @@ def _find(text: str, rule: Rule, compiled: re.Pattern) -> list[tuple[int, int]]:
 
 
 def scan(text: Column, wanted: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """Findings of the rules whose versions ``wanted`` lists, by start and order of the rules.
+    """Findings of the rules whose bits ``wanted`` has, by start and order of the rules.
 
     Matches of one rule are leftmost and do not overlap; positions are code points. Letters are
     folded as ASCII only. Null text has no findings.
     """
 
     @F.arrow_udf(FINDING)
-    def scanned(texts: pa.Array, versions: pa.Array) -> pa.Array:
+    def scanned(texts: pa.Array, bits: pa.Array) -> pa.Array:
         compiled = [re.compile(r.pattern, re.ASCII | (re.IGNORECASE if r.any_case else 0)) for r in rules]
-        names = [r.version for r in rules]
         hexed = _long_hex(texts)
         out = []
-        for i, (t, todo) in enumerate(zip(texts.to_pylist(), versions.to_pylist())):
+        for i, (t, todo) in enumerate(zip(texts.to_pylist(), bits.to_pylist())):
             rows = []
             low = t.lower() if t else ""
             for rank, rule in enumerate(rules):
-                if t and names[rank] in todo and (hexed[i] if rule.kind == "hex" else any(c in low for c in rule.cues)):
+                if t and todo >> rank & 1 and (hexed[i] if rule.kind == "hex" else any(c in low for c in rule.cues)):
                     rows += [(a, rank, rule.kind, b) for a, b in _find(t, rule, compiled[rank])]
             out.append([dict(zip(("start", "rank", "kind", "end"), r)) for r in sorted(rows)])
         kind = pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
@@ -108,6 +109,13 @@ def blob_name(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
+def _bit_of(version: Column, rules: tuple[Rule, ...]) -> Column:
+    bit = F.lit(0)
+    for i, rule in enumerate(rules):
+        bit = F.when(version == rule.version, F.lit(1 << i)).otherwise(bit)
+    return bit
+
+
 def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """``(new, versions)``: the ledger rows to append, and ``key, blob`` per row of ``docs``.
 
@@ -125,14 +133,16 @@ def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple
         nothing = F.array().cast("array<string>")
         todo = held.join(seen, "blob", "left").withColumn("wanted", F.array_except(every, F.coalesce("seen", nothing)))
         todo = todo.filter(F.size("wanted") > 0).drop("seen")
-    todo = small(store(todo.select(F.col("key").alias("of"), F.col("blob").alias("unseen"), "wanted")))
-    name = fresh(docs, "blob")
-    named = docs.select(F.col(key).alias("key"), "text", blob_name(docs["text"]).alias(name))
-    unseen = named.join(todo, named["key"].eqNullSafe(todo["of"]) & (named[name] == todo["unseen"]))
-    scanned = unseen.select("unseen", "wanted", scan(F.col("text"), F.col("wanted"), rules).alias("all"))
+    # Only numbers meet the texts: the key, 64 bits of the name, and a bit for each wanted rule.
+    bits = sum(F.array_contains("wanted", r.version).cast("int") * (1 << i) for i, r in enumerate(rules))
+    todo = small(store(todo.select(F.col("key").alias("of"), F.xxhash64("blob").alias("unseen"), bits.alias("wanted"))))
+    named = docs.select(F.col(key).alias("key"), "text", blob_name(docs["text"]).alias("blob"))
+    unseen = named.join(todo, named["key"].eqNullSafe(todo["of"]) & (F.xxhash64(named["blob"]) == todo["unseen"]))
+    scanned = unseen.select("blob", "wanted", scan(F.col("text"), F.col("wanted"), rules).alias("all"))
     # A key that repeats with the same text is the same blob once.
-    once = scanned.groupBy("unseen").agg(F.first("wanted").alias("wanted"), F.first("all").alias("all"))
-    per_rule = once.select(F.col("unseen").alias("blob"), F.explode("wanted").alias("rule"), "all")
+    once = scanned.groupBy("blob").agg(F.first("wanted").alias("wanted"), F.first("all").alias("all"))
+    asked = F.filter(every, lambda r: F.expr("wanted").bitwiseAND(_bit_of(r, rules)) > 0)
+    per_rule = once.select("blob", F.explode(asked).alias("rule"), "all")
     own = F.filter("all", lambda f: f["kind"] == F.substring_index(F.col("rule"), "@", 1))
     return store(per_rule.select("blob", "rule", own.alias("findings"))), versions
 
