@@ -44,7 +44,7 @@ class NearDup:
     percent: int = 80
     registers: int = 256
     miss: float = 1e-9
-    doubt: float = 20.0
+    doubt: float = 15.0
 
     def band(self) -> tuple[int, int]:
         """Registers in a band, and bands."""
@@ -204,40 +204,52 @@ def _likely(spec: NearDup) -> Column:
     return likely(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"))
 
 
-@F.arrow_udf("bigint")
-def common_shingles(a: pa.Array, b: pa.Array) -> pa.Array:
-    out = []
-    for x, y in zip(a, b):
-        p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-        p, q = (p, q) if len(p) <= len(q) else (q, p)
-        at = np.searchsorted(q, p)
-        out.append(int((q[np.minimum(at, len(q) - 1)] == p).sum()) if len(q) else 0)
-    return pa.array(out, pa.int64())
+def shared(p: np.ndarray, q: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    p, q = (p, q) if len(p) <= len(q) else (q, p)
+    at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+    return int((q[at] == p).sum())
+
+
+def common_shingles(a: str, b: str) -> Column:
+    """Size of the intersection of two sets, sorted and as bytes."""
 
+    @F.arrow_udf("bigint")
+    def common(left: pa.Array, right: pa.Array) -> pa.Array:
+        out = [shared(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(left, right)]
+        return pa.array(out, pa.int64())
 
-def _pairs_with(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
-    """``pairs(a, b)`` with columns of ``table(node, …)`` for both ends."""
+    return common(a, b)
+
+
+def _with_ends(pairs: DataFrame, of_node: DataFrame, *columns: str) -> DataFrame:
+    """``pairs`` with columns of ``of_node(node, …)`` for both ends."""
     for end in ("b", "a"):
-        side = table.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
-        pairs = pairs.join(small(side), end)
+        side = of_node.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
+        pairs = pairs.join(side, end)
     return pairs
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, spec: NearDup) -> DataFrame:
+    """``node, shingles`` of the wanted classes, made anew from one text each."""
+    texts = docs.join(small(wanted.select("rep")), docs["doc_id"].eqNullSafe(F.col("rep")), "left_semi")
+    sets = texts.select(named_set(texts["text"], spec).alias("s")).select("s.*").dropDuplicates(["name"])
+    return store(sets.join(small(wanted.select("node", "name")), "name").select("node", "shingles"))
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, spec: NearDup) -> DataFrame:
     """The pairs whose full sets are similar enough. Texts are read again only where a pair needs them."""
-    near = _pairs_with(pairs, classes.select("node", "n", "sketch"), "n", "sketch")
+    met = store(classes.join(small(_ends(pairs)), "node", "left_semi"))
+    near = _with_ends(pairs, met, "n", "sketch")
     near = near.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * spec.percent)
     near = store(near.filter(_likely(spec)).select("a", "b", "n_a", "n_b"))
-    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
-    wanted = store(classes.join(ends, "node", "left_semi").select("node", "name", "rep"))
-    texts = docs.join(small(wanted.select("rep")), docs["doc_id"].eqNullSafe(F.col("rep")), "left_semi")
-    sets = texts.select(named_set(texts["text"], spec).alias("s")).select("s.*").dropDuplicates(["name"])
-    sets = store(sets.join(small(wanted.select("node", "name")), "name").select("node", "shingles"))
-    both = near
-    for end in ("b", "a"):
-        both = both.join(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"shingles_{end}")), end)
-    common = common_shingles("shingles_a", "shingles_b")
-    judged = both.select("a", "b", "n_a", "n_b", common.alias("common"))
+    sets = _sets(docs, store(met.join(small(_ends(near)), "node", "left_semi")), spec)
+    both = _with_ends(near, sets, "shingles")
+    judged = both.select("a", "b", "n_a", "n_b", common_shingles("shingles_a", "shingles_b").alias("common"))
     return store(judged.filter(F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * spec.percent).select("a", "b"))
 
 
@@ -249,7 +261,7 @@ def _buckets(classes: DataFrame, spec: NearDup) -> DataFrame:
     """``band, node, n`` of the buckets that hold more than one class."""
     rows, bands = spec.band()
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", i * rows + 1, rows)) for i in range(bands)])
-    each = classes.filter(F.col("n") >= spec.least()).select("node", "n", F.explode(keys).alias("band"))
+    each = classes.filter(F.col("n") >= spec.least()).select("node", "n", F.posexplode(keys).alias("i", "band"))
     shared = each.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
     return store(each.join(shared.select("band"), "band"))
 
@@ -263,43 +275,122 @@ def _live(buckets: DataFrame, component: DataFrame | None) -> DataFrame:
     return store(known.join(open_, "band"))
 
 
+def _pivots(live: DataFrame, used: DataFrame | None) -> DataFrame:
+    """``band, pivot, pivot_c``: of each bucket the class that meets most others in all its
+    buckets, as the original of many altered copies does; not one that was a pivot before."""
+    sizes = live.groupBy("band").agg(F.count(F.lit(1)).alias("k"))
+    company = live.join(sizes, "band").groupBy("node").agg(F.sum("k").alias("company"))
+    if used is not None:
+        company = company.join(used.distinct(), company["node"] == used["pivot"], "left_anti")
+    best = live.join(company, "node").groupBy("band").agg(F.max(F.struct("company", "node", "c")).alias("p"))
+    return store(best.select("band", F.col("p.node").alias("pivot"), F.col("p.c").alias("pivot_c")))
+
+
+SELF_JOIN = 16  # classes in a bucket whose pairs are made by a join
+BLOCK = 256  # classes in a block of a larger bucket
+
+
+def _links_in_block(spec: NearDup):
+    """Links between two blocks of a bucket (or within one), as numbers of their classes.
+
+    A pair is judged in the first band that it shares only.
+    """
+    rows_in_band, bands = spec.band()
+
+    def found(rows: pa.Table) -> pa.Table:
+        node, c, n, block = (rows.column(k).to_numpy() for k in ("node", "c", "n", "block"))
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
+        low, high, band = (rows.column(k)[0].as_py() for k in ("low", "high", "i"))
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        limit = sketch.shape[1] * (1 - 2 * float(step_share(np.float64((1 - spec.percent / 100) / 2))) - 0.2)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in left:
+            other = right[node[right] > node[k]] if low == high else right
+            other = other[(c[other] != c[k]) & (np.minimum(n[other], n[k]) * 100 >= np.maximum(n[other], n[k]) * spec.percent)]
+            other = other[(sketch[other] == sketch[k]).sum(axis=1) >= limit]
+            a.append(np.full(len(other), k))
+            b.append(other)
+        a, b = np.concatenate(a), np.concatenate(b)
+        same = (sketch[a, : rows_in_band * bands] == sketch[b, : rows_in_band * bands]).reshape(len(a), bands, rows_in_band).all(axis=2)
+        first = same.argmax(axis=1) == band if len(a) else np.zeros(0, bool)
+        a, b = a[first], b[first]
+        if len(a):
+            _, lost = similarity_estimate(sketch[a], sketch[b], n[a], n[b], spec.percent)
+            a, b = a[lost <= spec.doubt], b[lost <= spec.doubt]
+        common = np.array([shared(sets[x], sets[y]) for x, y in zip(a, b)], np.int64)
+        linked = common * 100 >= (n[a] + n[b] - common) * spec.percent
+        a, b = node[a[linked]], node[b[linked]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return found
+
+
+def _open_buckets(live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs of different components in the smaller buckets; the classes of the larger ones."""
+    sizes = live.groupBy("band").agg(F.count(F.lit(1)).alias("k"))
+    sized = store(live.select("band", "i", "node", "c", "n").join(sizes, "band"))
+    few = sized.filter(F.col("k") <= SELF_JOIN)
+    x = few.select("band", F.col("node").alias("a"), F.col("c").alias("ca"))
+    y = few.select("band", F.col("node").alias("b"), F.col("c").alias("cb"))
+    pairs = x.join(y, "band").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b")
+    return pairs, sized.filter(F.col("k") > SELF_JOIN)
+
+
+def _links_in_large(many: DataFrame, docs: DataFrame, classes: DataFrame, spec: NearDup) -> DataFrame:
+    """Links of different components in large buckets. Blocks of classes are compared within
+    tasks, and only links come out; a block holds at most about twice ``BLOCK`` classes."""
+    nodes = many.select("node").distinct()
+    wanted = store(classes.join(small(nodes), "node", "left_semi"))
+    held = wanted.join(_sets(docs, wanted, spec), "node").select("node", "sketch", "shingles")
+    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
+    placed = many.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    keyed = placed.select("band", "i", "node", "c", "n", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    groups_ = keyed.join(held, "node").groupBy("band", "low", "high")
+    return store(groups_.applyInArrow(_links_in_block(spec), "a bigint, b bigint"))
+
+
 def links(docs: DataFrame, classes: DataFrame, spec: NearDup) -> DataFrame | None:
     """Edges ``a, b`` between classes, as many as their components need.
 
     Rounds of pivots (one class of each bucket, another one in each round) settle copies of one
-    text in work proportional to the bucket. When a round links nothing new or few pairs are
-    left, all pairs of different components in a bucket that were not tested yet are.
+    text in work proportional to the bucket. When the pairs left are no more than in proportion
+    to the classes, or a round links few, all pairs of different components in a bucket that
+    were not tested yet are.
     """
     if spec.least() >= 1 << 50:
         return None
     buckets = _buckets(classes, spec)
-    component = edges = tested = None
-    for turn in range(8):
+    enough = 8 * classes.count()
+    component = edges = tested = pivots = None
+    for turn in range(4):
         live = _live(buckets, component)
         spread = live.groupBy("band").agg(F.count(F.lit(1)).alias("k")).agg(
             F.sum("k").alias("rows"), F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("pairs")
         ).first()
         if not spread.rows:
             break
-        last = turn > 0 and (spread.pairs <= 4 * spread.rows or turn == 7 or not linked)
+        last = turn > 0 and (spread.pairs <= enough or turn == 3 or few)
         if last:
-            x = live.select("band", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"))
-            y = live.select("band", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
-            size = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * spec.percent
-            pairs = x.join(y, "band").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & size).select("a", "b")
+            pairs, many = _open_buckets(live)
         else:
-            chosen = live.groupBy("band").agg(F.min_by(F.struct("node", "c"), F.xxhash64(F.lit(turn), F.col("node"))).alias("p"))
-            met = live.join(chosen, "band").filter(F.col("p.c") != F.col("c"))
-            pairs = met.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b"))
+            chosen = _pivots(live, pivots)
+            met = live.join(chosen, "band").filter(F.col("pivot_c") != F.col("c"))
+            pairs = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
+            pivots = chosen.select("pivot") if pivots is None else pivots.unionByName(chosen.select("pivot"))
         pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = store(pairs)
         found = _verified(pairs, docs, classes, spec)
-        linked = found.limit(1).count() > 0
+        linked = found.count()
+        few = linked * 50 < pairs.count()
         edges = found if edges is None else edges.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
         if last:
+            if many.limit(1).count():
+                edges = edges.unionByName(_links_in_large(many, docs, classes, spec))
             break
         if linked:
             component = store(_components(edges))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, near_dedup, quality, secret_scan
+from . import decontamination, mixing, near_dedup, quality, secret_scan, surrogates
 from .common import store, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,14 @@ FROM documents d JOIN reach ON node = d.doc_id LEFT JOIN sizes ON sizes.doc_id =
 )
 
 
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.with_surrogates(docs, count_as="n_entities")
+
+
+query(op3_surrogates)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.plan(docs).select(
