@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, near_dedup, quality, secret_scan, surrogates
+from . import decontamination, mixing, near_dedup, quality, repeats, secret_scan, surrogates
 from .common import store, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,6 +99,14 @@ FROM rated
 )
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"), length=200)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+query(op6_repeats)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     measured = store(docs.select("doc_id", "source", quality.measures(docs["text"]).alias("m")).select("doc_id", "source", "m.*"))
