@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, near_dedup, quality, repeats, secret_scan, surrogates
+from . import chat, decontamination, mixing, near_dedup, quality, repeats, revisits, secret_scan, surrogates, word_pieces
 from .common import store, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,19 @@ def query(fn: Query, sql: str | None = None) -> Query:
     return fn
 
 
+# The rank file of a public byte-level vocabulary; any other of that form will do.
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str, ranks: str = RANKS) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    with open(ranks, "rb") as lines:
+        return word_pieces.add_counts(docs, word_pieces.byte_ranks(lines)).drop("text")
+
+
+query(op1_token_counts)
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(table(spark, sf_dir, "documents"), near_dedup.NearDup(shingle=3, percent=85))
 
@@ -99,6 +112,34 @@ FROM rated
 )
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chats = chat.format_chats(table(spark, sf_dir, "conversations"))
+    return chats.select("conv_id", F.col("part").cast("long").alias("part"), F.col("n_turns").cast("long").alias("n_turns"), "n_equal", "text")
+
+
+query(
+    op5_chat,
+    r"""
+WITH clean AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+), placed AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM clean
+), prefixes AS (
+  SELECT conv_id, n, max(n) OVER (PARTITION BY conv_id) AS length,
+         list([role, text]) OVER (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS turns FROM placed
+), ends AS (
+  SELECT min(conv_id) AS conv_id, n, turns, count(*)::BIGINT AS n_equal FROM prefixes WHERE n = length GROUP BY n, turns
+), kept AS (
+  SELECT * FROM ends WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.n = ends.n AND p.n < p.length AND p.turns = ends.turns)
+)
+SELECT p.conv_id, ((p.n - 1) // 1024)::BIGINT AS part, kept.n AS n_turns, n_equal,
+       string_agg('<|im_start|>' || role || chr(10) || regexp_replace(text, '<\|(im_start|im_end)\|>', '< || >', 'g') || '<|im_end|>' || chr(10), '' ORDER BY p.n) AS text
+FROM kept JOIN placed p ON p.conv_id IS NOT DISTINCT FROM kept.conv_id
+GROUP BY p.conv_id, part, kept.n, n_equal
+""",
+)
+
+
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.remove_repeats(table(spark, sf_dir, "documents"), length=200)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -150,6 +191,59 @@ FROM judged JOIN hosts ON judged.source IS NOT DISTINCT FROM hosts.source, prior
 )
 
 
+def archive_records(pages: DataFrame) -> DataFrame:
+    """Archive records of a crawl that got each page in full and asked again 64 pages later."""
+    tag, day = F.concat(F.lit('"'), F.md5("html"), F.lit('"')), F.date_add(F.lit("2024-01-01"), F.pmod(F.length("html"), F.lit(300)))
+    stored = F.create_map(
+        F.lit("Content-Type"), F.lit("text/html"), F.lit("Content-Length"), F.octet_length("html").cast("string"),
+        F.lit("ETag"), tag, F.lit("Date"), F.concat(F.lit("day "), F.col("page_id").cast("string")),
+    )
+    update = F.create_map(F.lit("date"), F.concat(F.lit("day "), (F.col("page_id") + 64).cast("string")), F.lit("Content-Length"), F.lit("0"), F.lit("etag"), tag)
+    full = pages.select(
+        F.concat(F.lit("full-"), "page_id").alias("record_id"), "url", (F.col("page_id") * 10).alias("ts"), F.lit(200).alias("status"),
+        tag.alias("etag"), day.cast("string").alias("last_modified"), stored.alias("headers"), F.col("html").alias("payload"),
+    )
+    again = pages.select(
+        F.concat(F.lit("again-"), "page_id").alias("record_id"), "url", ((F.col("page_id") + 64) * 10 + 5).alias("ts"), F.lit(304).alias("status"),
+        F.concat(F.lit("W/"), tag).alias("etag"), day.cast("string").alias("last_modified"), update.alias("headers"), F.lit(None).cast("string").alias("payload"),
+    )
+    return full.unionByName(again)
+
+
+def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve(archive_records(table(spark, sf_dir, "pages")))
+    return found.withColumn("headers", revisits.header_lines(F.col("headers")))
+
+
+query(
+    op8_revisits,
+    r"""
+WITH bare AS (
+  SELECT page_id, html, md5(html) AS tag, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u FROM pages
+), parts AS (
+  SELECT page_id, html, tag, regexp_replace(regexp_replace(lower(regexp_extract(split_part(u, '?', 1), '^([^/]*)', 1)), '^www\.', ''), ':(80|443)$', '') AS host,
+         regexp_replace(regexp_extract(split_part(u, '?', 1), '^[^/]*(.*)$', 1), '/+$', '') AS path,
+         list_sort(list_filter(string_split(regexp_extract(u, '^[^?]*\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|gclid|fbclid|ref)(=|$)'))) AS q
+  FROM bare
+), keyed AS (
+  SELECT page_id, html, tag, host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS url_key FROM parts
+), again AS (SELECT *, (page_id + 64) * 10 + 5 AS ts FROM keyed
+), answers AS (SELECT *, page_id * 10 AS ts FROM keyed
+), met AS (
+  SELECT a.page_id, a.url_key, a.ts, f.page_id AS of_page, f.html AS body, a.tag AS asked, f.tag AS had
+  FROM again a ASOF LEFT JOIN answers f ON a.url_key = f.url_key AND a.ts > f.ts
+)
+SELECT 'again-' || page_id AS record_id, url_key, ts,
+       CASE WHEN of_page IS NULL THEN 'no_response' WHEN asked = had THEN 'resolved' ELSE 'validator_mismatch' END AS outcome,
+       'full-' || of_page AS refers_to,
+       CASE WHEN asked = had THEN 'content-length: ' || strlen(body) || chr(10) || 'content-type: text/html' ELSE 'content-length: 0' END
+         || chr(10) || 'date: day ' || (page_id + 64) || chr(10) || 'etag: "' || asked || '"' AS headers,
+       CASE WHEN asked = had THEN sha256(body) END AS payload_sha256, CASE WHEN asked = had THEN strlen(body)::BIGINT END AS payload_bytes
+FROM met
+""",
+)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     ledger, versions = secret_scan.update_ledger(docs)
