@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .text import ColumnOrName, col, strip
 
 LEVELS = ("P1", "P2", "P3", "P4")
-RANK = {"P4": 0, "P3": 1, "P2": 2, "P1": 3}
+# The more sensitive, the higher.
+RANK = {level: rank for rank, level in enumerate(reversed(LEVELS))}
 LEVEL_PATTERN = r"^P[1-4]\z"
 
 # Default labels.
@@ -23,39 +24,31 @@ def clean_level(level: ColumnOrName) -> Column:
 
 def level_rank(level: ColumnOrName) -> Column:
     """3 for P1 down to 0 for P4; -1 for anything else."""
-    code = clean_level(level)
-    rank = F.lit(-1)
-    for name, value in RANK.items():
-        rank = F.when(code == name, F.lit(value)).otherwise(rank)
-    return rank
+    return F.coalesce(F.try_element_at(_literal_map(RANK, "int"), clean_level(level)), F.lit(-1))
+
+
+def _literal_map(values: Mapping, kind: str) -> Column:
+    return F.create_map(*[x for k, v in values.items() for x in (F.lit(k), F.lit(v).cast(kind))])
 
 
 def level_of(rank: ColumnOrName) -> Column:
-    rank = col(rank)
-    level = F.lit("")
-    for name, value in RANK.items():
-        level = F.when(rank == value, F.lit(name)).otherwise(level)
-    return level
+    levels = _literal_map({rank: level for level, rank in RANK.items()}, "string")
+    return F.coalesce(F.try_element_at(levels, col(rank)), F.lit(""))
 
 
 def higher(a: ColumnOrName, b: ColumnOrName) -> Column:
     """The more sensitive of two levels; an unknown code gives way to a known one."""
-    ra, rb = level_rank(a), level_rank(b)
-    first, second = clean_level(a), clean_level(b)
-    return F.when(ra >= rb, F.when(ra >= 0, first).otherwise(second)).otherwise(second)
+    known = level_of(F.greatest(level_rank(a), level_rank(b)))
+    return F.when(known == "", clean_level(b)).otherwise(known)
 
 
 def format_level(level: ColumnOrName, labels: Mapping[str, str] | None = None) -> Column:
     """``label (P1)``; an unknown code as it is, an empty one as an empty text."""
-    known = dict(DEFAULT_LABELS)
-    for key, value in (labels or {}).items():
-        if key.strip() and value.strip():
-            known[key.strip().upper()] = value.strip()
+    own = {k.strip().upper(): v.strip() for k, v in (labels or {}).items()}
+    shown = {**DEFAULT_LABELS, **{k: v for k, v in own.items() if k and v}}
     code = clean_level(level)
-    out = code
-    for name, label in known.items():
-        out = F.when(code == name, F.lit(f"{label} ({name})")).otherwise(out)
-    return out
+    label = F.try_element_at(_literal_map(shown, "string"), code)
+    return F.coalesce(F.concat(label, F.lit(" ("), code, F.lit(")")), code)
 
 
 def is_sensitive(level: ColumnOrName) -> Column:

@@ -78,39 +78,18 @@ def context_bundles(
     anchors: DataFrame,
     events: DataFrame,
     window_minutes: int = 30,
-    max_bundles: int = 60,
+    max_bundles: int | None = None,
     extra_roots: Sequence[str] = (),
     same_folder_only: bool = False,
 ) -> DataFrame:
-    """The newest bundles of ``anchors(path, event_ts, ord)`` over ``events(path, event_ts, ord)``.
+    """Bundles of ``anchors(path, event_ts, ord)`` over ``events(path, event_ts, ord)``, all or the
+    ``max_bundles`` newest.
 
-    Which anchors have company is decided without pairs; only the ``max_bundles`` newest of them
-    (at most 500, so broadcast) then meet the events of their window.
+    Which anchors have company is decided without pairs; they then meet the events of their
+    window by folder and time cell. :func:`bundle_members` gives the same one row per path.
     """
-    window = max(1, min(240, int(window_minutes)))
-    keep = max(5, min(500, int(max_bundles)))
-    extra = [] if same_folder_only else list(extra_roots)
-    newest = (
-        anchors_with_company(anchors, events, window, extra)
-        .orderBy(F.col("event_ts").desc(), F.col("ord").desc())
-        .limit(keep)
-        .select(
-            F.col("path").alias("anchor_path"),
-            F.col("event_ts").alias("anchor_event_utc"),
-            F.col("ord").alias("ord"),
-            F.unix_micros("event_ts").alias("_us"),
-        )
-    )
-    groups = F.array(dirname("anchor_path"), F.lit("*")) if extra else F.array(dirname("anchor_path"))
-    asked = newest.withColumn("grp", F.explode(groups))
-    seen = _with_groups(events.select("path", F.unix_micros("event_ts").alias("us"), F.col("ord").alias("event_ord")), extra)
-    near = seen.join(F.broadcast(asked), "grp").filter(
-        (F.col("path") != F.col("anchor_path")) & (F.abs(F.col("us") - F.col("_us")) <= F.lit(window * 60_000_000))
-    )
-    first_seen = near.groupBy("anchor_path", "anchor_event_utc", "ord", "path").agg(
-        F.min(F.struct("us", "event_ord")).alias("seen")
-    )
-    bundles = first_seen.groupBy("anchor_path", "anchor_event_utc", "ord").agg(
+    members = bundle_members(anchors, events, window_minutes, max_bundles, extra_roots, same_folder_only)
+    bundles = members.groupBy("anchor_path", "anchor_event_utc", "ord").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("seen", "path"))), lambda e: e["path"]).alias("related_paths")
     )
     stamp = F.format_string("%.3f", F.unix_micros("anchor_event_utc") / F.lit(1e6))
@@ -120,16 +99,45 @@ def context_bundles(
         "anchor_path",
         "anchor_event_utc",
         "related_paths",
-        F.lit(window).alias("window_minutes"),
+        F.lit(window_minutes).alias("window_minutes"),
         "ord",
     )
 
 
+def bundle_members(
+    anchors: DataFrame,
+    events: DataFrame,
+    window_minutes: int = 30,
+    max_bundles: int | None = None,
+    extra_roots: Sequence[str] = (),
+    same_folder_only: bool = False,
+) -> DataFrame:
+    """``anchor_path, anchor_event_utc, ord, path, seen`` of every path touched within the window
+    of an anchor; ``seen`` is the first time and event there."""
+    if window_minutes < 1:
+        raise ValueError("the window must be a minute or more")
+    extra = [] if same_folder_only else list(extra_roots)
+    kept = anchors_with_company(anchors, events, window_minutes, extra)
+    if max_bundles is not None:
+        kept = kept.orderBy(F.col("event_ts").desc(), F.col("ord").desc()).limit(max_bundles)
+    span = window_minutes * 60_000_000
+    kept = kept.select(
+        F.col("path").alias("anchor_path"), F.col("event_ts").alias("anchor_event_utc"), "ord", F.unix_micros("event_ts").alias("_us")
+    )
+    groups = F.array(dirname("anchor_path"), F.lit("*")) if extra else F.array(dirname("anchor_path"))
+    cell = F.floor(F.col("_us") / span)
+    asked = kept.withColumn("grp", F.explode(groups)).withColumn("_cell", F.explode(F.array(cell - 1, cell, cell + 1)))
+    seen = _with_groups(events.select("path", F.unix_micros("event_ts").alias("us"), F.col("ord").alias("event_ord")), extra)
+    near = seen.withColumn("_cell", F.floor(F.col("us") / span)).join(asked, ["grp", "_cell"]).filter(
+        (F.col("path") != F.col("anchor_path")) & (F.abs(F.col("us") - F.col("_us")) <= span)
+    )
+    return near.groupBy("anchor_path", "anchor_event_utc", "ord", "path").agg(F.min(F.struct("us", "event_ord")).alias("seen"))
+
+
 def newest_bundles(*parts: DataFrame, max_bundles: int = 60) -> DataFrame:
     """Merge stored and new bundles and keep the newest."""
-    keep = max(5, min(500, int(max_bundles)))
     merged = reduce(DataFrame.unionByName, parts).dropDuplicates(["bundle_id", "ord"])
-    return merged.orderBy(F.col("anchor_event_utc").desc(), F.col("ord").desc()).limit(keep)
+    return merged.orderBy(F.col("anchor_event_utc").desc(), F.col("ord").desc()).limit(max_bundles)
 
 
 def bundle_rows(bundles: DataFrame, limit: int = 60) -> DataFrame:

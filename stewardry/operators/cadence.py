@@ -10,6 +10,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.patterns import PatternError, compiled_pattern
 from ..functions.text import ColumnOrName, basename, col
 from ..functions.times import as_timestamp, in_period
 
@@ -52,16 +53,13 @@ def _glob_to_regex(pattern: str) -> str:
 def name_matches(pattern: str, name: ColumnOrName) -> Column:
     """A pattern with ``*``, ``?``, ``[`` or ``]`` is a glob for the whole name; any other is a
     regular expression found anywhere, or plain text where it is not a valid one."""
-    pattern, name = (pattern or "").strip(), col(name)
-    if not pattern:
-        return F.lit(False)
-    if any(ch in pattern for ch in "*?[]"):
-        return F.lower(name).rlike(_glob_to_regex(pattern.lower()))
+    stated, name = (pattern or "").strip(), col(name)
+    if set(stated) & set("*?[]"):
+        return F.lower(name).rlike(_glob_to_regex(stated.lower()))
     try:
-        re.compile(pattern)
-    except re.error:
-        return F.lower(name).contains(pattern.lower())
-    return name.rlike(f"(?iUd){pattern}")
+        return name.rlike(compiled_pattern(stated, "iUd")) if stated else F.lit(False)
+    except PatternError:
+        return F.lower(name).contains(stated.lower())
 
 
 def evaluate_cadence(files: DataFrame, rules: Sequence[CadenceRule], as_of: datetime | str) -> DataFrame:

@@ -28,7 +28,7 @@ FALLBACK = {
     "security_level": "P4",
     "summary": "Fallback classification: no scorer answered.",
 }
-RETRY_HINT = "Output valid JSON only. security_level: P1, P2, P3, or P4 only."
+RETRY_HINT = "The last answer could not be read. Answer with one JSON object and a level from P1 to P4."
 
 
 def fallback_classification() -> Column:
@@ -104,16 +104,31 @@ def _score(df: DataFrame, scorer: Scorer) -> DataFrame:
     return df.select("sha256", "text", "hint").mapInPandas(run, "sha256 string, hint string, raw string")
 
 
+def _in_parts(contents: DataFrame, chars: int) -> DataFrame:
+    """Each text in parts of at most ``chars`` characters, named ``<sha256>:<number of the part>``."""
+    last = F.greatest(F.ceil(F.length("text") / chars) - 1, F.lit(0)).cast("int")
+    texts = F.transform(F.sequence(F.lit(0), last), lambda i: F.substr(F.col("text"), i * chars + 1, F.lit(chars)))
+    parts = contents.select("sha256", "hint", F.posexplode(texts).alias("part", "text"))
+    return parts.select(F.concat_ws(":", "sha256", F.col("part").cast("string")).alias("sha256"), "text", "hint")
+
+
+def _of_part(df: DataFrame) -> DataFrame:
+    """``df`` with the name of a part taken apart again."""
+    return df.withColumn("part", F.substring_index("sha256", ":", -1).cast("int")).withColumn("sha256", F.substring_index("sha256", ":", 1))
+
+
 def classify(
     docs: DataFrame,
     scorer: Scorer | None = None,
     source: str = "scorer",
-    max_context_chars: int = 12_000,
+    part_chars: int = 12_000,
 ) -> DataFrame:
     """Add ``result, inference_source, inference_reason`` to ``docs(sha256, text, hint)``.
 
-    Equal contents are scored once. Answers are written out before they are parsed, so that the
-    scorer never runs twice for one content within a pass; invalid ones get one second pass.
+    Equal contents are scored once, and whole: a text longer than ``part_chars`` is scored in
+    parts, of which the most sensitive level, all tags and categories, and the first summary
+    count. Answers are written out before they are parsed, so that the scorer never runs twice
+    for one part within a pass; invalid ones get one second pass.
     """
     if scorer is None:
         return docs.select(
@@ -122,20 +137,36 @@ def classify(
             F.lit("mock").alias("inference_source"),
             F.lit("no_scorer").alias("inference_reason"),
         )
-    contents = docs.groupBy("sha256").agg(
-        F.first(F.substring("text", 1, max_context_chars)).alias("text"), F.first("hint").alias("hint")
-    )
-    first = cut_lineage(_score(contents, scorer).select("sha256", validate_classification(extract_json("raw")).alias("check")))
+    contents = docs.groupBy("sha256").agg(F.first(F.coalesce("text", F.lit(""))).alias("text"), F.min("hint").alias("hint"))
+    parts = cut_lineage(_in_parts(contents, part_chars))
+    checked = lambda df, name: df.select("sha256", validate_classification(extract_json("raw")).alias(name))
+    first = cut_lineage(checked(_score(parts, scorer), "check"))
     failed = first.filter(~F.col("check.valid")).select("sha256")
-    again = contents.join(failed, "sha256", "left_semi").withColumn("hint", F.concat_ws("\n\n", "hint", F.lit(RETRY_HINT)))
-    second = cut_lineage(_score(again, scorer).select("sha256", validate_classification(extract_json("raw")).alias("retry")))
-    answers = first.join(second, "sha256", "left").select(
+    again = parts.join(failed, "sha256", "left_semi").withColumn("hint", F.concat_ws("\n\n", "hint", F.lit(RETRY_HINT)))
+    second = cut_lineage(checked(_score(again, scorer), "retry"))
+    each = _of_part(first.join(second, "sha256", "left")).withColumn("found", F.coalesce("check.result", "retry.result"))
+    by_part = lambda value: F.transform(F.array_sort(F.collect_list(F.when(F.col("found").isNotNull(), F.struct("part", value.alias("v"))))), lambda e: e["v"])
+    merged = each.groupBy("sha256").agg(
+        F.struct(
+            F.array_distinct(F.flatten(by_part(F.col("found.tags")))).alias("tags"),
+            F.min("found.security_level").alias("security_level"),
+            F.get(by_part(F.col("found.summary")), F.lit(0)).alias("summary"),
+            F.get(by_part(F.col("found.category_id")), F.lit(0)).alias("category_id"),
+            F.array_distinct(F.flatten(F.filter(by_part(F.col("found.category_ids")), lambda x: x.isNotNull()))).alias("category_ids"),
+        ).cast(CLASSIFICATION_TYPE).alias("all"),
+        F.count("found").alias("good"),
+        F.count(F.lit(1)).alias("parts"),
+        F.count(F.when(~F.col("check.valid"), 1)).alias("asked_again"),
+    )
+    some = F.col("good") > 0
+    answers = merged.select(
         "sha256",
-        F.coalesce("check.result", "retry.result", fallback_classification()).alias("result"),
-        F.when(F.col("check.valid") | F.col("retry.valid"), F.lit(source)).otherwise("mock").alias("inference_source"),
-        F.when(F.col("check.valid"), "")
-        .when(F.col("retry.valid"), "retry_after_schema_fail")
-        .otherwise("json_or_schema_failed")
+        F.when(some, F.col("all")).otherwise(fallback_classification()).alias("result"),
+        F.when(some, F.lit(source)).otherwise("mock").alias("inference_source"),
+        F.when(~some, "json_or_schema_failed")
+        .when(F.col("good") < F.col("parts"), "some_parts_failed")
+        .when(F.col("asked_again") > 0, "retry_after_schema_fail")
+        .otherwise("")
         .alias("inference_reason"),
     )
     return docs.join(answers, "sha256", "left")
@@ -158,14 +189,22 @@ def parse_handling(raw: ColumnOrName) -> Column:
     return F.when(doc.isNotNull() & (note != ""), F.struct(note.alias("handling_note"), share.alias("sharing")))
 
 
-def handling_hints(docs: DataFrame, scorer: Scorer, max_excerpt_chars: int = 1200) -> DataFrame:
-    """``sha256, security_level, handling`` for the P1 and P2 rows of ``docs(sha256, text, security_level)``."""
+def handling_hints(docs: DataFrame, scorer: Scorer, part_chars: int = 1200) -> DataFrame:
+    """``sha256, security_level, handling`` for the P1 and P2 rows of ``docs(sha256, text, security_level)``.
+
+    Whole texts are asked about, in parts; the first note and the strictest sharing code count.
+    """
     sensitive = (
         docs.filter(F.col("security_level").isin("P1", "P2"))
         .groupBy("sha256", "security_level")
-        .agg(F.first(F.substring("text", 1, max(0, max_excerpt_chars))).alias("text"))
+        .agg(F.first(F.coalesce("text", F.lit(""))).alias("text"))
         .select("sha256", "text", F.concat(F.lit("security_level="), "security_level").alias("hint"))
     )
-    return _score(sensitive, scorer).select(
-        "sha256", F.substring_index("hint", "=", -1).alias("security_level"), parse_handling("raw").alias("handling")
+    answers = _score(_in_parts(sensitive, part_chars), scorer).select("sha256", "hint", parse_handling("raw").alias("one"))
+    strictness = F.array_position(F.array(*[F.lit(c) for c in SHARING_CODES]), F.col("one.sharing"))
+    known = F.col("one").isNotNull()
+    merged = _of_part(answers).groupBy("sha256", "hint").agg(
+        F.min_by("one.handling_note", F.when(known, F.col("part"))).alias("note"), F.min_by("one.sharing", strictness).alias("sharing")
     )
+    handling = F.when(F.col("note").isNotNull(), F.struct(F.col("note").alias("handling_note"), "sharing"))
+    return merged.select("sha256", F.substring_index("hint", "=", -1).alias("security_level"), handling.alias("handling"))

@@ -65,9 +65,9 @@ def skip_counts(events: DataFrame) -> DataFrame:
     )
 
 
-def recent_sensitive_skips(events: DataFrame, kept: int = 40, shown: int | None = None) -> DataFrame:
+def recent_sensitive_skips(events: DataFrame, shown: int | None = None) -> DataFrame:
     newest = events.filter(F.col("keyword").isNotNull()).orderBy(F.col("ts").desc(), F.col("path").desc())
-    return newest.limit(min(kept, shown) if shown else kept)
+    return newest if shown is None else newest.limit(shown)
 
 
 def sharing_counts(audit: DataFrame) -> DataFrame:

@@ -22,8 +22,6 @@ _MODES = {
     "similarity": "similarity",
     "fuzzy": "similarity",
 }
-# Fixed value: above this number of files the similarity step is left out by default.
-MAX_FILES_FOR_SIMILARITY = 400
 
 
 def clustering_mode(name: str | None) -> str:
@@ -42,23 +40,16 @@ def assign_components(
     files: DataFrame,
     clustering: str = "both",
     settings: SimilaritySettings = SimilaritySettings(),
-    max_files_for_similarity: int | None = MAX_FILES_FOR_SIMILARITY,
 ) -> DataFrame:
     """Add ``group_key`` and ``component`` to every file that has a hash.
 
-    With copy keys alone a component is its key, and nothing is joined. ``max_files_for_similarity``
-    of None compares corpora of any size.
+    With copy keys alone a component is its key, and nothing is joined.
     """
     rows = hashed_files(files)
     mode = clustering_mode(clustering)
-    if mode != "filename_key" and max_files_for_similarity is not None:
-        if rows.select("path").limit(max_files_for_similarity + 1).count() > max_files_for_similarity:
-            mode = "filename_key" if mode == "both" else "none"
     keyed = rows.withColumn("group_key", lineage_group_key(basename("path")))
     if mode == "filename_key":
         return keyed.withColumn("component", F.col("group_key"))
-    if mode == "none":
-        return keyed.withColumn("component", F.col("path"))
 
     features = similarity_features(rows).withColumn("cls", feature_class(settings))
     features = cut_lineage(features)
@@ -106,7 +97,7 @@ def multi_groups(members: DataFrame) -> DataFrame:
 
 
 def ordered_groups(members: DataFrame) -> DataFrame:
-    return multi_groups(members).orderBy(F.col("size").desc(), F.col("group_key"))
+    return multi_groups(members).orderBy(F.col("size").desc(), F.col("group_key"), F.col("component"))
 
 
 def summary_counts(members: DataFrame) -> DataFrame:
@@ -160,10 +151,11 @@ def version_edges(members: DataFrame) -> DataFrame:
     )
 
 
-def singletons(members: DataFrame, limit: int = 80) -> DataFrame:
+def singletons(members: DataFrame, limit: int | None = None) -> DataFrame:
     """Files in no group of two or more, by path."""
     rest = members.join(multi_groups(members).select("component"), "component", "left_anti")
-    return rest.orderBy(F.lower("path"), "path").limit(limit).select("path", "security_level")
+    shown = rest.orderBy(F.lower("path"), "path").select("path", "security_level")
+    return shown if limit is None else shown.limit(limit)
 
 
 def lineage_detail(members: DataFrame) -> DataFrame:
@@ -181,51 +173,36 @@ def lineage_detail(members: DataFrame) -> DataFrame:
     )
 
 
-def description_lines(members: DataFrame, max_groups: int = 8) -> DataFrame:
-    """``component, position, line``: one line per member of the first groups in display order."""
-    first = ordered_groups(members).limit(max_groups).select("component", "size", F.col("group_key").alias("label_key"))
-    summary = F.translate(F.trim(F.coalesce("summary", F.lit(""))), "\n", " ")
-    summary = F.when(F.length(summary) > 320, F.concat(F.substring(summary, 1, 317), F.lit("..."))).otherwise(summary)
-    line = F.concat(
-        F.lit("- "),
-        basename("path"),
-        F.lit(" | sec="),
-        F.coalesce("security_level", F.lit("")),
-        F.lit(" | tags="),
-        tags_cell("tags"),
-        F.lit(" | summary_excerpt="),
-        summary,
+def description_lines(members: DataFrame, max_groups: int | None = None) -> DataFrame:
+    """``component, size, label_key, position, line``: one JSON line per member of the groups of
+    two and more, of the first ``max_groups`` in display order where that is given."""
+    kept = multi_groups(members).select("component", "size", F.col("group_key").alias("label_key"))
+    if max_groups is not None:
+        kept = F.broadcast(kept.orderBy(F.col("size").desc(), "label_key", "component").limit(max_groups))
+    facts = F.struct(
+        basename("path").alias("file"),
+        F.col("security_level").alias("level"),
+        F.coalesce("tags", F.array().cast("array<string>")).alias("tags"),
+        F.trim(F.regexp_replace(F.coalesce("summary", F.lit("")), r"\s+", " ")).alias("about"),
     )
-    # At most max_groups rows on the broadcast side.
-    chosen = members.join(F.broadcast(first), "component")
-    return timeline(chosen).select("component", "size", "label_key", "position", line.alias("line"))
+    return timeline(members.join(kept, "component")).select("component", "size", "label_key", "position", F.to_json(facts).alias("line"))
 
 
-_SHORTEST_LINE = len("-  | sec= | tags= | summary_excerpt=")
-
-
-def group_hints(lines: DataFrame, scorer: Scorer, max_context_chars: int = 12_000) -> DataFrame:
-    """One-line guesses about how the members of a group relate, from the user's scorer.
-
-    The scorer sees the head of the description that fits its context, so only the lines that can
-    reach into it are brought together.
-    """
-    reach = -(-max_context_chars // _SHORTEST_LINE)
+def group_hints(lines: DataFrame, scorer: Scorer, lines_per_question: int = 50) -> DataFrame:
+    """``component, part, hint``: one-line guesses about how the members of a group relate, from the
+    user's scorer. A large group is asked about in parts, ``lines_per_question`` members at a time."""
+    part = F.floor((F.col("position") - 1) / lines_per_question).cast("int")
     ordered = F.sort_array(F.collect_list(F.struct("position", "line")))
     asked = (
-        lines.filter(F.col("position") <= reach)
-        .groupBy("component")
+        lines.groupBy("component", part.alias("part"))
         .agg(F.array_join(F.transform(ordered, lambda e: e["line"]), "\n").alias("text"))
-        .select(
-            F.col("component").alias("sha256"),
-            F.substring("text", 1, max_context_chars).alias("text"),
-            F.lit("relationship").alias("hint"),
-        )
+        .select(F.to_json(F.struct("component", "part")).alias("sha256"), "text", F.lit("relationship").alias("hint"))
     )
     answer = F.try_variant_get(F.try_parse_json(extract_json("raw")), "$.hint", "string")
+    of = F.from_json("sha256", "component string, part int")
     return (
         _score(asked, scorer)
-        .select(F.col("sha256").alias("component"), one_line(answer).alias("hint"))
+        .select(of["component"].alias("component"), of["part"].alias("part"), one_line(answer).alias("hint"))
         .filter(F.coalesce(F.col("hint"), F.lit("")) != "")
     )
 

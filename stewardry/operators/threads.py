@@ -124,25 +124,22 @@ def build_threads(
     include_conversations: bool = True,
     min_rel_depth: int = 1,
     max_members: int = 12,
-    max_threads: int = 20,
+    max_threads: int | None = None,
 ) -> DataFrame:
-    """The newest threads of ``members`` (files with ``group_key`` and ``component``).
+    """Threads of ``members`` (files with ``group_key`` and ``component``).
 
     A version group is left out only if every one of its files already shows in a conversation.
     Counts and levels are those of the members shown, qualification looks at whole folders.
     """
-    top_members = max(3, min(40, int(max_members)))
-    top_threads = max(3, min(80, int(max_threads)))
-    depth = max(1, min(8, int(min_rel_depth)))
     today = utc_day(as_timestamp(as_of))
     versions = group_members(members).withColumn("in_version", F.lit(True))
     rank = [F.col("last_utc").desc_nulls_last(), F.col("_kind"), F.col("_size").desc(), F.col("_first"), F.col("_key")]
 
     conversations = None
     if include_conversations and roots:
-        in_folders = folder_files(members, roots, depth)
+        in_folders = folder_files(members, roots, min_rel_depth)
         folders = qualifying_folders(in_folders, bundles)
-        shown = _newest(in_folders.join(folders, "folder"), "folder", top_members)
+        shown = _newest(in_folders.join(folders, "folder"), "folder", max_members)
         shown = (
             shown.join(versions.select("path", "in_version"), "path", "left")
             .withColumn("in_version", F.coalesce("in_version", F.lit(False)))
@@ -161,7 +158,7 @@ def build_threads(
         outside = versions.join(shown.filter(F.col("in_version")).select("path"), "path", "left_anti")
         versions = versions.join(outside.select("component").distinct(), "component", "left_semi")
 
-    listed = _newest(versions, "component", top_members).withColumn(
+    listed = _newest(versions, "component", max_members).withColumn(
         "role", F.when(F.col("pos") == 1, "latest").otherwise("version")
     )
     threads = _assemble(listed, ["component", "label_key", "size"], today).select(
@@ -177,7 +174,9 @@ def build_threads(
     )
     if conversations is not None:
         threads = conversations.unionByName(threads)
-    return threads.orderBy(*rank).limit(top_threads).withColumn(
+    if max_threads is not None:
+        threads = threads.orderBy(*rank).limit(max_threads)
+    return threads.withColumn(
         "rank", F.struct(*[F.col(c) for c in ("_kind", "_size", "_first", "_key")])
     ).drop("_kind", "_size", "_first", "_key")
 

@@ -196,8 +196,8 @@ def lineage_map(spark: SparkSession, sf: str) -> DataFrame:
     "group_descriptions",
     c.MEMBERS_SQL,
     sql="""SELECT group_key AS label_key, row_number() OVER (PARTITION BY group_key ORDER BY last_analyzed_utc, lower(path), path) AS position,
-      '- ' || basename || ' | sec=' || security_level || ' | tags=' || array_to_string(tags, ', ') || ' | summary_excerpt=' || summary AS line
-      FROM members JOIN (SELECT group_key FROM multi ORDER BY size DESC, group_key LIMIT 8) USING (group_key)""",
+      CAST(to_json({'file': basename, 'level': security_level, 'tags': tags, 'about': summary}) AS VARCHAR) AS line
+      FROM members JOIN multi USING (group_key)""",
 )
 def group_lines(spark: SparkSession, sf: str) -> DataFrame:
     return description_lines(c.members(spark, sf)).select("label_key", F.col("position").cast("long").alias("position"), "line")
@@ -240,9 +240,7 @@ label AS MATERIALIZED (SELECT node AS ord, min(seen) AS component FROM reach GRO
 @query("lineage_by_summary", _COMPONENTS_SQL, sql="SELECT path, label.component AS first_ord FROM feats JOIN label USING (ord)")
 def lineage_by_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Copy keys and summary overlap of one half, any number of files; components named by their first file."""
-    members = assign_components(
-        c.corpus(spark, sf), "both", SimilaritySettings(0.5, 0.0, 1.0), max_files_for_similarity=None
-    )
+    members = assign_components(c.corpus(spark, sf), "both", SimilaritySettings(0.5, 0.0, 1.0))
     first = members.groupBy("component").agg(F.min("ord").alias("first_ord"))
     return members.join(first, "component").select("path", "first_ord")
 
@@ -250,7 +248,7 @@ def lineage_by_summary(spark: SparkSession, sf: str) -> DataFrame:
 @query("lineage_blended")
 def lineage_blended(spark: SparkSession, sf: str) -> DataFrame:
     """The default blend of name ratio and summary overlap, for corpora of any size."""
-    members = assign_components(c.corpus(spark, sf), "both", max_files_for_similarity=None)
+    members = assign_components(c.corpus(spark, sf), "both")
     return multi_groups(members).select("group_key", "size", "variants", "label_path")
 
 

@@ -105,7 +105,7 @@ def summary_words(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "display_cells",
     c.FILES_SQL,
-    sql=r"""SELECT ord, trim(regexp_replace(replace(substr(text, 1, 400), '|', '\|'), '\s+', ' ', 'g')) AS cell,
+    sql=r"""SELECT ord, trim(regexp_replace(replace(text, '|', '\|'), '\s+', ' ', 'g')) AS cell,
       CASE WHEN length(summary) > 80 THEN substr(translate(summary, chr(34) || chr(10) || '[]', chr(39) || ' ()'), 1, 77) || '...'
         ELSE translate(summary, chr(34) || chr(10) || '[]', chr(39) || ' ()') END AS label,
       array_to_string(tags, ', ') AS tags, array_to_string(list_transform(tags, lambda t: lower(trim(t))), '/') AS tag_set,
@@ -116,7 +116,7 @@ def display_cells(spark: SparkSession, sf: str) -> DataFrame:
     labelled = format_level("security_level", {"P1": "Secret"})
     return c.files(spark, sf).select(
         "ord",
-        sanitize_cell(F.substring("text", 1, 400)).alias("cell"),
+        sanitize_cell("text").alias("cell"),
         label_safe("summary").alias("label"),
         tags_cell("tags").alias("tags"),
         F.array_join(tag_set("tags"), "/").alias("tag_set"),
@@ -347,7 +347,7 @@ def keyword_scorer(texts: list[str], hints: list[str]) -> list[str]:
 )
 def scored_documents(spark: SparkSession, sf: str) -> DataFrame:
     docs = c.corpus(spark, sf).select("path", "sha256", "text", F.lit("").alias("hint"))
-    scored = classify(docs, keyword_scorer, "lm_studio", max_context_chars=10_000_000)
+    scored = classify(docs, keyword_scorer, "lm_studio", part_chars=10_000_000)
     flags = quality_flags("inference_source", "result.tags", "result.security_level")
     return scored.select(
         "path",
@@ -382,9 +382,9 @@ def fallback_documents(spark: SparkSession, sf: str) -> DataFrame:
     c.FILES_SQL,
     sql=r"""SELECT path, rule_hits, CASE WHEN floor_level = '' THEN model_security_level ELSE least(model_security_level, floor_level) END AS level,
       CASE WHEN floor_level <> '' AND floor_level < model_security_level THEN floor_level END AS floor,
-      concat_ws(chr(10), CASE WHEN h_email THEN '- email: e-mail address (prefer >= P1)' END,
-        CASE WHEN h_card THEN '- card: card-like number (prefer >= P1)' END, CASE WHEN h_ipv4 THEN '- ipv4: network address (prefer >= P2)' END,
-        CASE WHEN h_license THEN '- license: license (prefer >= P3)' END, CASE WHEN h_question THEN '- question: question' END) AS hint FROM files""",
+      concat_ws(chr(10), CASE WHEN h_email THEN '{"rule":"email","at_least":"P1","hint":"e-mail address"}' END,
+        CASE WHEN h_card THEN '{"rule":"card","at_least":"P1","hint":"card-like number"}' END, CASE WHEN h_ipv4 THEN '{"rule":"ipv4","at_least":"P2","hint":"network address"}' END,
+        CASE WHEN h_license THEN '{"rule":"license","at_least":"P3","hint":"license"}' END, CASE WHEN h_question THEN '{"rule":"question","hint":"question"}' END) AS hint FROM files""",
 )
 def rule_hits(spark: SparkSession, sf: str) -> DataFrame:
     hit = c.judged(spark, sf).withColumn("f", security_floor("model_security_level", "hits"))
@@ -457,10 +457,9 @@ def categories(spark: SparkSession, sf: str) -> DataFrame:
     sql=rf"""SELECT strftime(last_analyzed_utc, '%Y-%m-%d %H:%M:%S') || ' (UTC+00:00)' AS analyzed_at, {c.NAME_SQL} AS file, sha256,
       array_to_string(tags, ', ') AS tags,
       CASE security_level WHEN 'P1' THEN '매우 민감' WHEN 'P2' THEN '민감' WHEN 'P3' THEN '내부' ELSE '일반' END || ' (' || security_level || ')' AS security,
-      CASE WHEN inference_source = 'mock' THEN 'mock (no_scorer)'
-        WHEN owner_override AND inference_reason <> '' THEN inference_source || ' + owner (' || inference_reason || ')'
-        WHEN owner_override THEN inference_source || ' + owner tags'
-        WHEN inference_reason <> '' THEN inference_source || ' (' || inference_reason || ')' ELSE inference_source END AS inference,
+      CASE WHEN inference_source = 'mock' THEN 'mock [no_scorer]'
+        WHEN owner_override THEN inference_source || ' [owner' || CASE WHEN inference_reason <> '' THEN '; ' || inference_reason ELSE '' END || ']'
+        WHEN inference_reason <> '' THEN inference_source || ' [' || inference_reason || ']' ELSE inference_source END AS inference,
       trim(regexp_replace(replace(summary, '|', '\|'), '\s+', ' ', 'g')) AS summary FROM files""",
 )
 def classification_report(spark: SparkSession, sf: str) -> DataFrame:

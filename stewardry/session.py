@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 import sys
-import tempfile
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -33,23 +33,22 @@ def build_session(app: str = "stewardry", master: str | None = None, **conf: str
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SQL_SETTINGS, **conf}.items():
+    for key, value in {**SQL_SETTINGS, "spark.cleaner.referenceTracking.cleanCheckpoints": "true", **conf}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if named:
-        if current is None:
-            spark.sparkContext.setCheckpointDir(named)
-        return named
-    if current is None:
-        current = tempfile.mkdtemp(prefix="stewardry-ckpt-")
-        spark.sparkContext.setCheckpointDir(current)
-    return current
+    """The shared folder named in ``spark.checkpoint.dir``. Where none is named, a local session
+    uses a folder in its warehouse; a cluster must name one that all executors see."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(named)
+    return named
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

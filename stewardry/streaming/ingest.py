@@ -43,7 +43,7 @@ class IngestSettings:
     extractors: Mapping[str, Extractor] = field(default_factory=dict)
     scorer: Scorer | None = None
     source: str = "scorer"
-    max_context_chars: int = 12_000
+    part_chars: int = 12_000
     rules: Sequence[Rule] = ()
     catalog: Catalog | None = None
     clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc)
@@ -111,7 +111,7 @@ def process_batch(
 
     hits = match_rules("text", settings.rules)
     waiting = routed.filter(F.col("outcome") == "classify").withColumn("hits", hits).withColumn("hint", rule_hint_block("hits"))
-    scored = classify(waiting, settings.scorer, settings.source, settings.max_context_chars)
+    scored = classify(waiting, settings.scorer, settings.source, settings.part_chars)
     judged = scored.withColumns(
         {
             "model_tags": F.col("result.tags"),
