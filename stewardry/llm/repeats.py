@@ -7,7 +7,7 @@ suffixes that start at anchors need to be compared, about one in eighty.
 Strings around anchors with one hash are settled by counting where all bytes around the anchor
 are alike, and by sorting where they are not: within a task the contexts of one anchor hash are
 suffix-sorted (see ``suffix_sort``), and neighbours in that order tell which strings repeat.
-Where very many different contexts share an anchor, the strings themselves are counted.
+Where very many different contexts share an anchor, slices of them, and strings, are counted.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from .words import mix, pieces, prefix_sums, span_hashes, text_bytes
 
 GRAM = 40
 CROWD = 256  # different contexts of one anchor that are sorted together
+SLICE = 8  # distances counted together where there are more
 SEGMENT = 1 << 20
 _LOW = np.uint64((1 << 22) - 1)
 
@@ -141,27 +142,87 @@ def _sorted_matches(contexts: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(rows, "key bigint, start bigint, end bigint")
 
 
-def _counted_matches(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with a crowd of contexts: strings counted by hash."""
+def _spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Owner and number within the owner of so many things each."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _hash_in(sums: np.ndarray, start: np.ndarray, end: np.ndarray, with_: np.ndarray) -> np.ndarray:
+    return mix(span_hashes(sums, start, end) + with_.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)).view(np.int64)
+
+
+def _slices(contexts: DataFrame, length: int) -> DataFrame:
+    """Contexts cut by the distance of a string to the anchor, ``SLICE`` distances at a time:
+    ``core`` names the bytes that all strings of a slice share, ``whole`` all bytes they have."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, place, h = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("key", "place", "h"))
             single = batch.column("single").to_numpy(zero_copy_only=False)
             data, bounds = text_bytes(batch.column("context"))
-            n = np.diff(bounds) - length + 1
-            owner = np.repeat(np.arange(len(n)), n)
-            at = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-            start = bounds[owner] + at
-            whole = mix(span_hashes(prefix_sums(data), start, start + length) + h[owner].view(np.uint64)).view(np.int64)
-            begin = (place[owner] >> 16) - (place[owner] >> 8 & 255) + at
-            columns = (key[owner], begin, single[owner], whole)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "start", "single", "whole"])
-
-    each = contexts.select("key", "place", "h", "single", "context").mapInArrow(rows, "key bigint, start bigint, single boolean, whole bigint")
-    each = store(each)
-    again = each.groupBy("whole").count().filter("count > 1").select("whole")
-    return each.filter("single").join(again, "whole", "left_semi").select("key", "start", (F.col("start") + length).alias("end"))
+            sums = prefix_sums(data)
+            most, least = place >> 8 & 255, place & 255
+            owner, nth = _spread(most // SLICE - least // SLICE + 1)
+            slice_ = least[owner] // SLICE + nth
+            near, far = slice_ * SLICE, slice_ * SLICE + SLICE - 1
+            at = bounds[owner] + most[owner]  # the anchor
+            core = _hash_in(sums, at - near, at + length - far, h[owner] + slice_)
+            low, high = np.maximum(near, least[owner]), np.minimum(far, most[owner])
+            whole = _hash_in(sums, at - high, at + length - low, core + low * 256 + high)
+            columns = (key[owner], place[owner], single[owner], slice_, core, whole)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "place", "single", "slice", "core", "whole"])
+
+    schema = "key bigint, place bigint, single boolean, slice bigint, core bigint, whole bigint"
+    return contexts.select("key", "place", "h", "single", "context").mapInArrow(rows, schema)
+
+
+def _strings(asked: DataFrame, length: int) -> DataFrame:
+    """``key, start, ask, string`` for every string of the asked slices (``slices`` of a context)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, place = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("key", "place"))
+            data, bounds = text_bytes(batch.column("context"))
+            slices = batch.column("slices")
+            inner = slices.flatten()
+            context, _ = _spread(np.diff(slices.offsets.to_numpy()))
+            slice_, ask = (inner.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            most, least = (place >> 8 & 255)[context], (place & 255)[context]
+            low, high = np.maximum(slice_ * SLICE, least), np.minimum(slice_ * SLICE + SLICE - 1, most)
+            owner, nth = _spread(high - low + 1)
+            distance = low[owner] + nth
+            of = context[owner]
+            start = bounds[of] + most[owner] - distance
+            string = span_hashes(prefix_sums(data), start, start + length).view(np.int64)
+            columns = (key[of], (place[of] >> 16) - distance, ask[owner], string)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "start", "ask", "string"])
+
+    return asked.select("key", "place", "context", "slices").mapInArrow(rows, "key bigint, start bigint, ask boolean, string bigint")
+
+
+def _counted_matches(contexts: DataFrame, length: int) -> DataFrame:
+    """The same for anchors with a crowd of contexts. Slices of contexts are counted; strings are
+    counted one by one only in slices that are alike in part."""
+    contexts = store(contexts)
+    each = store(_slices(contexts, length))
+    kinds = each.groupBy("core", "whole", "slice").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "place")).alias("first"), F.max("single").alias("single")
+    )
+    kinds = store(kinds)
+    alike = each.filter("single").join(kinds.filter("n > 1").select("whole"), "whole", "left_semi")
+    position, most, least = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255), F.col("place").bitwiseAND(255)
+    high = F.least(most, F.col("slice") * SLICE + SLICE - 1)
+    low = F.greatest(least, F.col("slice") * SLICE)
+    whole = alike.select("key", (position - high).alias("start"), (position - low + length).alias("end"))
+    ask = (F.col("n") == 1) & F.col("single")
+    open_ = kinds.groupBy("core").agg(F.count(F.lit(1)).alias("k"), F.max(ask).alias("asked")).filter((F.col("k") > 1) & F.col("asked"))
+    parts = kinds.join(open_.select("core"), "core", "left_semi").select("first.*", F.struct("slice", ask.alias("ask")).alias("s"))
+    parts = parts.groupBy("key", "place").agg(F.collect_list("s").alias("slices"))
+    strings = store(_strings(contexts.join(parts, ["key", "place"]), length))
+    again = strings.groupBy("string").count().filter("count > 1").select("string")
+    single = strings.filter("ask").join(again, "string", "left_semi")
+    return whole.unionByName(single.select("key", "start", (F.col("start") + length).alias("end")))
 
 
 def _runs(spans: list[dict]) -> list[tuple[int, int]]:
