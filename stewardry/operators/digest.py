@@ -283,7 +283,7 @@ def status(
         "backends": backend_counts(files),
         "changes": recent_changes(files, 6),
         "categories": category_counts(files),
-        "sensitive_skips": recent_sensitive_skips(skips, 40, 8),
+        "sensitive_skips": recent_sensitive_skips(skips, 8),
         "last_inference": last_inference(files),
     }
     if cadence is not None:

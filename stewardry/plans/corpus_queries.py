@@ -208,15 +208,17 @@ def group_lines(spark: SparkSession, sf: str) -> DataFrame:
     c.MEMBERS_SQL,
     """,
 peers AS (
-  SELECT path, lag(path) OVER w AS peer_path, lag(summary) OVER w AS prev_summary, summary, lag(sha256) OVER w = sha256 AS same
-  FROM members WINDOW w AS (PARTITION BY group_key ORDER BY last_analyzed_utc, ord))""",
+  SELECT path, lag(path) OVER w AS peer_path, lag(summary) OVER w AS prev_summary, summary, lines, lag(lines) OVER w AS old
+  FROM (SELECT *, list_distinct(list_filter(string_split_regex(text, '\\r\\n|\\r|\\n'), lambda x: x <> '')) AS lines FROM members)
+  WINDOW w AS (PARTITION BY group_key ORDER BY last_analyzed_utc, ord)),
+counted AS (
+  SELECT *, len(lines) - len(list_intersect(lines, old)) AS added, len(old) - len(list_intersect(lines, old)) AS removed FROM peers)""",
     sql="""SELECT path, peer_path, CASE WHEN peer_path IS NULL THEN NULL WHEN prev_summary <> summary
-      THEN 'summary: ' || substr(prev_summary, 1, 80) || ' -> ' || substr(summary, 1, 80) ELSE 'other' END AS line FROM peers""",
+      THEN 'summary: ' || substr(prev_summary, 1, 80) || ' -> ' || substr(summary, 1, 80)
+      WHEN added + removed > 0 THEN 'text: lines new ' || added || ' gone ' || removed ELSE 'other bytes, same lines' END AS line FROM counted""",
 )
 def peer_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """The text of body changes comes from a diff and is only marked here."""
-    line = F.when(F.col("change_kind") == "summary", F.col("change_summary")).when(F.col("change_kind").isNotNull(), "other")
-    return peer_changes(c.members(spark, sf)).select("path", "peer_path", line.alias("line"))
+    return peer_changes(c.members(spark, sf)).select("path", "peer_path", F.col("change_summary").alias("line"))
 
 
 _COMPONENTS_SQL = (
@@ -588,12 +590,13 @@ def related_to_newest(spark: SparkSession, sf: str) -> DataFrame:
     "bundles_of_newest",
     c.DOCUMENT_EVENTS_SQL,
     c.bundles_sql(120),
-    sql="""SELECT bundle_id, anchor_path FROM bundles, (SELECT arg_max(path, ord) AS p FROM corpus)
+    sql="""SELECT bundle_id, anchor_path FROM bundles, (SELECT related_paths[1] AS p FROM bundles ORDER BY anchor_us DESC, ord DESC LIMIT 1)
       WHERE anchor_path = p OR list_contains(related_paths, p) ORDER BY anchor_us DESC, ord DESC LIMIT 8""",
 )
 def bundles_of_newest(spark: SparkSession, sf: str) -> DataFrame:
-    newest = c.corpus(spark, sf).orderBy(F.col("ord").desc()).select("path").first().path
-    return search.bundles_of(c.document_bundles(spark, sf), newest.upper()).select("bundle_id", "anchor_path")
+    bundles = c.stored(c.document_bundles(spark, sf))
+    newest = bundles.orderBy(F.col("anchor_event_utc").desc(), F.col("ord").desc()).first().related_paths[0]
+    return search.bundles_of(bundles, newest.upper()).select("bundle_id", "anchor_path")
 
 
 # ---------------------------------------------------------------- counts, digest, cadence, lint
@@ -631,7 +634,7 @@ def skip_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "sensitive_skips",
     c.SKIPS_SQL,
-    sql="SELECT path, keyword FROM skips WHERE keyword IS NOT NULL ORDER BY path DESC LIMIT 40",
+    sql="SELECT path, keyword FROM skips WHERE keyword IS NOT NULL ORDER BY path DESC",
 )
 def sensitive_skips(spark: SparkSession, sf: str) -> DataFrame:
     return digest.recent_sensitive_skips(c.skips(spark, sf)).select("path", "keyword")
@@ -639,11 +642,12 @@ def sensitive_skips(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "sensitive_names",
-    sql="""SELECT doc_id, CASE WHEN contains(text, '여권') THEN '여권' WHEN source LIKE '%1%' THEN 'src1' WHEN lang = 'es' THEN 'ES' END AS keyword FROM documents""",
+    c.CORPUS_SQL,
+    sql="""SELECT path, CASE WHEN contains(n, '여권') THEN '여권' WHEN contains(n, 'n1') THEN 'N1' WHEN contains(n, 'copy') THEN 'copy' END AS keyword
+      FROM (SELECT path, lower(regexp_extract(path, '[^/]*$')) AS n FROM corpus)""",
 )
 def sensitive_names(spark: SparkSession, sf: str) -> DataFrame:
-    name = F.concat(F.lit("/x/"), "source", F.lit("_"), F.when(F.col("source").contains("1"), "SRC1").otherwise(""), F.lit("_"), "lang")
-    return c.table(spark, sf, "documents").select("doc_id", sensitive_keyword(name, ["여권", "src1", "ES"]).alias("keyword"))
+    return c.corpus(spark, sf).select("path", sensitive_keyword("path", ["여권", "N1", "copy"]).alias("keyword"))
 
 
 @query(

@@ -7,19 +7,21 @@ from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.paths import in_excluded_dir, passes_file_filters
 from ..functions.times import as_timestamp
-from ..operators.classify import Scorer, classify
+from ..operators.classify import Scorer, classify, handling_hints
 from ..operators.governance import (
     Catalog,
     Rule,
     activity_rows,
     apply_governance,
+    audit_note,
     build_audit_rows,
+    build_report,
     match_rules,
     resolve_categories,
     rule_hint_block,
@@ -28,7 +30,7 @@ from ..operators.routing import checked, route, skip_events
 from ..operators.versions import adopt_renames, files_current
 from ..schema import FILES, OVERRIDES, with_columns_of
 from ..session import cut_lineage
-from ..sources.files import Extractor, extract, watch_files, with_sha256
+from ..sources.files import Extractor, extract, scan_files, watch_files, with_sha256
 from ..sources.sinks import write_batch
 
 
@@ -43,6 +45,8 @@ class IngestSettings:
     extractors: Mapping[str, Extractor] = field(default_factory=dict)
     scorer: Scorer | None = None
     source: str = "scorer"
+    handling_scorer: Scorer | None = None
+    history_entries: int = 8
     part_chars: int = 12_000
     rules: Sequence[Rule] = ()
     catalog: Catalog | None = None
@@ -53,7 +57,9 @@ def read_table(spark: SparkSession, root: str, name: str, before: int | None = N
     """A table written batch by batch; ``before`` leaves out the batch being written again."""
     try:
         table = spark.read.option("basePath", f"{root}/{name}").parquet(f"{root}/{name}")
-    except AnalysisException:
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     return table if before is None else table.filter(F.col("batch") < before)
 
@@ -124,11 +130,12 @@ def process_batch(
     if settings.catalog is not None:
         chosen = resolve_categories(settings.catalog, "result.category_ids", "result.category_id", "model_tags")
         governed = governed.withColumn("category_ids", chosen["ids"]).withColumn("category_needs_review", chosen["needs_review"])
-    known_ids = current.select("path", F.col("file_id").alias("_known"))
+    known = current.select("path", *[F.col(c).alias(f"_old_{c}") for c in ("file_id", "sha256", "summary", "summary_history")])
     made_id = F.substring(F.sha2(F.concat_ws("\x1f", "path", "sha256", F.lit(str(batch_id))), 256), 1, 32)
     versions = (
-        governed.join(known_ids, "path", "left")
-        .withColumn("file_id", F.coalesce("_known", made_id))
+        governed.join(known, "path", "left")
+        .withColumn("file_id", F.coalesce("_old_file_id", made_id))
+        .withColumns(_history_columns(at, settings.history_entries))
         .withColumn("last_analyzed_utc", at)
         .withColumn("last_checked_utc", at)
     )
@@ -146,7 +153,52 @@ def process_batch(
     write_batch(checked(routed, at), f"{root}/check_events", batch_id)
     write_batch(skip_events(routed, at), f"{root}/skip_events", batch_id)
     write_batch(activity_rows(routed, at), f"{root}/activity_log", batch_id)
-    write_batch(build_audit_rows(new_versions), f"{root}/audit_log", batch_id)
+    write_batch(_audit_rows(new_versions, waiting, settings), f"{root}/audit_log", batch_id)
+    write_batch(build_report(new_versions, settings.catalog), f"{root}/classification_report", batch_id)
+
+
+def _history_columns(at: Column, entries: int) -> dict[str, Column]:
+    """Change line and history of a new version, against the stored version of its path.
+
+    Old texts are not kept, so a change is told by the summary, else by the hash alone.
+    """
+    changed = F.coalesce(F.col("_old_sha256") != F.col("sha256"), F.lit(False))
+    old, new = F.coalesce("_old_summary", F.lit("")), F.coalesce("summary", F.lit(""))
+    reworded = (old != "") & (new != "") & (old != new)
+    line = F.when(reworded, F.concat(F.lit("summary: "), F.substring(old, 1, 80), F.lit(" -> "), F.substring(new, 1, 80))).otherwise("other content")
+    entry = F.struct(
+        F.col("sha256").alias("sha256"), F.col("summary").alias("summary"), at.alias("utc"), F.when(changed, line).alias("change_summary")
+    )
+    before = F.coalesce("_old_summary_history", F.array().cast(FILES["summary_history"].dataType))
+    return {
+        "last_change_summary": F.when(changed, line),
+        "last_change_utc": F.when(changed, at),
+        "summary_history": F.slice(F.concat(before, F.array(entry)), -F.least(F.size(before) + 1, F.lit(entries)), entries),
+    }
+
+
+def _audit_rows(versions: DataFrame, texts: DataFrame, settings: IngestSettings) -> DataFrame:
+    """Audit rows of a batch, with the handling note of each sensitive content where a scorer gives one."""
+    if settings.handling_scorer is None:
+        return build_audit_rows(versions)
+    levels = versions.select("path", "security_level")
+    notes = handling_hints(texts.select("path", "sha256", "text").join(levels, "path"), settings.handling_scorer)
+    noted = versions.join(notes, ["sha256", "security_level"], "left")
+    return build_audit_rows(noted, audit_note("handling.handling_note", "handling.sharing"))
+
+
+def ingest_scan(
+    spark: SparkSession,
+    roots: Sequence[str],
+    root: str,
+    batch_id: int,
+    settings: IngestSettings,
+    overrides: DataFrame | None = None,
+) -> None:
+    """One pass over all files that exist now, as a batch. Unlike the stream, which reports new
+    paths only, this finds modified files, and renamed ones keep their id."""
+    listing = scan_files(spark, roots, settings.extensions, settings.exclude_dirs, settings.min_bytes, settings.max_bytes)
+    process_batch(listing, batch_id, root, settings, overrides, live=listing.select("path"))
 
 
 def start_ingest(
