@@ -11,6 +11,7 @@ from ..functions.times import as_timestamp
 from ..operators import digest, lint, search
 from ..operators.bundles import bundle_rows, context_bundles
 from ..operators.cadence import CadenceRule, cadence_log, evaluate_cadence
+from ..operators.governance import Rule, match_rules
 from ..operators.lineage import (
     assign_components,
     by_hash_groups,
@@ -481,6 +482,34 @@ def search_second_page(spark: SparkSession, sf: str) -> DataFrame:
     return _page(search.search(c.files(spark, sf), query=" THE ", limit=15, cursor=search.encode_cursor(15)).results)
 
 
+@query(
+    "search_by_key",
+    c.FILES_SQL,
+    sql=f"""SELECT {_PAGE_SQL} FROM files WHERE contains(lower(path || chr(10) || summary || chr(10) || array_to_string(tags, ', ') || chr(10)
+      || array_to_string(category_ids, ' ')), 'the') ORDER BY last_analyzed_utc DESC, ord LIMIT 15 OFFSET 15""",
+)
+def search_by_key(spark: SparkSession, sf: str) -> DataFrame:
+    """The page behind the first one, from its key on."""
+    files = c.files(spark, sf)
+    first = search.search_after(files, query=" THE ", limit=15)
+    return _page(search.search_after(files, query=" THE ", limit=15, token=first.next_token() or "").results)
+
+
+@query(
+    "pattern_matches",
+    c.CORPUS_SQL,
+    sql=r"""SELECT ord, concat_ws(',', CASE WHEN regexp_matches(text, '(?i)(a)b') THEN 'named' END, CASE WHEN regexp_matches(text, '(?i)[\[a]b') THEN 'bracket' END,
+      CASE WHEN regexp_matches(text, '(?i)ab') THEN 'comment' END, CASE WHEN regexp_matches(text, '(?i)[a&]c') THEN 'operator' END,
+      CASE WHEN regexp_matches(text, '(?im)^the\b') THEN 'line' END) AS ids FROM corpus""",
+)
+def pattern_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Patterns that mean something else, or nothing, in Java as they stand; one that is no pattern."""
+    stated = {"named": "(?P<x>a)b", "bracket": "[[a]b", "comment": "a(?#note)b", "operator": "[a&&]c", "line": r"^the\b", "none": "(?P<a_b>x)|("}
+    rules = [Rule(id=k, pattern=p) for k, p in stated.items()]
+    found = F.transform(match_rules("text", rules), lambda h: h["id"])
+    return c.corpus(spark, sf).select("ord", F.array_join(found, ",").alias("ids"))
+
+
 @query(
     "search_by_pattern",
     c.FILES_SQL,
