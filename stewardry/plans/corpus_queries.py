@@ -26,7 +26,7 @@ from ..operators.lineage import (
     version_edges,
 )
 from ..operators.related import related_docs
-from ..operators.similarity import SimilaritySettings, jaccard_pairs, similarity_features
+from ..operators.similarity import SimilaritySettings, jaccard_pairs, similarity_features, stem_ratio_udf
 from ..operators.threads import build_threads, folder_files, qualifying_folders, threads_top
 from ..operators.versions import adopt_renames, assign_file_ids, files_current, peer_changes, recent_changes, summary_history
 from ..streaming.throttle import throttle
@@ -248,7 +248,73 @@ def lineage_by_summary(spark: SparkSession, sf: str) -> DataFrame:
     return members.join(first, "component").select("path", "first_ord")
 
 
-@query("lineage_blended")
+# The name ratio of two stems: twice the characters in matching blocks, by both lengths. The longest
+# common block (the first of equals) is taken, then the parts before and after it in the same way.
+_RATIO_SQL = """,
+grid AS MATERIALIZED (
+  SELECT a, b, i, j, max(l) AS l FROM (
+    SELECT a, b, i, j, unnest(range(1, least(length(a) - i, length(b) - j) + 1)) AS l
+    FROM (SELECT a, b, i, unnest(range(0, length(b))) AS j FROM (SELECT a, b, unnest(range(0, length(a))) AS i FROM stem_pairs)))
+  WHERE substr(a, i + 1, l) = substr(b, j + 1, l) GROUP BY a, b, i, j),
+work(a, b, alo, ahi, blo, bhi, l) AS (
+  SELECT a, b, 0::BIGINT, length(a), 0::BIGINT, length(b), 0::BIGINT FROM stem_pairs
+  UNION ALL
+  SELECT a, b, CASE side WHEN 0 THEN alo ELSE i + l END, CASE side WHEN 0 THEN i ELSE ahi END,
+    CASE side WHEN 0 THEN blo ELSE j + l END, CASE side WHEN 0 THEN j ELSE bhi END, CASE side WHEN 0 THEN l ELSE 0 END
+  FROM (
+    SELECT w.a, w.b, w.alo, w.ahi, w.blo, w.bhi, g.i, g.j, least(g.l, w.ahi - g.i, w.bhi - g.j) AS l,
+      row_number() OVER (PARTITION BY w.a, w.b, w.alo, w.ahi, w.blo, w.bhi ORDER BY least(g.l, w.ahi - g.i, w.bhi - g.j) DESC, g.i, g.j) AS r
+    FROM work w JOIN grid g ON g.a = w.a AND g.b = w.b AND g.i >= w.alo AND g.i < w.ahi AND g.j >= w.blo AND g.j < w.bhi
+  ), (VALUES (0), (1)) s(side) WHERE r = 1),
+ratios AS MATERIALIZED (
+  SELECT a, b, CASE WHEN length(a) + length(b) = 0 THEN 1.0 ELSE 2.0 * sum(l) / (length(a) + length(b)) END AS ratio FROM work GROUP BY a, b)"""
+
+_STEM_SQL = (
+    r"lower(regexp_replace(regexp_replace(regexp_replace(regexp_extract(path, '([^/]*)\.[^.]*$', 1), ' \(1\)$', ''), ' - copy$', ''), '_v2$', ''))"
+)
+
+
+@query(
+    "stem_ratios",
+    c.CORPUS_SQL,
+    f""",
+named AS (SELECT ord, {_STEM_SQL} AS stem FROM corpus),
+stem_pairs AS (SELECT DISTINCT x.stem AS a, y.stem AS b FROM named x JOIN named y ON y.ord > x.ord AND y.ord <= x.ord + 6)""",
+    _RATIO_SQL,
+    sql="SELECT a, b, round(ratio, 9) AS ratio FROM ratios",
+)
+def stem_ratios(spark: SparkSession, sf: str) -> DataFrame:
+    """Name ratios of files that lie near each other in the corpus."""
+    named = similarity_features(c.corpus(spark, sf)).select("ord", F.col("stem"))
+    near = named.select(F.col("stem").alias("a"), F.explode(F.sequence(F.col("ord") + 1, F.col("ord") + 6)).alias("ord"))
+    pairs = near.join(named.withColumnRenamed("stem", "b"), "ord").select("a", "b").distinct()
+    return pairs.select("a", "b", F.round(stem_ratio_udf()("a", "b"), 9).alias("ratio"))
+
+
+@query(
+    "lineage_blended",
+    c.CORPUS_SQL,
+    rf""",
+feats AS MATERIALIZED (
+  SELECT path, ord, sha256, last_analyzed_utc, {c.KEY_SQL} AS group_key, lower(regexp_extract(path, '\.[^.]*$')) AS ext, {_STEM_SQL} AS stem,
+    {c.TOKENS_SQL} AS tokens FROM corpus),
+tok AS MATERIALIZED (SELECT ord, ext, stem, len(tokens) AS n, unnest(tokens) AS t FROM feats),
+near AS MATERIALIZED (
+  SELECT a.ord AS u, b.ord AS v, any_value(a.stem) AS a, any_value(b.stem) AS b, count(*) / (a.n + b.n - count(*)) AS jac
+  FROM tok a JOIN tok b ON a.ext = b.ext AND a.t = b.t AND a.ord < b.ord GROUP BY a.ord, b.ord, a.n, b.n
+  HAVING 0.55 + 0.45 * (count(*) / (a.n + b.n - count(*))) >= 0.58),
+stem_pairs AS (SELECT DISTINCT a, b FROM near)""",
+    _RATIO_SQL,
+    """,
+one_way AS (SELECT u, v FROM near JOIN ratios USING (a, b) WHERE 0.55 * ratio + 0.45 * jac >= 0.58
+  UNION ALL SELECT a.ord, b.ord FROM feats a JOIN feats b ON a.group_key = b.group_key AND a.ord < b.ord),
+links AS MATERIALIZED (SELECT u, v FROM one_way UNION SELECT v, u FROM one_way),
+reach AS (SELECT ord AS node, ord AS seen FROM feats UNION SELECT reach.node, links.v FROM reach JOIN links ON links.u = reach.seen),
+label AS MATERIALIZED (SELECT node AS ord, min(seen) AS component FROM reach GROUP BY node)""",
+    sql="""SELECT arg_min(group_key, (last_analyzed_utc, lower(path), path)) AS group_key, count(*) AS size, count(DISTINCT sha256) AS variants,
+      arg_min(path, (last_analyzed_utc, lower(path), path)) AS label_path
+      FROM feats JOIN label USING (ord) GROUP BY component HAVING count(*) >= 2""",
+)
 def lineage_blended(spark: SparkSession, sf: str) -> DataFrame:
     """The default blend of name ratio and summary overlap, for corpora of any size."""
     members = assign_components(c.corpus(spark, sf), "both")
