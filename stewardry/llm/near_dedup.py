@@ -164,7 +164,8 @@ def named_set(text: Column, spec: NearDup) -> Column:
             names=["name", "shingles"],
         )
 
-    return sets(text)
+    # Else a filter on the name would be pushed below the choice of texts, and make all sets.
+    return sets.asNondeterministic()(text)
 
 
 def similarity_estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -328,7 +329,10 @@ def _links_in_block(spec: NearDup):
 
 def _open_buckets(live: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs of different components in the smaller buckets; the classes of the larger ones."""
-    sizes = live.groupBy("band").agg(F.count(F.lit(1)).alias("k"))
+    shares = live.groupBy("band", "c").agg(F.count(F.lit(1)).alias("n"))
+    sizes = shares.groupBy("band").agg(
+        F.sum("n").alias("k"), F.max("n").alias("most"), F.max(F.struct("n", "c"))["c"].alias("main")
+    )
     sized = store(live.select("band", "i", "node", "c", "n").join(sizes, "band"))
     few = sized.filter(F.col("k") <= SELF_JOIN)
     x = few.select("band", F.col("node").alias("a"), F.col("c").alias("ca"))
@@ -338,14 +342,19 @@ def _open_buckets(live: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _links_in_large(many: DataFrame, docs: DataFrame, classes: DataFrame, spec: NearDup) -> DataFrame:
-    """Links of different components in large buckets. Blocks of classes are compared within
-    tasks, and only links come out; a block holds at most about twice ``BLOCK`` classes."""
+    """Links of different components in large buckets. Blocks of about ``BLOCK`` classes are
+    compared within tasks, and only links come out. Blocks of the largest component of a bucket
+    meet those of the others only."""
     nodes = many.select("node").distinct()
     wanted = store(classes.join(small(nodes), "node", "left_semi"))
     held = wanted.join(_sets(docs, wanted, spec), "node").select("node", "sketch", "shingles")
-    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-    placed = many.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    in_main = F.col("c") == F.col("main")
+    others = F.ceil((F.col("k") - F.col("most")) / BLOCK).cast("int")
+    mains = F.ceil(F.col("most") / BLOCK).cast("int")
+    drawn = F.xxhash64("node")
+    block = F.when(in_main, others + F.pmod(drawn, mains)).otherwise(F.pmod(drawn, others)).cast("int")
+    last = F.when(in_main, others).otherwise(others + mains) - 1
+    placed = many.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     keyed = placed.select("band", "i", "node", "c", "n", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     groups_ = keyed.join(held, "node").groupBy("band", "low", "high")
     return store(groups_.applyInArrow(_links_in_block(spec), "a bigint, b bigint"))
