@@ -139,7 +139,7 @@ def profile(text: Column, spec: NearDup) -> Column:
         data, bounds = text_bytes(texts)
         sets: list[np.ndarray] = []
         rows: list[np.ndarray] = []
-        for i, j in pieces(bounds):
+        for i, j in pieces(bounds, 1 << 20):  # sketches of many sets at once
             some = shingle_sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i], spec.shingle)
             rows += list(sketches(some, spec.registers))
             sets += [(len(s), _name(s)) for s in some]

@@ -28,7 +28,7 @@ from .words import mix, pieces, prefix_sums, span_hashes, text_bytes
 GRAM = 40
 CROWD = 256  # different contexts of one anchor that are sorted together
 SLICE = 8  # distances counted together where there are more
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 _LOW = np.uint64((1 << 22) - 1)
 
 

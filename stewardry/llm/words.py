@@ -38,7 +38,7 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return found[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def pieces(bounds: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def pieces(bounds: np.ndarray, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of whole texts of at most ``limit`` bytes together; a longer text comes alone."""
     i, n = 0, len(bounds) - 1
     while i < n:
@@ -120,7 +120,7 @@ def windows(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarr
     return at, text[at], mix(joint)
 
 
-def in_pieces(texts: pa.Array, fn, limit: int = 1 << 20) -> pa.Array:
+def in_pieces(texts: pa.Array, fn, limit: int = 1 << 18) -> pa.Array:
     """``fn(data, bounds)`` for pieces of the batch, its struct arrays put together."""
     data, bounds = text_bytes(texts)
     done = [fn(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]) for i, j in pieces(bounds, limit)]
