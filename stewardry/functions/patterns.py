@@ -8,6 +8,7 @@ pattern, whatever Python thinks of it.
 from __future__ import annotations
 
 import re
+import warnings
 
 from pyspark import SparkContext
 
@@ -42,7 +43,9 @@ def _java_class(body: str) -> str:
 def java_pattern(pattern: str) -> str:
     """``pattern`` in Java's dialect; :class:`PatternError` where it has no equal there."""
     try:
-        re.compile(pattern)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", FutureWarning)  # set operators, which are text here
+            re.compile(pattern)
     except re.error as err:
         raise PatternError(str(err)) from None
     out, at = [], 0

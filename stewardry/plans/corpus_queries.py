@@ -721,6 +721,27 @@ def category_counts(spark: SparkSession, sf: str) -> DataFrame:
     return digest.category_counts(c.files(spark, sf))
 
 
+@query(
+    "status_tables",
+    c.AUDIT_SQL,
+    c.SKIPS_SQL.replace(c.CORPUS_SQL, ""),
+    sql="""SELECT 'levels' AS part, security_level AS name, count(*) AS n FROM files GROUP BY security_level
+      UNION ALL SELECT 'categories', category_id, count(*) FROM (SELECT unnest(category_ids) AS category_id FROM files) GROUP BY category_id
+      UNION ALL SELECT 'sensitive_skips', path, 1 FROM (SELECT path FROM skips WHERE keyword IS NOT NULL ORDER BY path DESC LIMIT 8)
+      UNION ALL SELECT 'counters', 'tracked_files', count(*) FROM files""",
+)
+def status_tables(spark: SparkSession, sf: str) -> DataFrame:
+    tables = digest.status(c.files(spark, sf), c.skips(spark, sf), c.audit(spark, sf), "2024-01-01 12:00:00")
+    rows = lambda part, name, n: tables[part].select(F.lit(part).alias("part"), name.alias("name"), n.cast("long").alias("n"))
+    shown = [
+        rows("levels", F.col("level"), F.col("n")),
+        rows("categories", F.col("category_id"), F.col("n")),
+        rows("sensitive_skips", F.col("path"), F.lit(1)),
+        rows("counters", F.lit("tracked_files"), F.col("tracked_files")),
+    ]
+    return shown[0].unionByName(shown[1]).unionByName(shown[2]).unionByName(shown[3])
+
+
 @query("skip_counts", c.SKIPS_SQL, sql="SELECT reason, count(*) AS n, count(keyword) AS sensitive FROM skips GROUP BY reason")
 def skip_counts(spark: SparkSession, sf: str) -> DataFrame:
     return digest.skip_counts(c.skips(spark, sf))

@@ -21,7 +21,7 @@ from ..functions.text import (
     tags_cell,
 )
 from ..functions.times import as_timestamp, in_period, iso_utc, parse_utc, report_time
-from ..operators.classify import classify, extract_json, parse_handling, quality_flags, validate_classification
+from ..operators.classify import classify, extract_json, handling_hints, parse_handling, quality_flags, validate_classification
 from ..operators.governance import (
     activity_rows,
     build_report,
@@ -327,11 +327,29 @@ def handling(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def note_scorer(texts: list[str], hints: list[str]) -> list[str]:
+    """Stands for a model that writes handling notes."""
+    share = lambda t: "redact_before_external" if "@" in t else "ok_external"
+    return ['{"handling_note": "%d characters", "sharing": "%s"}' % (len(t), share(t)) for t in texts]
+
+
+@query(
+    "handling_notes",
+    c.FILES_SQL,
+    sql="""SELECT DISTINCT sha256, security_level, length(text) || ' characters' AS note,
+      CASE WHEN contains(text, '@') THEN 'redact_before_external' ELSE 'ok_external' END AS sharing FROM files WHERE security_level IN ('P1', 'P2')""",
+)
+def handling_notes(spark: SparkSession, sf: str) -> DataFrame:
+    docs = c.files(spark, sf).select("sha256", "text", "security_level")
+    found = handling_hints(docs, note_scorer, part_chars=10_000_000)
+    return found.select("sha256", "security_level", F.col("handling.handling_note").alias("note"), F.col("handling.sharing").alias("sharing"))
+
+
 def keyword_scorer(texts: list[str], hints: list[str]) -> list[str]:
     """Stands for a model: a level from one word, an answer in a fence, a refusal to answer the first time."""
     out = []
     for text, hint in zip(texts, hints):
-        if "\t" in text and "valid JSON only" not in hint:
+        if "\t" in text and "JSON object" not in hint:
             out.append("I cannot")
         else:
             level = "P2" if "@" in text else "P4"
