@@ -74,6 +74,22 @@ def anchors_with_company(anchors: DataFrame, events: DataFrame, window_minutes:
     return hits.distinct() if extra_roots else hits
 
 
+def _seconds_text(micros: Column) -> Column:
+    """Seconds with three decimals, rounded as the binary number of seconds is, for times from 1970 on.
+
+    A tie in microseconds is not one for the nearest binary number: that is compared exactly, in
+    units of 2^-30 seconds.
+    """
+    unit = 1 << 30
+    exact = lambda c: c.cast("decimal(20,0)").cast("decimal(38,0)")
+    binary = exact((micros / F.lit(1e6) * F.lit(float(unit))).cast("bigint")) * F.lit(1_000_000)
+    decimal = exact(micros) * F.lit(unit)
+    millis, rest = F.floor(micros / 1000), F.pmod(micros, F.lit(1000))
+    up = (rest > 500) | ((rest == 500) & ((binary > decimal) | ((binary == decimal) & (millis % 2 == 1))))
+    rounded = millis + up.cast("long")
+    return F.concat(F.floor(rounded / 1000).cast("string"), F.lit("."), F.lpad(F.pmod(rounded, F.lit(1000)).cast("string"), 3, "0"))
+
+
 def context_bundles(
     anchors: DataFrame,
     events: DataFrame,
@@ -92,7 +108,7 @@ def context_bundles(
     bundles = members.groupBy("anchor_path", "anchor_event_utc", "ord").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("seen", "path"))), lambda e: e["path"]).alias("related_paths")
     )
-    stamp = F.format_string("%.3f", F.unix_micros("anchor_event_utc") / F.lit(1e6))
+    stamp = _seconds_text(F.unix_micros("anchor_event_utc"))
     signature = F.concat_ws("|", "anchor_path", stamp, F.array_join("related_paths", ","))
     return bundles.select(
         F.substring(F.sha2(signature, 256), 1, 12).alias("bundle_id"),

@@ -376,6 +376,20 @@ def newest_bundles(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "all_bundles",
+    c.EVENTS_SQL,
+    c.bundles_sql(30, 10**12),
+    sql="SELECT bundle_id, anchor_path, anchor_us, array_to_string(related_paths, ',') AS related, ord FROM bundles",
+)
+def all_bundles(spark: SparkSession, sf: str) -> DataFrame:
+    events = c.user_events(spark, sf)
+    return context_bundles(events, events, 30).select(
+        "bundle_id", "anchor_path", F.unix_micros("anchor_event_utc").alias("anchor_us"),
+        F.array_join("related_paths", ",").alias("related"), "ord",
+    )
+
+
 @query(
     "bundle_rows",
     c.EVENTS_SQL,
@@ -434,6 +448,19 @@ def newest_threads(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "all_threads",
+    _THREADS_SQL.replace(" LIMIT 40", ""),
+    sql=f"SELECT id, kind, title, folder, latest_path, strftime(last_utc, {_TS}) AS last_utc, member_count, today_n, max_security FROM threads",
+)
+def all_threads(spark: SparkSession, sf: str) -> DataFrame:
+    found = build_threads(c.stored(c.members(spark, sf)), c.ROOTS, "2024-01-01 12:00:00")
+    return found.select(
+        "id", "kind", "title", "folder", "latest_path", _text("last_utc").alias("last_utc"),
+        F.col("member_count").cast("long").alias("member_count"), F.col("today_n").cast("long").alias("today_n"), "max_security",
+    )
+
+
 @query(
     "thread_members",
     _THREADS_SQL,
