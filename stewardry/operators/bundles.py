@@ -75,7 +75,7 @@ def anchors_with_company(anchors: DataFrame, events: DataFrame, window_minutes:
 
 
 def _seconds_text(micros: Column) -> Column:
-    """Seconds with three decimals, rounded as the binary number of seconds is, for times from 1970 on.
+    """Seconds with three decimals, rounded as the binary number of seconds is, for times from March 1970 on.
 
     A tie in microseconds is not one for the nearest binary number: that is compared exactly, in
     units of 2^-30 seconds.
