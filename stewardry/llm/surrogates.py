@@ -37,6 +37,8 @@ CUE = rf"[0-9@]|{_TITLE}"
 
 KINDS = ("email", "iban", "card", "ip", "ssn", "phone", "person")
 DEFAULT_KEY = "surrogates-1"
+# Draws of a number that keep its length; each later one is a digit longer.
+SAME_LENGTH = 8
 
 # Names to draw from, by script and gender.
 GIVEN = {
@@ -164,17 +166,34 @@ def _family(canonical: Column, digest: Column, attempt: Column) -> Column:
 
 def draws(key: str, kind: Column, canonical: Column, attempt: Column) -> tuple[Column, Column]:
     """The digests that decide a replacement: of the entity, and of the host of an address."""
-    host = F.regexp_extract(canonical, r"@(.*)\.[^.]*$", 1)
-    return _digest(key, kind, canonical, attempt), _digest(key, F.lit("host"), host, F.lit(0))
+    domain = F.substring_index(canonical, "@", -1)
+    return _digest(key, kind, canonical, attempt), _digest(key, F.lit("host"), domain, F.lit(0))
+
+
+def _more(digest: Column, n: Column, letters: bool = False) -> Column:
+    """``n`` drawn digits or lower-case letters, from the last bytes of the digest."""
+
+    def one(i: Column) -> Column:
+        b = _byte(digest, 30 - i % 31)
+        return F.char((b % 26 + 97).cast("long")) if letters else (b % 10).cast("string")
+
+    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), n), one), "")).otherwise(F.lit(""))
 
 
 def replacement(kind: Column, canonical: Column, attempt: Column, d: Column, host_d: Column) -> Column:
-    """The canonical form of the surrogate, from the entity and its :func:`draws`."""
+    """The canonical form of the surrogate, from the entity and its :func:`draws`.
+
+    The room grows with the attempt: an address by a letter, a name by a syllable, other numbers
+    by a digit after ``SAME_LENGTH`` attempts. Cards and network addresses keep their form, with
+    room for at least 10^11 of one length and first digit and for 3.6 * 10^9.
+    """
     n = F.length(canonical)
     host = F.regexp_extract(canonical, r"@(.*)\.[^.]*$", 1)
-    email = F.concat(_redrawn(F.substring_index(canonical, "@", 1), d), F.lit("@"), _redrawn(host, host_d), F.lit(".example"))
+    local = F.concat(_redrawn(F.substring_index(canonical, "@", 1), d), _more(d, attempt, letters=True))
+    email = F.concat(local, F.lit("@"), _redrawn(host, host_d), F.lit(".example"))
+    longer = _more(d, attempt - SAME_LENGTH + 1)
     card = F.concat(F.substring(canonical, 1, 1), _digits(d, n - 2))
-    tail = _redrawn(F.substring(canonical, 5, 34), d)
+    tail = F.concat(_redrawn(F.substring(canonical, 5, 34), d), longer)
     country = F.substring(canonical, 1, 2)
     octet = lambda i, most: (1 + _byte(d, F.lit(i)) % most).cast("string")
     phone = F.when(canonical.startswith("+"), F.concat(F.substring(canonical, 1, 2), _digits(d, n - 2))).otherwise(_digits(d, n))
@@ -183,14 +202,14 @@ def replacement(kind: Column, canonical: Column, attempt: Column, d: Column, hos
         .when(kind == "iban", F.concat(country, _two(98 - _mod97(F.concat(tail, country, F.lit("00")))), tail))
         .when(kind == "card", F.concat(card, _luhn_digit(card)))
         .when(kind == "ip", F.concat_ws(".", octet(0, 223), octet(1, 254), octet(2, 254), octet(3, 254)))
-        .when(kind == "ssn", F.concat(F.lit("9"), _digits(d, n - 1)))
-        .when(kind == "phone", phone)
+        .when(kind == "ssn", F.concat(F.lit("9"), _digits(d, n - 1), longer))
+        .when(kind == "phone", F.concat(phone, longer))
         .otherwise(_family(canonical, d, attempt))
     )
 
 
 def _dressed(hit: Column, plain: Column) -> Column:
-    """The letters and digits of ``plain`` in the places of those of ``hit``."""
+    """The letters and digits of ``plain`` in the places of those of ``hit``, what is left behind them."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
 
     def step(a: Column, c: Column) -> Column:
@@ -200,7 +219,7 @@ def _dressed(hit: Column, plain: Column) -> Column:
             (a["at"] + F.when(taken, 1).otherwise(0)).alias("at"),
         )
 
-    return F.aggregate(_chars(hit), start, step, lambda a: a["out"])
+    return F.aggregate(_chars(hit), start, step, lambda a: F.concat(a["out"], F.substr(plain, a["at"], F.length(plain))))
 
 
 def _cased(like: Column, text: Column) -> Column:
@@ -313,27 +332,33 @@ def entities(docs: DataFrame) -> DataFrame:
     return known.select("kind", canonical_of(F.col("kind"), F.col("hit")).alias("canonical")).distinct()
 
 
-def clashes(found: DataFrame, key: str = DEFAULT_KEY, rounds: int = 12) -> DataFrame | None:
+def clashes(found: DataFrame, key: str = DEFAULT_KEY) -> DataFrame | None:
     """``kind, canonical, attempt`` of the entities that must not take their first draw; None if
-    there are none. Of entities with one replacement the smallest keeps it."""
-    state = found.withColumn("attempt", F.lit(0))
-    for turn in range(rounds):
-        d, host_d = draws(key, F.col("kind"), F.col("canonical"), F.col("attempt"))
+    there are none. Of entities with one replacement the smallest keeps it, the others draw again
+    until no clash is left."""
+    kind, canonical, attempt = F.col("kind"), F.col("canonical"), F.col("attempt")
+
+    def draw(state: DataFrame) -> DataFrame:
+        d, host_d = draws(key, kind, canonical, attempt)
         drawn = state.withColumns({"d": d, "host_d": host_d})
-        plain = replacement(F.col("kind"), F.col("canonical"), F.col("attempt"), F.col("d"), F.col("host_d"))
-        drawn = store(drawn.select("kind", "canonical", "attempt", plain.alias("plain")))
+        plain = replacement(kind, canonical, attempt, F.col("d"), F.col("host_d"))
+        return drawn.select("kind", "canonical", "attempt", plain.alias("plain"))
+
+    real = found.select("kind", canonical.alias("plain"), F.lit(True).alias("real"))
+    drawn = store(draw(found.withColumn("attempt", F.lit(0))))
+    turn = 0
+    while True:
         shared = drawn.groupBy("kind", "plain").agg(
             F.min(F.struct("attempt", "canonical"))["canonical"].alias("keeper"), F.count(F.lit(1)).alias("k")
         )
-        real = found.select("kind", F.col("canonical").alias("plain"), F.lit(True).alias("real"))
         bad = shared.join(real, ["kind", "plain"], "left").filter((F.col("k") > 1) | F.col("real"))
-        losers = drawn.join(bad, ["kind", "plain"]).filter(F.coalesce("real", F.lit(False)) | (F.col("canonical") != F.col("keeper")))
-        losers = store(losers.select("kind", "canonical", (F.col("attempt") + 1).alias("next")))
+        losers = drawn.join(bad, ["kind", "plain"]).filter(F.coalesce("real", F.lit(False)) | (canonical != F.col("keeper")))
+        losers = store(losers.select("kind", "canonical", (attempt + 1).alias("attempt")))
         if losers.limit(1).count() == 0:
-            return None if turn == 0 else state.filter("attempt > 0")
-        moved = state.join(losers, ["kind", "canonical"], "left")
-        state = store(moved.select("kind", "canonical", F.coalesce("next", "attempt").alias("attempt")))
-    raise RuntimeError(f"replacements still clash after {rounds} rounds")
+            return None if turn == 0 else drawn.filter("attempt > 0").drop("plain")
+        held = drawn.join(losers.select("kind", "canonical"), ["kind", "canonical"], "left_anti")
+        drawn = store(held.unionByName(draw(losers)))
+        turn += 1
 
 
 def with_surrogates(docs: DataFrame, key: str = DEFAULT_KEY, count_as: str | None = None) -> DataFrame:
