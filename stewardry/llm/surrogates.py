@@ -4,6 +4,7 @@ Entities are found by pattern and proved where they carry a check digit. Each ge
 replacement that a keyed digest of its canonical form decides: the same entity reads the same
 in every document, its written form (separators, brackets, case, title) stays, and the kind
 holds (cards pass the Luhn check, IBANs the check modulo 97, names keep script and gender).
+Family and given names are entities of their own, so that two people never share a full name.
 After a titled name, later mentions of the name alone in the same document follow it.
 
 Replacements are checked over the whole corpus: two entities never share one, and none is an
@@ -35,26 +36,24 @@ ENTITY = "|".join((_EMAIL, _IBAN, _CARD, _IP, _SSN, _PHONE, _PERSON))
 # A text without any of these holds no entity.
 CUE = rf"[0-9@]|{_TITLE}"
 
-KINDS = ("email", "iban", "card", "ip", "ssn", "phone", "person")
+# A person is a family name; a given name is an entity by itself, one for each gender.
+GIVEN_KINDS = ("given_f", "given_m")
+KINDS = ("email", "iban", "card", "ip", "ssn", "phone", "person", *GIVEN_KINDS)
 DEFAULT_KEY = "surrogates-1"
 # Draws of a number that keep its length; each later one is a digit longer.
 SAME_LENGTH = 8
 
-# Names to draw from, by script and gender.
-GIVEN = {
-    ("latin", "f"): "Anna Clara Elena Emma Helen Ines Julia Karin Laura Lena Maria Nora Olga Paula Rosa Sara Tina Vera".split(),
-    ("latin", "m"): "Adam Bruno Carl David Eric Felix Georg Hugo Ivan Jan Karl Leo Marco Nils Oscar Paul Robert Simon".split(),
-    ("cyrillic", "f"): "Анна Вера Елена Ирина Мария Нина Ольга Софья".split(),
-    ("cyrillic", "m"): "Борис Виктор Глеб Иван Лев Олег Пётр Семён".split(),
-    ("greek", "f"): "Άννα Ελένη Ζωή Ιρίνα Μαρία Νίκη Σοφία Χαρά".split(),
-    ("greek", "m"): "Άρης Γιώργος Δήμος Ηλίας Λεωνίδας Νίκος Πέτρος Στέφανος".split(),
-}
+# Parts of the names to draw, by script; given names end by gender, and none ends like a family name.
 SYLLABLES = {
     "latin": "ba be bo da do el fa ga ha ka ke la le lo ma me mi na ne no ra re ri ro sa se ta te to va ve wi".split(),
     "cyrillic": "ба бо ва ве га да де за ка ко ла ле ма ми на но па ра ре ро са се та то".split(),
     "greek": "βα γα δα ζα θα κα κο λα λε μα μι να νο πα ρα ρο σα σε τα το".split(),
 }
-FAMILY_END = {"latin": "nell", "cyrillic": "енко", "greek": "κης"}
+NAME_END = {
+    "person": {"latin": "nell", "cyrillic": "енко", "greek": "κης"},
+    "given_f": {"latin": "lia", "cyrillic": "лия", "greek": "λια"},
+    "given_m": {"latin": "rian", "cyrillic": "слав", "greek": "νος"},
+}
 
 
 def _digest(key: str, kind: Column, canonical: Column, attempt: Column) -> Column:
@@ -140,7 +139,7 @@ def canonical_of(kind: Column, hit: Column) -> Column:
         .when(kind == "iban", F.regexp_replace(hit, r"\x20", ""))
         .when(kind == "ip", hit)
         .when(kind == "phone", F.when(hit.startswith("+"), F.concat(F.lit("+"), digits)).otherwise(digits))
-        .when(kind == "person", F.lower(F.substring_index(hit, " ", -1)))
+        .when(kind.isin("person", *GIVEN_KINDS), F.lower(F.substring_index(hit, " ", -1)))
         .otherwise(digits)
     )
 
@@ -153,13 +152,16 @@ def _choice(words: list[str], n: Column) -> Column:
     return F.element_at(F.array(*[F.lit(w) for w in words]), n % len(words) + 1)
 
 
-def _family(canonical: Column, digest: Column, attempt: Column) -> Column:
-    """A family name of three syllables and an ending; each attempt adds a syllable."""
+def _name(kind: Column, canonical: Column, digest: Column, attempt: Column) -> Column:
+    """A name of three syllables and an ending; each attempt adds a syllable."""
     script = _script(canonical)
     out = None
     for name, parts in SYLLABLES.items():
         drawn = F.transform(F.sequence(F.lit(0), attempt + 2), lambda i: _choice(parts, _byte(digest, i)))  # noqa: B023
-        made = F.concat(F.array_join(drawn, ""), F.lit(FAMILY_END[name]))
+        end = F.lit(NAME_END["person"][name])
+        for k in GIVEN_KINDS:
+            end = F.when(kind == k, NAME_END[k][name]).otherwise(end)
+        made = F.concat(F.array_join(drawn, ""), end)
         out = F.when(script == name, made) if out is None else out.when(script == name, made)
     return out
 
@@ -204,7 +206,7 @@ def replacement(kind: Column, canonical: Column, attempt: Column, d: Column, hos
         .when(kind == "ip", F.concat_ws(".", octet(0, 223), octet(1, 254), octet(2, 254), octet(3, 254)))
         .when(kind == "ssn", F.concat(F.lit("9"), _digits(d, n - 1), longer))
         .when(kind == "phone", F.concat(phone, longer))
-        .otherwise(_family(canonical, d, attempt))
+        .otherwise(_name(kind, canonical, d, attempt))
     )
 
 
@@ -226,31 +228,35 @@ def _cased(like: Column, text: Column) -> Column:
     return F.when(like == F.upper(like), F.upper(text)).otherwise(text)
 
 
-def _given(key: str, word: Column, gender: Column) -> Column:
-    script, b = _script(word), _byte(_digest(key, F.lit("given"), F.lower(word), F.lit(0)), F.lit(0))
-    out = None
-    for (s, g), names in GIVEN.items():
-        is_it = (script == s) & (gender == g)
-        out = F.when(is_it, _choice(names, b)) if out is None else out.when(is_it, _choice(names, b))
-    return _cased(word, out)
+def _gender(hit: Column) -> Column:
+    return F.when(hit.rlike(rf"^(?:{TITLES_F})\.?\x20"), "f").otherwise("m")
+
+
+def _bare(hit: Column) -> Column:
+    return F.regexp_replace(hit, f"^{_TITLE}", "")
 
 
-def _person(key: str, hit: Column, family: Column) -> Column:
+def given_of(hit: Column) -> Column:
+    """``kind, canonical`` of the given name of a titled name; null without one."""
+    kind = F.concat(F.lit("given_"), _gender(hit)).alias("kind")
+    return F.when(_bare(hit).contains(" "), F.struct(kind, F.lower(F.substring_index(_bare(hit), " ", 1)).alias("canonical")))
+
+
+def _person(hit: Column, family: Column, given: Column) -> Column:
     title = F.regexp_extract(hit, f"^({_TITLE})", 1)
-    gender = F.when(hit.rlike(rf"^(?:{TITLES_F})\.?\x20"), "f").otherwise("m")
     names = F.split(F.substr(hit, F.length(title) + 1), " ")
     last = _cased(F.element_at(names, -1), F.initcap(family))
-    return F.concat(title, F.when(F.size(names) > 1, F.concat(_given(key, names[0], gender), F.lit(" "), last)).otherwise(last))
+    first = F.concat(_cased(names[0], F.initcap(given)), F.lit(" "))
+    return F.concat(title, F.when(F.size(names) > 1, F.concat(first, last)).otherwise(last))
 
 
-def _placed(hit: Column, kind: Column, plain: Column, gender: Column, key: str) -> Column:
+def _placed(hit: Column, kind: Column, plain: Column, gender: Column, given: Column) -> Column:
     """The replacement in the form of ``hit``; ``gender`` is set where it mentions a name alone."""
-    alone = F.when(gender == "", _cased(hit, F.initcap(plain))).otherwise(_given(key, hit, gender))
     flat = F.regexp_replace(plain, "[^0-9A-Za-z]", "")
     return (
         F.when(kind.isNull(), hit)
-        .when(gender.isNotNull(), alone)
-        .when(kind == "person", _person(key, hit, plain))
+        .when(gender.isNotNull(), _cased(hit, F.initcap(plain)))
+        .when(kind == "person", _person(hit, plain, given))
         .when(kind == "ip", plain)
         .when(kind == "email", _cased(hit, plain))
         .otherwise(_dressed(hit, flat))
@@ -265,36 +271,47 @@ def _surrogates(hits: str, names: str, attempts: Column, key: str) -> Column:
     """What stands in place of each match: one step of the work per pass over the array, so that
     every value is computed once."""
     seen = F.transform(hits, lambda h: F.struct(h.alias("hit"), F.try_element_at(F.col(names), h).alias("gender")))
+    alone = lambda g: F.when(g == "", "person").otherwise(F.concat(F.lit("given_"), g))
     kinds = F.transform(
-        seen, lambda x: _with(x, ("hit", "gender"), kind=F.when(x["gender"].isNotNull(), "person").otherwise(kind_of(x["hit"])))
+        seen,
+        lambda x: _with(x, ("hit", "gender"), kind=F.when(x["gender"].isNotNull(), alone(x["gender"])).otherwise(kind_of(x["hit"]))),
     )
     had = ("hit", "gender", "kind")
-    named = F.transform(kinds, lambda x: _with(x, had, canonical=canonical_of(x["kind"], x["hit"])))
-    had += ("canonical",)
-    mark = lambda x: F.concat(x["kind"], F.lit("|"), x["canonical"])
-    tried = F.transform(named, lambda x: _with(x, had, attempt=F.coalesce(F.try_element_at(attempts, mark(x)), F.lit(0))))
-    had += ("attempt",)
+    titled = lambda x: x["gender"].isNull() & (x["kind"] == "person")
+    named = F.transform(
+        kinds,
+        lambda x: _with(x, had, canonical=canonical_of(x["kind"], x["hit"]), given=F.when(titled(x), given_of(x["hit"]))),
+    )
+    had += ("canonical", "given")
+
+    def tried(e: Column) -> Column:
+        return F.coalesce(F.try_element_at(attempts, F.concat(e["kind"], F.lit("|"), e["canonical"])), F.lit(0))
+
+    known = F.transform(
+        named, lambda x: _with(x, had, attempt=tried(x), given_attempt=F.when(x["given"].isNotNull(), tried(x["given"])))
+    )
+    had += ("attempt", "given_attempt")
 
     def draw(x: Column) -> Column:
         d, host_d = draws(key, x["kind"], x["canonical"], x["attempt"])
-        return _with(x, had, d=d, host_d=host_d)
+        given_d = F.when(x["given"].isNotNull(), _digest(key, x["given"]["kind"], x["given"]["canonical"], x["given_attempt"]))
+        return _with(x, had, d=d, host_d=host_d, given_d=given_d)
 
-    drawn = F.transform(tried, draw)
-    plain = F.transform(
-        drawn,
-        lambda x: _with(x, ("hit", "gender", "kind"), plain=replacement(x["kind"], x["canonical"], x["attempt"], x["d"], x["host_d"])),
-    )
-    return F.transform(plain, lambda x: _placed(x["hit"], x["kind"], x["plain"], x["gender"], key))
+    def made(x: Column) -> Column:
+        plain = replacement(x["kind"], x["canonical"], x["attempt"], x["d"], x["host_d"])
+        given = F.when(x["given"].isNotNull(), _name(x["given"]["kind"], x["given"]["canonical"], x["given_d"], x["given_attempt"]))
+        return _with(x, ("hit", "gender", "kind"), plain=plain, given=given)
+
+    plain = F.transform(F.transform(known, draw), made)
+    return F.transform(plain, lambda x: _placed(x["hit"], x["kind"], x["plain"], x["gender"], x["given"]))
 
 
 def _names(text: Column) -> Column:
     """Words of the titled names of a text, with the gender of given names ('' for family)."""
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({_PERSON})"), F.lit(1)))
-    gender = lambda h: F.when(h.rlike(rf"^(?:{TITLES_F})\.?\x20"), "f").otherwise("m")
-    bare = lambda h: F.regexp_replace(h, f"^{_TITLE}", "")
     given = F.transform(
-        F.filter(found, lambda h: bare(h).contains(" ")),
-        lambda h: F.struct(F.substring_index(bare(h), " ", 1).alias("key"), gender(h).alias("value")),
+        F.filter(found, lambda h: _bare(h).contains(" ")),
+        lambda h: F.struct(F.substring_index(_bare(h), " ", 1).alias("key"), _gender(h).alias("value")),
     )
     family = F.transform(found, lambda h: F.struct(F.substring_index(h, " ", -1).alias("key"), F.lit("").alias("value")))
     both = F.array_distinct(F.concat(family, given))
@@ -324,12 +341,25 @@ def _found(docs: DataFrame, names: str, hits: str, pieces: str) -> DataFrame:
     )
 
 
+def _uses(docs: DataFrame, *keep: Column) -> DataFrame:
+    """``kind, canonical`` of the entities of each text, after the columns ``keep``.
+
+    Titled names are also found by themselves, as mentions of them are replaced wherever they stand.
+    """
+    found = lambda pattern: F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    titled = F.when(docs["text"].rlike(_TITLE), found(_PERSON)).otherwise(F.array().cast("array<string>"))
+    hits = F.array_union(found(ENTITY), titled)
+    each = docs.filter(docs["text"].rlike(CUE)).select(*keep, F.explode(hits).alias("hit"))
+    each = each.select(*each.columns, kind_of(F.col("hit")).alias("kind")).filter(F.col("kind").isNotNull())
+    whole = F.struct(F.col("kind"), canonical_of(F.col("kind"), F.col("hit")).alias("canonical"))
+    given = F.when(F.col("kind") == "person", given_of(F.col("hit")))
+    each = each.withColumn("e", F.explode(F.array_compact(F.array(whole, given))))
+    return each.select(*(c for c in each.columns if c not in ("hit", "kind", "e")), "e.kind", "e.canonical")
+
+
 def entities(docs: DataFrame) -> DataFrame:
-    """Distinct ``kind, canonical`` of the whole corpus (for persons the family name)."""
-    hits = F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))
-    each = docs.filter(docs["text"].rlike(CUE)).select(F.explode(hits).alias("hit")).select("hit", kind_of(F.col("hit")).alias("kind"))
-    known = each.filter(F.col("kind").isNotNull())
-    return known.select("kind", canonical_of(F.col("kind"), F.col("hit")).alias("canonical")).distinct()
+    """Distinct ``kind, canonical`` of the whole corpus (family and given names by themselves)."""
+    return _uses(docs).distinct()
 
 
 def clashes(found: DataFrame, key: str = DEFAULT_KEY) -> DataFrame | None:
@@ -344,7 +374,11 @@ def clashes(found: DataFrame, key: str = DEFAULT_KEY) -> DataFrame | None:
         plain = replacement(kind, canonical, attempt, F.col("d"), F.col("host_d"))
         return drawn.select("kind", "canonical", "attempt", plain.alias("plain"))
 
-    real = found.select("kind", canonical.alias("plain"), F.lit(True).alias("real"))
+    # A name that occurs as family or given name is none to draw for either.
+    real = found.select(kind.alias("real_kind"), canonical.alias("plain")).withColumn("real", F.lit(True))
+    names = F.array(F.lit("person"), *map(F.lit, GIVEN_KINDS))
+    as_kinds = F.when(F.col("real_kind").isin("person", *GIVEN_KINDS), names).otherwise(F.array("real_kind"))
+    real = real.select(F.explode(as_kinds).alias("kind"), "plain", "real").distinct()
     drawn = store(draw(found.withColumn("attempt", F.lit(0))))
     turn = 0
     while True:
@@ -375,11 +409,7 @@ def with_surrogates(docs: DataFrame, key: str = DEFAULT_KEY, count_as: str | Non
     if again is not None:
         mark, held = fresh(docs, "pii_key"), fresh(docs, "pii_attempts")
         split = split.withColumn(mark, F.md5("text"))
-        kind = kind_of(F.col("hit"))
-        uses = docs.filter(docs["text"].rlike(CUE)).select(
-            F.md5("text").alias(mark), F.explode(F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))).alias("hit")
-        )
-        uses = uses.select(mark, kind.alias("kind"), canonical_of(kind, F.col("hit")).alias("canonical"))
+        uses = _uses(docs, F.md5("text").alias(mark))
         uses = uses.join(small(again), ["kind", "canonical"]).select(mark, F.concat_ws("|", "kind", "canonical").alias("e"), "attempt").distinct()
         uses = store(uses.groupBy(mark).agg(F.map_from_entries(F.collect_list(F.struct("e", "attempt"))).alias(held)))
         split = split.join(small(uses), mark, "left")
