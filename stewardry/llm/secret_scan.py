@@ -68,7 +68,7 @@ def _long_hex(texts: pa.Array, least: int = 24) -> np.ndarray:
     run, length = _HEX[data], 1
     while length < least and len(run):
         step = min(length, least - length)
-        run = run[: len(run) - step] & run[step:]
+        run = run[: max(len(run) - step, 0)] & run[step:]
         length += step
     has = np.zeros(len(bounds) - 1, dtype=bool)
     has[np.searchsorted(bounds, np.flatnonzero(run), "right") - 1] = True
