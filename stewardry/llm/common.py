@@ -30,11 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def store(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read from there: cut lineage, known size."""
+def store(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` written once to the shared folder and read from there: cut lineage, known size. One
+    folder per value of the columns ``by``."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

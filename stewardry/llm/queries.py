@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, mixing, near_dedup, quality, repeats, revisits, secret_scan, surrogates, word_pieces
+from . import chat, decontamination, line_runs, mixing, near_dedup, quality, repeats, revisits, secret_scan, surrogates, word_pieces
 from .common import store, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -341,3 +341,28 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesc
 FROM d LEFT JOIN covered ON d.doc_id = covered.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
 """,
 )
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = line_runs.drop_shared_lines(docs, least_chars=40, least_docs=5)
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+query(
+    op13_line_dedup,
+    r"""
+WITH lines AS (
+  SELECT rid, doc_id, line, row_number() OVER (PARTITION BY rid ORDER BY i) AS pos,
+         translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT rid, doc_id, unnest(s) AS line, unnest(range(len(s))) AS i
+        FROM (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents))
+), shared AS (
+  SELECT k, max(doc_id) AS owner FROM lines WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT rid) >= 5
+)
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM (SELECT lines.*, shared.k IS NOT NULL AND doc_id IS DISTINCT FROM owner AS gone FROM lines LEFT JOIN shared ON lines.k = shared.k)
+GROUP BY rid
+""",
+)
