@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, line_runs, mixing, near_dedup, quality, repeats, revisits, secret_scan, surrogates, word_pieces
+from . import chat, collocations, decontamination, line_runs, mixing, near_dedup, quality, repeats, revisits, secret_scan, spelling, surrogates, word_pieces
 from .common import store, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -366,3 +366,48 @@ FROM (SELECT lines.*, shared.k IS NOT NULL AND doc_id IS DISTINCT FROM owner AS
 GROUP BY rid
 """,
 )
+
+
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top_phrases(table(spark, sf_dir, "documents"))
+
+
+query(
+    op11_collocations,
+    r"""
+WITH split AS (
+  SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces
+  FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM split)
+), totals AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM words GROUP BY lang
+), starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words
+), spans AS (
+  SELECT lang, list_slice(w, i, i + k - 1) AS p FROM (SELECT lang, w, i, unnest(range(1, 6)) AS k FROM starts) WHERE i + k - 1 <= len(w)
+), freq AS (SELECT lang, p, count(*)::HUGEINT AS a FROM spans GROUP BY lang, p HAVING count(*) >= 100
+), cuts AS (
+  SELECT lang, p, a, k, list_slice(p, 1, k) AS head, list_slice(p, k + 1, len(p)) AS tail
+  FROM (SELECT lang, p, a, unnest(range(1, len(p))) AS k FROM freq WHERE len(p) > 1)
+), scored AS (
+  SELECT c.lang, c.p, c.a, x.a AS l, y.a AS r, n, (1000 * c.a * n) // (x.a * y.a) AS score, k
+  FROM cuts c JOIN freq x ON x.lang = c.lang AND x.p = head JOIN freq y ON y.lang = c.lang AND y.p = tail JOIN totals t ON t.lang = c.lang
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+), inner_spans AS (
+  SELECT lang, a, list_slice(p, i, i + k - 1) AS p
+  FROM (SELECT lang, p, a, k, unnest(range(1, len(p) - k + 2)) AS i FROM (SELECT lang, p, a, unnest(range(2, len(p))) AS k FROM freq WHERE len(p) > 2))
+), covered AS (SELECT lang, p, max(a) AS most FROM inner_spans GROUP BY lang, p
+)
+SELECT w.lang, row_number() OVER (PARTITION BY w.lang ORDER BY score DESC, w.a DESC, array_to_string(w.p, ' ')) AS rank, array_to_string(w.p, ' ') AS phrase,
+       w.a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM lowest w LEFT JOIN covered c ON c.lang = w.lang AND c.p = w.p WHERE NOT coalesce(100 * most >= 100 * w.a, false)
+QUALIFY rank <= 2000
+""",
+)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.count_words(table(spark, sf_dir, "documents")))
+
+
+query(op12_spelling)
