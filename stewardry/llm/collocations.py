@@ -2,7 +2,7 @@
 
 Every word position gives one window: the word and its next four in lead columns, padded after the
 last word of its piece. Equal windows are counted, and one ROLLUP over the columns sums the
-prefixes, which are all shorter phrases. No shorter n-gram is ever made.
+prefixes, which are all shorter phrases, the words and the total. No shorter n-gram is ever made.
 
 A phrase that occurs ``least`` times has words and neighbouring pairs that do, so a window may be
 padded from the first rarer one on without a change to any count that is reported. Rare words and
@@ -64,7 +64,6 @@ class Filter:
 
     def __init__(self, keys: DataFrame):
         """``keys``: a table with a column ``key``."""
-        spark = keys.sparkSession
         wanted = BITS_A_KEY * keys.count()
         self.n_bits = n_bits = min(MOST_BITS, max(1 << 16, 1 << wanted.bit_length()))
 
@@ -81,7 +80,7 @@ class Filter:
             begin = (bucket - 1) * 4096
             part = np.frombuffer(bytes(bits), np.uint8)[: len(data) - begin]
             data[begin : begin + len(part)] = part
-        self.sent: Broadcast = spark.sparkContext.broadcast(data)
+        self.sent: Broadcast = keys.sparkSession.sparkContext.broadcast(data)
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         data = self.sent.value
@@ -161,14 +160,13 @@ def _window_counts(frequent: Filter, longest: int):
         stop = np.flatnonzero(~np.append(words.joined & frequent.has(words.pairs()), False))
         here = np.arange(size)
         reach = np.minimum(stop[np.searchsorted(stop, here)] - here + 1, longest)
-        at = here[reach > 1]
-        columns = [np.where(reach[at] > k, words.key[np.minimum(at + k, size - 1)], np.uint64(0)) for k in range(longest)]
-        joint = np.zeros(len(at), np.uint64)
+        columns = [np.where(reach > k, words.key[np.minimum(here + k, size - 1)], np.uint64(0)) for k in range(longest)]
+        joint = np.zeros(size, np.uint64)
         for column in columns:
             joint = joint * STEP + column
         _, one, n = np.unique(mix(joint), return_index=True, return_counts=True)
         leads = [pa.array(column[one].view(np.int64)) for column in columns]
-        return pa.RecordBatch.from_arrays([lang.take(pa.array(words.doc[at[one]])), *leads, pa.array(n)], ["lang", *_leads(longest), "n"])
+        return pa.RecordBatch.from_arrays([lang.take(pa.array(words.doc[one])), *leads, pa.array(n)], ["lang", *_leads(longest), "n"])
 
     return fn
 
@@ -178,40 +176,37 @@ def _leads(longest: int) -> list[str]:
 
 
 def _counted(docs: DataFrame, rules: Phrases) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(totals, words, phrases)``: all words per language; words and phrases that occur ``least``
-    times, with the keys of their words as the array ``p``."""
-    vocabulary = store(_over_words(docs, _word_counts, "lang string, word string, key long, n long").groupBy("lang", "word").agg(F.max("key").alias("key"), F.sum("n").alias("n")))
-    totals = store(vocabulary.groupBy("lang").agg(F.sum("n").alias("n")))
-    words = vocabulary.filter(F.col("n") >= rules.least)
+    """``(words, totals, phrases)``: how frequent words are spelt, all words of each language, and the
+    phrases (single words too) that occur ``least`` times, as the array ``p`` of their words' keys."""
+    vocabulary = _over_words(docs, _word_counts, "lang string, word string, key long, n long").groupBy("lang", "word")
+    words = store(vocabulary.agg(F.max("key").alias("key"), F.sum("n").alias("n")).filter(F.col("n") >= rules.least).drop("n"))
     known = Filter(words)
     pairs = store(_over_words(docs, _pair_counts(known), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= rules.least))
     leads = _leads(rules.longest)
     schema = ", ".join(["lang string", *(f"{w} long" for w in leads), "n long"])
     windows = _over_words(docs, _window_counts(Filter(pairs), rules.longest), schema).groupBy("lang", *leads).agg(F.sum("n").alias("n"))
-    rolled = windows.rollup("lang", *leads).agg(F.sum("n").alias("a"), F.grouping_id().alias("level"))
-    found = rolled.withColumn("k", _length_of(rules.longest)).filter(F.col("a") >= rules.least)
+    rolled = windows.rollup("lang", *leads).agg(F.sum("n").alias("a"), F.grouping_id().alias("level")).withColumn("k", _length_of(rules.longest))
     # Padding ends a phrase.
-    whole = found.filter((F.col("k") >= 2) & (F.element_at(F.array(*leads), F.col("k")) != 0))
-    phrases = store(whole.select("lang", F.slice(F.array(*leads), 1, F.col("k")).alias("p"), "a"))
-    return totals, words, phrases
+    whole = (F.col("k") == 0) | (F.col("a") >= rules.least) & (F.get(F.array(*leads), F.col("k") - 1) != 0)
+    counted = store(rolled.filter((F.col("k") >= 0) & whole).select("lang", "k", F.slice(F.array(*leads), 1, F.col("k")).alias("p"), "a"))
+    return words, counted.filter("k = 0").select("lang", F.col("a").alias("n")), counted.filter("k > 0").drop("k")
 
 
 def _length_of(longest: int) -> Column:
-    """Words of a prefix whose other columns are summed up."""
-    out = F.lit(1)
-    for i in range(2, longest + 1):
+    """Words of a prefix whose other columns are summed up; -1 for the sum of all languages."""
+    out = F.lit(-1)
+    for i in range(longest + 1):
         out = F.when(F.col("level") == (1 << longest - i) - 1, F.lit(i)).otherwise(out)
     return out
 
 
-def _scored(totals: DataFrame, words: DataFrame, phrases: DataFrame) -> DataFrame:
-    """``phrases`` with ``l``, ``r``, ``n`` and ``score`` of the cut that scores lowest."""
-    salts = F.explode(F.array(*map(F.lit, range(SALTS))))
-    single = words.select("lang", F.array("key").alias("part"), F.col("n").alias("f"), salts.alias("salt"))
-    parts = phrases.select("lang", F.col("p").alias("part"), F.col("a").alias("f"), F.lit(0).alias("salt")).unionByName(single)
+def _scored(totals: DataFrame, phrases: DataFrame) -> DataFrame:
+    """``phrases`` of two words and more with ``l``, ``r``, ``n`` and ``score`` of the cut that scores lowest."""
     # A frequent word begins or ends many phrases: single words are spread over salts.
+    salts = F.when(F.size("p") == 1, F.array(*map(F.lit, range(SALTS)))).otherwise(F.array(F.lit(0)))
+    parts = phrases.select("lang", F.col("p").alias("part"), F.col("a").alias("f"), F.explode(salts).alias("salt"))
     salt = lambda part: F.when(F.size(part) == 1, F.pmod(F.xxhash64("p"), F.lit(SALTS)).cast("int")).otherwise(0)
-    cuts = phrases.select("lang", "p", "a", F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("cut"))
+    cuts = phrases.filter(F.size("p") > 1).select("lang", "p", "a", F.explode(F.sequence(F.lit(1), F.size("p") - 1)).alias("cut"))
     for side, part in (("l", F.slice("p", 1, F.col("cut"))), ("r", F.slice("p", F.col("cut") + 1, F.size("p")))):
         cuts = cuts.withColumn("part", part).withColumn("salt", salt(F.col("part")))
         cuts = cuts.join(parts, ["lang", "part", "salt"]).drop("part", "salt").withColumnRenamed("f", side)
@@ -232,7 +227,7 @@ def _uncovered(phrases: DataFrame, rules: Phrases) -> DataFrame:
     inner = phrases.filter(F.size("p") > 2).select("lang", F.explode(F.array_distinct(spans)).alias("p"), "a")
     longer = inner.groupBy("lang", "p").agg(F.max("a").alias("most"))
     covered = F.coalesce(100 * F.col("most") >= rules.cover * F.col("a"), F.lit(False))
-    return phrases.join(longer, ["lang", "p"], "left").filter(~covered).select("lang", "p")
+    return phrases.filter(F.size("p") > 1).join(longer, ["lang", "p"], "left").filter(~covered).select("lang", "p")
 
 
 def top_phrases(docs: DataFrame, rules: Phrases = Phrases(), lang: str = "lang") -> DataFrame:
@@ -244,8 +239,8 @@ def top_phrases(docs: DataFrame, rules: Phrases = Phrases(), lang: str = "lang")
     prepare(docs.sparkSession)
     name = F.coalesce(docs[lang].cast("string"), F.lit("und"))
     texts = docs.select(name.alias("lang"), F.xxhash64(name).alias("code"), text_of(docs).alias("text"))
-    totals, words, phrases = _counted(texts, rules)
-    scored = store(_scored(totals, words, phrases).join(_uncovered(phrases, rules), ["lang", "p"]))
+    words, totals, phrases = _counted(texts, rules)
+    scored = store(_scored(totals, phrases).join(_uncovered(phrases, rules), ["lang", "p"]))
     order = [F.desc("score"), F.desc("a")]
     # Ties of the last place go on until their words are known.
     first = scored.withColumn("place", F.rank().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("place") <= rules.top).drop("place")
