@@ -129,18 +129,16 @@ _TIMELINE_ORDER = ["_time", "_folded", "path"]
 
 def timeline(members: DataFrame) -> DataFrame:
     """Add ``position`` in the order (time, path) within the component."""
-    return row_number_in_group(
-        _timeline(members), ["component"], _TIMELINE_ORDER, F.date_trunc("hour", "_time"), "position"
-    ).drop("_time", "_folded")
+    return row_number_in_group(_timeline(members), ["component"], _TIMELINE_ORDER, "position").drop("_time", "_folded")
 
 
 def version_edges(members: DataFrame) -> DataFrame:
     """Steps between consecutive members; ``same_content`` tells a copy from an edit."""
+    slim = members.select("component", "path", "sha256", "last_analyzed_utc", "last_checked_utc")
     stepped = previous_in_group(
-        _timeline(members),
+        _timeline(slim),
         ["component"],
         _TIMELINE_ORDER,
-        F.date_trunc("hour", "_time"),
         {"from_path": F.col("path"), "_from_sha": F.col("sha256")},
     )
     return stepped.filter(F.col("from_path").isNotNull()).select(

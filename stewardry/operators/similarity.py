@@ -2,8 +2,10 @@
 
 No step enumerates a block. Candidates come from prefix filtering: items are ordered from rare
 to frequent, and two sets that overlap enough must share an item among their first few
-(Chaudhuri et al. 2006; Vernica et al. 2010 for the distributed form). Frequent items thus hardly
-ever act as a join key; where one does, its rows are salted.
+(Chaudhuri et al. 2006; Vernica et al. 2010 for the distributed form), or several among a few more
+(Wang et al. 2012). Frequent items thus hardly ever act as a join key; where one does, its rows are
+salted. Word sets of whole texts meet as numbers and are fetched for candidates only; name parts,
+which are short, travel with their postings.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from ..session import cut_lineage, shuffle_partitions
 
 EPS = 1e-9
 SALT_ROWS = 2_000
+# Part of the items a pair must share that it must share among its rare ones.
+EARLY_SHARE = 0.1
 
 
 def overlap_join(
@@ -96,24 +100,78 @@ def overlap_join(
 
 def jaccard_pairs(
     sets: DataFrame,
-    threshold: float,
+    threshold: float | str,
     block: Sequence[str] = (),
     carry: Sequence[str] = (),
     also: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
+    early: float = EARLY_SHARE,
 ) -> DataFrame:
-    """Pairs of ``sets(id, items)`` with a Jaccard index of at least ``threshold`` (> 0) for which
-    ``also(a, b)`` holds."""
-    t = float(threshold)
-    prefix = F.size("items") - F.ceil(F.size("items") * F.lit(t) - F.lit(EPS)).cast("int") + 1
-
-    def keep(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
-        small = F.least(F.size(a("items")), F.size(b("items"))).cast("double")
-        large = F.greatest(F.size(a("items")), F.size(b("items"))).cast("double")
-        near = (small >= large * F.lit(t) - F.lit(EPS)) & (jaccard(a("items"), b("items")) >= F.lit(t - EPS))
-        return near if also is None else near & also(a, b)
-
-    pairs = overlap_join(sets, block, prefix, keep, carry)
-    return pairs.withColumn("jaccard", jaccard("a_items", "b_items"))
+    """Pairs of ``sets(id, items, *block, *carry)`` with a Jaccard index of at least ``threshold`` (> 0; a
+    number, or a column with one value per block) for which ``also(a, b)`` holds, as ``a_id < b_id``.
+
+    Postings are numbers only: set, size, word hash, position. Two sets that share ``need`` items
+    share ``k`` of them within their first ``size - need + k`` (rare items first), for any ``k`` up to
+    ``need``: of the items in common, the k-th has ``need - k`` behind it on both sides. With
+    ``k = ceil(early * need)`` a chance meeting on one frequent word makes no candidate, and the
+    sets themselves are fetched for few pairs that fail. Exact: a hash collision can only add one.
+    """
+    block, carry = list(block), list(carry)
+    own = [threshold] if isinstance(threshold, str) else []
+    t = F.col(threshold) if own else F.lit(float(threshold))
+    numbered = cut_lineage(
+        sets.filter(F.size("items") > 0).select(
+            *block, "id", "items", *carry, t.alias("_t"), F.size("items").alias("_size"), F.monotonically_increasing_id().alias("_n")
+        )
+    )
+    hits = _early_hits(numbered, block, early)
+    candidates = hits.groupBy("a_n", "b_n", "need").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= F.col("need"))
+    out = ["id", "items", *carry]
+    for side in "ab":
+        of_side = numbered.select(F.col("_n").alias(f"{side}_n"), F.col("_t"), *[F.col(c).alias(f"{side}_{c}") for c in out])
+        candidates = candidates.drop("_t").join(of_side, f"{side}_n")
+    found = candidates.withColumn("jaccard", jaccard("a_items", "b_items")).filter(F.col("jaccard") >= F.col("_t") - F.lit(EPS))
+    if also is not None:
+        found = found.filter(also(lambda name: F.col(f"a_{name}"), lambda name: F.col(f"b_{name}")))
+    turned = F.col("a_id") > F.col("b_id")
+    sides = [F.when(turned, F.col(f"{y}_{c}")).otherwise(F.col(f"{x}_{c}")).alias(f"{x}_{c}") for x, y in ("ab", "ba") for c in out]
+    return found.select(*sides, "jaccard")
+
+
+def _early_hits(numbered: DataFrame, block: Sequence[str], early: float) -> DataFrame:
+    """``a_n, b_n, need`` for each item that two sets share early enough."""
+    single = numbered.select(*block, "_n", "_size", "_t", F.explode("items").alias("item"))
+    # An item of one set only has no partner; such items come first in the order.
+    frequency = single.groupBy(*block, "item").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    ranked = (
+        single.join(frequency, [*block, "item"])
+        .groupBy(*block, "_n", "_size", "_t")
+        .agg(F.sort_array(F.collect_list(F.struct("n", "item"))).alias("ranked"))
+    )
+    posted = ranked.select("*", F.posexplode("ranked").alias("p", "at")).select(
+        *block, "_n", "_size", "_t", F.xxhash64("at.item").alias("w"), (F.col("_size") - F.size("ranked") + F.col("p") + 1).alias("p"),
+        F.ceil(F.col("at.n") / F.lit(SALT_ROWS)).cast("int").alias("salts"),
+    )
+    # The smallest partner asks for the fewest items.
+    least = F.ceil(F.col("_t") * F.col("_size") - F.lit(EPS))
+    posted = cut_lineage(posted.filter(F.col("p") <= F.col("_size") - least + F.ceil(least * F.lit(early))))
+    left = posted.withColumn("salt", F.pmod("_n", F.col("salts")).cast("int"))
+    right = posted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    key = [*block, "w", "salt"]
+    # Few bytes make many comparisons here, so partitions must not be merged by their size.
+    parts = shuffle_partitions(numbered.sparkSession)
+    a, b = (
+        df.repartition(parts, *key).select([F.col(c).alias(f"{s}_{c.lstrip('_')}") for c in [*key, "_n", "_size", "p"]] + ([F.col("_t")] if s == "a" else []))
+        for s, df in (("a", left), ("b", right))
+    )
+    need = F.ceil(F.col("_t") / (1 + F.col("_t")) * (F.col("a_size") + F.col("b_size")) - F.lit(EPS))
+    share = F.ceil(need * F.lit(early))
+    condition = F.col("a_n") < F.col("b_n")
+    for name in key:
+        condition = condition & (F.col(f"a_{name.lstrip('_')}") == F.col(f"b_{name.lstrip('_')}"))
+    condition = condition & (F.least("a_size", "b_size") >= F.greatest("a_size", "b_size") * F.col("_t") - F.lit(EPS))
+    for s in "ab":
+        condition = condition & (F.col(f"{s}_p") <= F.col(f"{s}_size") - need + share)
+    return a.join(b, condition).select("a_n", "b_n", share.alias("need"))
 
 
 def stem_ratio_udf() -> Callable[[Column, Column], Column]:
@@ -334,18 +392,14 @@ def _pairs_by_stem_and_word(near: DataFrame, described: DataFrame, settings: Sim
         .withColumn("role", F.lit("b"))
     )
     sets = left.unionByName(right).withColumn("id", F.concat_ws("\x1f", "role", "cls", "stem_pair"))
-    carry = ["role", "cls", "same", "gap", "ratio_ab", "ratio_ba", *_ORDERS]
-    prefix = F.size("items") - F.ceil(F.size("items") * F.col("gap") - F.lit(EPS)).cast("int") + 1
-
-    def keep(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
-        return ((a("role") != b("role")) | a("same")) & (jaccard(a("items"), b("items")) >= a("gap") - F.lit(EPS))
-
-    joined = overlap_join(sets, ["stem_pair"], prefix, keep, carry)
+    carry = ["role", "cls", "same", "ratio_ab", "ratio_ba", *_ORDERS]
+    other = lambda a, b: (a("role") != b("role")) | a("same")
+    joined = jaccard_pairs(sets, "gap", ["stem_pair"], carry, other)
     # Ids start with the role, so side a of the join is side a of the stem pair.
     return joined.select(
         F.col("a_cls").alias("a_id"),
         F.col("b_cls").alias("b_id"),
-        jaccard("a_items", "b_items").alias("jaccard"),
+        "jaccard",
         F.lit(True).alias("both"),
         F.col("a_ratio_ab").alias("ratio_ab"),
         F.col("a_ratio_ba").alias("ratio_ba"),

@@ -38,8 +38,8 @@ RULES = (
 )
 CATALOG = Catalog((Category("en", "English"), Category("fr", "French"), Category("de", "German")), "multi")
 ROOTS = ("/corpus",)
-# The first word of each line: a short account of the whole text.
-LINE_HEADS = r"(?:^|\n)[\r\t ]*([^\r\n\t ]+)"
+# The account of a file is its whole text with runs of blanks as one space.
+BLANKS = r"[\x09-\x0D\x20]+"
 
 ROUTE = {"extensions": (".txt", ".md", ".docx"), "min_bytes": 300, "max_bytes": 20_000}
 SKIP_KEYWORDS = ("copy", "nf", "na")
@@ -69,7 +69,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         path.alias("path"),
         F.octet_length("text").cast("long").alias("length"),
         sha256_hex("text").alias("sha256"),
-        F.array_join(F.regexp_extract_all("text", F.lit(LINE_HEADS), F.lit(1)), " ").alias("summary"),
+        F.trim(F.regexp_replace("text", BLANKS, " ")).alias("summary"),
         F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("doc_id") * 60_000_000).alias("last_analyzed_utc"),
     ).withColumn("last_checked_utc", F.col("last_analyzed_utc"))
 
@@ -81,7 +81,7 @@ corpus AS (
       || CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN ' (1)' WHEN 2 THEN ' - copy' ELSE '_v2' END
       || '.' || CASE (doc_id // 4) % 3 WHEN 0 THEN 'txt' WHEN 1 THEN 'md' ELSE 'docx' END AS path,
     strlen(text) AS length, sha256(text) AS sha256,
-    array_to_string(regexp_extract_all(text, '(?:^|\n)[\r\t ]*([^\r\n\t ]+)', 1), ' ') AS summary,
+    trim(regexp_replace(text, '[\x09-\x0D\x20]+', ' ', 'g')) AS summary,
     TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS last_analyzed_utc
   FROM documents)"""
 
@@ -208,7 +208,7 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("/conv/c"), F.col("conv_id").cast("string"), F.lit(".md")).alias("path"),
         (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"),
         sha256_hex("text").alias("sha256"),
-        F.array_join(F.regexp_extract_all("text", F.lit(LINE_HEADS), F.lit(1)), " ").alias("summary"),
+        F.concat(F.size(F.split("text", "\n")).cast("string"), F.lit(" lines")).alias("summary"),
         "text",
         F.timestamp_micros(
             F.lit(1_704_067_200_000_000) + F.col("turn") * 1_800_000_000 + F.col("conv_id") * 1_000_000
@@ -220,7 +220,7 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 VERSIONS_SQL = r"""
 versions AS (
   SELECT '/conv/c' || conv_id || '.md' AS path, conv_id * 1000 + turn AS ord, sha256(text) AS sha256,
-    array_to_string(regexp_extract_all(text, '(?:^|\n)[\r\t ]*([^\r\n\t ]+)', 1), ' ') AS summary, text,
+    len(string_split(text, chr(10))) || ' lines' AS summary, text,
     TIMESTAMP '2024-01-01 00:00:00' + to_minutes(turn * 30) + to_seconds(conv_id) AS last_analyzed_utc
   FROM conversations),
 stepped AS (
@@ -228,8 +228,8 @@ stepped AS (
   FROM versions WINDOW w AS (PARTITION BY path ORDER BY last_analyzed_utc, ord)),
 changes AS (
   SELECT *, prev_sha256 IS NOT NULL AND prev_sha256 <> sha256 AS changed,
-    CASE WHEN prev_sha256 IS NOT NULL AND prev_sha256 <> sha256
-      THEN 'summary: ' || substr(prev_summary, 1, 80) || ' -> ' || substr(summary, 1, 80) END AS change_summary
+    CASE WHEN prev_sha256 IS NOT NULL AND prev_sha256 <> sha256 THEN CASE WHEN prev_summary <> summary
+      THEN 'summary: ' || substr(prev_summary, 1, 80) || ' -> ' || substr(summary, 1, 80) ELSE 'text' END END AS change_summary
   FROM stepped)"""
 
 

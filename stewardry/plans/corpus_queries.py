@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +15,7 @@ from ..functions.times import as_timestamp
 from ..operators import digest, lint, search
 from ..operators.bundles import bundle_rows, context_bundles
 from ..operators.cadence import CadenceRule, cadence_log, evaluate_cadence
+from ..operators.deltas import added_lines, apply_hunks, positions, removed_lines, text_deltas
 from ..operators.governance import Rule, match_rules
 from ..operators.lineage import (
     assign_components,
@@ -28,7 +33,9 @@ from ..operators.lineage import (
 from ..operators.related import related_docs
 from ..operators.similarity import SimilaritySettings, jaccard_pairs, similarity_features, stem_ratio_udf
 from ..operators.threads import build_threads, folder_files, qualifying_folders, threads_top
-from ..operators.versions import adopt_renames, assign_file_ids, files_current, peer_changes, recent_changes, summary_history
+from ..operators.versions import adopt_renames, assign_file_ids, files_current, peer_changes, recent_changes, self_changes, summary_history
+from ..session import checkpoint_dir, cut_lineage
+from ..streaming.ingest import IngestSettings, process_batch, stored_files
 from ..streaming.throttle import throttle
 from . import corpus as c
 from .registry import query
@@ -84,13 +91,86 @@ def renames(spark: SparkSession, sf: str) -> DataFrame:
     return adopt_renames(new, files, live, "2024-01-02 00:00:00", 22).select("old_path", "new_path", "file_id")
 
 
+def _kind_of_text(line: F.Column) -> F.Column:
+    """Change lines with the numbers of a text delta left out: those are not unique (see text_deltas)."""
+    return F.when(line.startswith("text: "), "text").otherwise(line)
+
+
 @query(
     "change_lines",
     c.VERSIONS_SQL,
-    sql="SELECT path, ord, CASE WHEN changed THEN 'summary' END AS change_kind, change_summary FROM changes",
+    sql="""SELECT path, ord, CASE WHEN changed THEN CASE WHEN prev_summary <> summary THEN 'summary' ELSE 'body' END END AS change_kind, change_summary
+      FROM changes""",
 )
 def change_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return c.changes(spark, sf).select("path", "ord", "change_kind", "change_summary")
+    return c.changes(spark, sf).select("path", "ord", "change_kind", _kind_of_text(F.col("change_summary")).alias("change_summary"))
+
+
+def _similar_files(files: DataFrame, threshold: float) -> DataFrame:
+    """``lo, hi, jaccard``: pairs of distinct word sets, named by the first file that has them."""
+    sets = similarity_features(files).filter(F.size("tokens") > 0).groupBy("tokens").agg(F.min("ord").alias("id"))
+    pairs = jaccard_pairs(sets.select("id", F.col("tokens").alias("items")), threshold)
+    return pairs.select(F.least("a_id", "b_id").alias("lo"), F.greatest("a_id", "b_id").alias("hi"), "jaccard")
+
+
+def _steps(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Steps to another content, of versions, of lineage peers and of similar files, and all texts."""
+    versions, members = c.versions(spark, sf), c.members(spark, sf)
+    own = self_changes(versions).select("path", "ord", F.col("prev_sha256").alias("from_hash"), F.col("sha256").alias("to_hash"))
+    peers = peer_changes(members).select("path", "ord", F.col("peer_sha256").alias("from_hash"), F.col("sha256").alias("to_hash"))
+    named = members.select("path", "ord", "sha256")
+    near = (
+        _similar_files(members, 0.5)
+        .join(named.select(F.col("ord").alias("lo"), F.col("sha256").alias("from_hash")), "lo")
+        .join(named.select("path", F.col("ord").alias("hi"), F.col("sha256").alias("to_hash")), "hi")
+        .select("path", F.col("hi").alias("ord"), "from_hash", "to_hash")
+    )
+    steps = own.unionByName(peers).unionByName(near).filter(F.col("from_hash") != F.col("to_hash"))
+    return steps, versions.select("sha256", "text").unionByName(members.select("sha256", "text"))
+
+
+@query("text_deltas")
+def delta_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the lines of each step were taken out and put in."""
+    steps, texts = _steps(spark, sf)
+    met = steps.join(text_deltas(steps, texts), ["from_hash", "to_hash"])
+    return met.select(
+        "path", "ord", F.size("hunks").cast("long").alias("hunks"), added_lines(F.col("hunks")).alias("added"),
+        removed_lines(F.col("hunks")).alias("removed"), positions(F.col("hunks")).alias("positions"),
+    )
+
+
+_WORD_SETS_SQL = rf""",
+tok AS MATERIALIZED (SELECT ord, n, unnest(tokens) AS t FROM (SELECT min(ord) AS ord, len(tokens) AS n, tokens FROM (
+  SELECT ord, {c.TOKENS_SQL} AS tokens FROM corpus) GROUP BY tokens))"""
+_LINES_SQL = r"len(regexp_extract_all({}, '[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+'))"
+
+
+@query(
+    "text_deltas_applied",
+    c.MEMBERS_SQL,
+    "," + c.VERSIONS_SQL,
+    _WORD_SETS_SQL,
+    """,
+steps AS (
+  SELECT path, ord, text, lag(text) OVER w AS old FROM versions WINDOW w AS (PARTITION BY path ORDER BY last_analyzed_utc, ord)
+  UNION ALL SELECT path, ord, text, lag(text) OVER w FROM members WINDOW w AS (PARTITION BY group_key ORDER BY last_analyzed_utc, ord)
+  UNION ALL SELECT y.path, y.ord, y.text, x.text FROM (
+    SELECT least(a.ord, b.ord) AS lo, greatest(a.ord, b.ord) AS hi FROM tok a JOIN tok b ON a.t = b.t AND a.ord < b.ord
+    GROUP BY a.ord, b.ord, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 0.5) JOIN members x ON x.ord = lo JOIN members y ON y.ord = hi)""",
+    sql=f"""SELECT path, ord, sha256(text) AS made_sha256, {_LINES_SQL.format('old')}::BIGINT AS old_lines, {_LINES_SQL.format('text')}::BIGINT AS new_lines
+      FROM steps WHERE old <> text""",
+)
+def deltas_applied(spark: SparkSession, sf: str) -> DataFrame:
+    """Each delta applied to the text it starts from."""
+    steps, texts = _steps(spark, sf)
+    deltas = cut_lineage(text_deltas(steps, texts))
+    new_lines = F.size("old_lines") + added_lines(F.col("hunks")) - removed_lines(F.col("hunks"))
+    made = deltas.select(
+        "from_hash", "to_hash", F.sha2(apply_hunks(F.col("old_lines"), F.col("hunks")), 256).alias("made_sha256"),
+        F.size("old_lines").cast("long").alias("old_lines"), new_lines.alias("new_lines"),
+    )
+    return steps.join(made, ["from_hash", "to_hash"]).drop("from_hash", "to_hash")
 
 
 @query(
@@ -100,12 +180,49 @@ def change_lines(spark: SparkSession, sf: str) -> DataFrame:
       SELECT * FROM changes QUALIFY row_number() OVER (PARTITION BY path ORDER BY last_analyzed_utc DESC, ord DESC) <= 4) GROUP BY path""",
 )
 def summary_histories(spark: SparkSession, sf: str) -> DataFrame:
-    entry = lambda e: F.concat(F.substring(e["sha256"], 1, 8), F.coalesce(e["change_summary"], F.lit("")))
+    entry = lambda e: F.concat(F.substring(e["sha256"], 1, 8), F.coalesce(_kind_of_text(e["change_summary"]), F.lit("")))
     return summary_history(c.changes(spark, sf), 4).select(
         "path", F.array_join(F.transform("summary_history", entry), ";").alias("entries")
     )
 
 
+def _account(texts: list[str], hints: list[str]) -> list[str]:
+    """A scorer that tells the number of lines."""
+    return [json.dumps({"tags": ["turn"], "security_level": "P4", "summary": f"{text.count(chr(10)) + 1} lines"}) for text in texts]
+
+
+def _replayed(spark: SparkSession, sf: str) -> str:
+    """The turns of all conversations taken in as batches: each turn replaces the text of its file."""
+    root = f"{checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
+    turns = c.table(spark, sf, "conversations").filter(F.col("text").isNotNull())
+    found = turns.select(
+        "turn", F.concat(F.lit("/conv/c"), F.col("conv_id").cast("string"), F.lit(".md")).alias("path"),
+        F.timestamp_seconds(F.col("turn") * 1800).alias("modificationTime"), F.octet_length("text").cast("long").alias("length"),
+        F.col("text").cast("binary").alias("content"),
+    )
+    start = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    for turn in range((turns.agg(F.max("turn")).first()[0] or 0) + 1):
+        rules = IngestSettings((".md",), scorer=_account, history_entries=4, clock=lambda turn=turn: start + timedelta(minutes=30 * turn))
+        process_batch(found.filter(F.col("turn") == turn).drop("turn"), turn, root, rules)
+    return root
+
+
+@query(
+    "ingested_history",
+    c.VERSIONS_SQL,
+    r""",
+kept AS (
+  SELECT * FROM changes WHERE regexp_matches(text, '\S') AND (changed OR prev_sha256 IS NULL)
+  QUALIFY row_number() OVER (PARTITION BY path ORDER BY last_analyzed_utc DESC, ord DESC) <= 4)""",
+    sql="""SELECT path, string_agg(substr(sha256, 1, 8) || CASE change_summary WHEN 'text' THEN 'other content' ELSE coalesce(change_summary, '') END, ';'
+      ORDER BY last_analyzed_utc, ord) AS entries, arg_max(sha256, ord) AS sha256 FROM kept GROUP BY path""",
+)
+def ingested_history(spark: SparkSession, sf: str) -> DataFrame:
+    """State and history after all turns went through the ingest, batch after batch."""
+    entry = lambda e: F.concat(F.substring(e["sha256"], 1, 8), F.coalesce(e["change_summary"], F.lit("")))
+    return stored_files(spark, _replayed(spark, sf)).select("path", F.array_join(F.transform("summary_history", entry), ";").alias("entries"), "sha256")
+
+
 @query(
     "recent_changes",
     c.VERSIONS_SQL,
@@ -115,7 +232,8 @@ def summary_histories(spark: SparkSession, sf: str) -> DataFrame:
       ORDER BY last_analyzed_utc DESC, ord LIMIT 20""",
 )
 def newest_changes(spark: SparkSession, sf: str) -> DataFrame:
-    return recent_changes(c.changed_files(spark, sf), 20).select("path", "change_summary", _text("utc").alias("utc"))
+    newest = recent_changes(c.changed_files(spark, sf), 20)
+    return newest.select("path", _kind_of_text(F.col("change_summary")).alias("change_summary"), _text("utc").alias("utc"))
 
 
 @query(
@@ -173,7 +291,7 @@ def lineage_steps(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "lineage_singletons",
     c.MEMBERS_SQL,
-    sql="""SELECT path, security_level FROM members WHERE group_key NOT IN (SELECT group_key FROM multi) ORDER BY lower(path), path LIMIT 80""",
+    sql="""SELECT path, security_level FROM members WHERE group_key NOT IN (SELECT group_key FROM multi) ORDER BY lower(path), path""",
 )
 def lineage_singletons(spark: SparkSession, sf: str) -> DataFrame:
     return singletons(c.members(spark, sf))
@@ -209,17 +327,15 @@ def group_lines(spark: SparkSession, sf: str) -> DataFrame:
     c.MEMBERS_SQL,
     """,
 peers AS (
-  SELECT path, lag(path) OVER w AS peer_path, lag(summary) OVER w AS prev_summary, summary, lines, lag(lines) OVER w AS old
-  FROM (SELECT *, list_distinct(list_filter(string_split_regex(text, '\\r\\n|\\r|\\n'), lambda x: x <> '')) AS lines FROM members)
-  WINDOW w AS (PARTITION BY group_key ORDER BY last_analyzed_utc, ord)),
-counted AS (
-  SELECT *, len(lines) - len(list_intersect(lines, old)) AS added, len(old) - len(list_intersect(lines, old)) AS removed FROM peers)""",
-    sql="""SELECT path, peer_path, CASE WHEN peer_path IS NULL THEN NULL WHEN prev_summary <> summary
-      THEN 'summary: ' || substr(prev_summary, 1, 80) || ' -> ' || substr(summary, 1, 80)
-      WHEN added + removed > 0 THEN 'text: lines new ' || added || ' gone ' || removed ELSE 'other bytes, same lines' END AS line FROM counted""",
+  SELECT path, lag(path) OVER w AS peer_path, lag(sha256) OVER w AS peer_sha, sha256, lag(security_level) OVER w AS old, security_level AS new
+  FROM members WINDOW w AS (PARTITION BY group_key ORDER BY last_analyzed_utc, ord))""",
+    sql="""SELECT path, peer_path, CASE WHEN peer_path IS NULL THEN NULL WHEN old <> new THEN 'summary: ' || old || ' -> ' || new
+      WHEN peer_sha <> sha256 THEN 'text' ELSE 'other bytes, no other lines' END AS line FROM peers""",
 )
 def peer_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return peer_changes(c.members(spark, sf)).select("path", "peer_path", F.col("change_summary").alias("line"))
+    """The account compared is the level here, so that steps differ in it, in the text, or in neither."""
+    members = c.members(spark, sf).withColumn("summary", F.col("security_level"))
+    return peer_changes(members).select("path", "peer_path", _kind_of_text(F.col("change_summary")).alias("line"))
 
 
 _COMPONENTS_SQL = (
@@ -324,17 +440,12 @@ def lineage_blended(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "similar_summaries",
     c.CORPUS_SQL,
-    rf""",
-tok AS MATERIALIZED (SELECT ord, n, unnest(tokens) AS t FROM (SELECT min(ord) AS ord, len(tokens) AS n, tokens FROM (
-  SELECT ord, {c.TOKENS_SQL} AS tokens FROM corpus) GROUP BY tokens))""",
+    _WORD_SETS_SQL,
     sql="""SELECT least(a.ord, b.ord) AS lo, greatest(a.ord, b.ord) AS hi, count(*) / (a.n + b.n - count(*)) AS jaccard FROM tok a JOIN tok b
       ON a.t = b.t AND a.ord < b.ord GROUP BY a.ord, b.ord, a.n, b.n HAVING count(*) / (a.n + b.n - count(*)) >= 0.4""",
 )
 def similar_summaries(spark: SparkSession, sf: str) -> DataFrame:
-    """Pairs of distinct word sets, named by the first file that has them."""
-    sets = similarity_features(c.corpus(spark, sf)).filter(F.size("tokens") > 0).groupBy("tokens").agg(F.min("ord").alias("id"))
-    pairs = jaccard_pairs(sets.select("id", F.col("tokens").alias("items")), 0.4)
-    return pairs.select(F.least("a_id", "b_id").alias("lo"), F.greatest("a_id", "b_id").alias("hi"), "jaccard")
+    return _similar_files(c.corpus(spark, sf), 0.4)
 
 
 @query(

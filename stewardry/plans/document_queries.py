@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.levels import format_level, level_rank
@@ -32,6 +32,7 @@ from ..operators.governance import (
     security_floor,
     sync_overrides,
 )
+from ..operators.rule_tables import match_rule_table
 from ..operators.routing import batch_evaluation, checked, single_outcome, skip_notes, status_tally
 from ..sources.files import scan_incremental
 from ..sources.sinks import last_classification
@@ -513,3 +514,36 @@ def newest(spark: SparkSession, sf: str) -> DataFrame:
 def hits_by_rule(spark: SparkSession, sf: str) -> DataFrame:
     hits = c.corpus(spark, sf).select(F.explode(match_rules("text", c.RULES)).alias("h"))
     return hits.groupBy(F.col("h.id").alias("rule")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_RULE_COUNT = 5_000
+
+
+@query(
+    "rule_table_hits",
+    c.CORPUS_SQL,
+    f""",
+words AS (
+  SELECT word, row_number() OVER (ORDER BY md5(word)) AS ord FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{9,}}')) AS word FROM corpus)
+  QUALIFY ord <= {_RULE_COUNT}),
+found AS (
+  SELECT path, words.ord AS ord, 'w' || words.ord AS id FROM corpus JOIN words ON contains(lower(text), word)
+  UNION ALL SELECT path, 0, 'number' FROM corpus WHERE regexp_matches(text, '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}'))""",
+    sql="SELECT path, string_agg(id, ',' ORDER BY ord) AS hits FROM found GROUP BY path",
+)
+def rule_table_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Thousands of rules made of words of the corpus: keywords, patterns with classes or optional
+    parts, and one pattern without a literal."""
+    files = c.corpus(spark, sf)
+    # The number of rules is the feature here; the texts are all of them.
+    words = files.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{9,}"), F.lit(0))).alias("word")).distinct()
+    words = words.orderBy(F.md5("word")).limit(_RULE_COUNT).withColumn("ord", F.row_number().over(Window.orderBy(F.md5("word"))))
+    head, tail, fifth = F.substring("word", 1, 4), F.substring("word", 6, 1000), F.substring("word", 5, 1)
+    stated = F.when(F.col("ord") % 3 == 1, F.concat(head, F.lit("["), fifth, F.lit("]"), tail)).when(F.col("ord") % 3 == 2, F.concat("word", F.lit("(?:ly)?")))
+    rules = words.select(
+        "ord", F.concat(F.lit("w"), F.col("ord").cast("string")).alias("id"), stated.alias("pattern"),
+        F.when(F.col("ord") % 3 == 0, F.array(F.initcap("word"))).alias("keywords"), F.lit("p2").alias("min_level"), F.lit("").alias("hint"),
+    )
+    number = spark.createDataFrame([(0, "number", "[0-9]{3}-[0-9]{2}-[0-9]{4}", None, "P1", "")], rules.schema)
+    hits = match_rule_table(files.select("path", "text"), rules.unionByName(number))
+    return hits.select("path", F.array_join(F.transform("hits", lambda h: h["id"]), ",").alias("hits"))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.paths import in_excluded_dir, passes_file_filters
@@ -27,11 +27,12 @@ from ..operators.governance import (
     rule_hint_block,
 )
 from ..operators.routing import checked, route, skip_events
-from ..operators.versions import adopt_renames, files_current
+from ..operators.versions import adopt_renames
 from ..schema import FILES, OVERRIDES, with_columns_of
 from ..session import cut_lineage
 from ..sources.files import Extractor, extract, scan_files, watch_files, with_sha256
 from ..sources.sinks import write_batch
+from .snapshot import Snapshot, read_table
 
 
 @dataclass
@@ -53,24 +54,26 @@ class IngestSettings:
     clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc)
 
 
-def read_table(spark: SparkSession, root: str, name: str, before: int | None = None) -> DataFrame | None:
-    """A table written batch by batch; ``before`` leaves out the batch being written again."""
-    try:
-        table = spark.read.option("basePath", f"{root}/{name}").parquet(f"{root}/{name}")
-    except AnalysisException as err:
-        if err.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
-    return table if before is None else table.filter(F.col("batch") < before)
+HASHES = T.StructType([f for f in FILES.fields if f.name in ("path", "sha256", "file_id", "last_analyzed_utc", "last_checked_utc")])
+LISTING = T.StructType([T.StructField("path", T.StringType()), T.StructField("length", T.LongType()), T.StructField("modificationTime", T.TimestampType())])
+
+
+def current_files(spark: SparkSession, root: str) -> Snapshot:
+    return Snapshot(spark, root, "files", FILES)
+
+
+def _by_hash(spark: SparkSession, root: str) -> Snapshot:
+    """Who has a content: read where renames are looked for."""
+    return Snapshot(spark, root, "files_by_hash", HASHES, key="sha256")
+
+
+def _listing(spark: SparkSession, root: str) -> Snapshot:
+    """Size and time of every file that a scan has met, taken in or not."""
+    return Snapshot(spark, root, "listing", LISTING)
 
 
 def stored_files(spark: SparkSession, root: str, before: int | None = None) -> DataFrame:
-    versions = read_table(spark, root, "file_versions", before)
-    if versions is None:
-        return spark.createDataFrame([], FILES)
-    moves = read_table(spark, root, "file_moves", before)
-    checks = read_table(spark, root, "check_events", before)
-    return with_columns_of(files_current(versions, moves, checks), FILES)
+    return current_files(spark, root).read(before)
 
 
 def process_batch(
@@ -83,13 +86,15 @@ def process_batch(
 ) -> None:
     """Route, classify, govern and append one micro-batch of ``binaryFile`` rows.
 
-    Every table gets its own folder per batch, so that a repeated batch replaces itself. With
-    ``live(path)``, the paths that exist now, renamed files keep their id.
+    Every table gets its own folder per batch, so that a repeated batch replaces itself. What is
+    known of the files is read from the buckets of their paths only, and with ``live(path)``, the
+    paths that exist now, from the buckets of their hashes: renamed files keep their id.
     """
     spark = found.sparkSession
     now = settings.clock()
     at = as_timestamp(now)
-    current = stored_files(spark, root, batch_id)
+    files, by_hash = current_files(spark, root), _by_hash(spark, root)
+    current = files.read(batch_id, files.touched(found))
     listed = found.filter(~in_excluded_dir("path", settings.exclude_dirs))
     admitted = passes_file_filters("path", "length", settings.extensions, settings.min_bytes, settings.max_bytes)
     none = F.lit(None).cast("string")
@@ -106,7 +111,9 @@ def process_batch(
     moves = None
     if live is not None:
         fresh = routed.filter(F.col("outcome") == "classify").select("path", "sha256", "ord")
-        moves = cut_lineage(adopt_renames(fresh, current, live, now).select("old_path", "new_path", "file_id", "sha256"))
+        holders = by_hash.read(batch_id, by_hash.touched(fresh)).join(current.select("path"), "path", "left_anti")
+        known_or_same = current.select(HASHES.names).unionByName(holders.select(HASHES.names))
+        moves = cut_lineage(adopt_renames(fresh, known_or_same, live, now).select("old_path", "new_path", "file_id", "sha256"))
         moved = moves.select(F.col("new_path").alias("path"), F.lit(True).alias("_moved"))
         # A renamed file has its stored content, so it counts as unchanged.
         routed = (
@@ -140,16 +147,23 @@ def process_batch(
         .withColumn("last_checked_utc", at)
     )
     new_versions = cut_lineage(with_columns_of(versions, FILES))
+    written, gone = new_versions, None
     if moves is not None:
+        old = moves.select(F.col("old_path").alias("path"), "new_path", "sha256")
         carried = (
-            current.join(moves.select(F.col("old_path").alias("path"), "new_path"), "path")
+            files.read(batch_id, files.touched(old)).join(old.select("path", "new_path"), "path")
             .withColumn("path", F.col("new_path"))
             .withColumn("last_checked_utc", at)
         )
+        written, gone = cut_lineage(with_columns_of(carried, FILES).unionByName(new_versions)), old.select("path", "sha256")
         write_batch(moves, f"{root}/file_moves", batch_id)
-        write_batch(with_columns_of(carried, FILES).unionByName(new_versions), f"{root}/file_versions", batch_id)
-    else:
-        write_batch(new_versions, f"{root}/file_versions", batch_id)
+    write_batch(written, f"{root}/file_versions", batch_id)
+    seen = checked(routed, at).select("path")
+    rechecked = current.join(seen, "path", "left_semi").withColumn("last_checked_utc", at)
+    files.replace(batch_id, written.unionByName(rechecked.select(FILES.names)), gone)
+    # The hash that a new version replaces, and the one that a renamed file leaves, are given up.
+    given_up = current.select("path", "sha256").join(written.select("path"), "path", "left_semi")
+    by_hash.replace(batch_id, written.select(HASHES.names), given_up if gone is None else given_up.unionByName(gone))
     write_batch(checked(routed, at), f"{root}/check_events", batch_id)
     write_batch(skip_events(routed, at), f"{root}/skip_events", batch_id)
     write_batch(activity_rows(routed, at), f"{root}/activity_log", batch_id)
@@ -195,10 +209,48 @@ def ingest_scan(
     settings: IngestSettings,
     overrides: DataFrame | None = None,
 ) -> None:
-    """One pass over all files that exist now, as a batch. Unlike the stream, which reports new
-    paths only, this finds modified files, and renamed ones keep their id."""
-    listing = scan_files(spark, roots, settings.extensions, settings.exclude_dirs, settings.min_bytes, settings.max_bytes)
-    process_batch(listing, batch_id, root, settings, overrides, live=listing.select("path"))
+    """What was created, modified or renamed since the last scan, as a batch.
+
+    The listing is compared with that of the last scan by size and time; only files that differ are
+    opened. Renamed files keep their id; a file that is gone keeps its record, as it may turn up.
+    """
+    before = _listing(spark, root)
+    scan = lambda **k: scan_files(spark, roots, settings.extensions, settings.exclude_dirs, settings.min_bytes, settings.max_bytes, **k)
+    listing = cut_lineage(scan().select(LISTING.names))
+    known = before.read(batch_id).withColumn("_known", F.lit(True))
+    changed = cut_lineage(listing.join(known, LISTING.names, "left").filter(F.col("_known").isNull()).select(LISTING.names))
+    oldest = changed.agg(F.min("modificationTime")).first()[0]
+    if oldest is not None:
+        # Spark lists by time, so that hardly a file that did not change is opened.
+        found = scan(modified_after=oldest - timedelta(seconds=2)).join(changed.select("path"), "path", "left_semi")
+        process_batch(found, batch_id, root, settings, overrides, live=listing.select("path"))
+    before.replace(batch_id, changed, known.join(listing.select("path"), "path", "left_anti"))
+
+
+def start_watch(
+    spark: SparkSession,
+    roots: Sequence[str],
+    root: str,
+    checkpoint: str,
+    settings: IngestSettings,
+    overrides: DataFrame | None = None,
+    after_batch: Callable[[SparkSession, str, int], None] | None = None,
+    every: str = "1 minute",
+    once: bool = False,
+) -> StreamingQuery:
+    """Scan ``roots`` again and again: created, modified and renamed files are all taken in.
+
+    The ticks of a rate source number the scans; a scan that was cut short is repeated under its number.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        ingest_scan(batch.sparkSession, roots, root, batch_id, settings, overrides)
+        if after_batch is not None:
+            after_batch(batch.sparkSession, root, batch_id)
+
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("advanceMillisPerBatch", 1000).load()
+    writer = ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
 def start_ingest(
@@ -208,16 +260,17 @@ def start_ingest(
     checkpoint: str,
     settings: IngestSettings,
     overrides: DataFrame | None = None,
-    after_batch: Callable[[SparkSession, str], None] | None = None,
+    after_batch: Callable[[SparkSession, str, int], None] | None = None,
     once: bool = False,
 ) -> StreamingQuery:
-    """Watch ``folder``. Existing files come first; ``once`` handles what is there and stops.
+    """Take in the files that turn up in ``folder``, each path once; :func:`start_watch` also sees edits
+    and renames. Existing files come first; ``once`` handles what is there and stops.
     ``after_batch`` refreshes derived tables, once per micro-batch."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         process_batch(batch, batch_id, root, settings, overrides)
         if after_batch is not None:
-            after_batch(batch.sparkSession, root)
+            after_batch(batch.sparkSession, root, batch_id)
 
     writer = watch_files(spark, folder).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
