@@ -14,8 +14,10 @@ from pyspark.sql.window import Window
 
 from .common import store
 
-# Turns in one stretch of the rolling hash, and in one rendered part.
+# Turns in one stretch of the rolling hash.
 STRETCH = 1024
+# Turns in one rendered part: the row of a part holds its text, whatever the length of the conversation.
+PART_TURNS = 1024
 
 
 def _placed(turns: DataFrame) -> DataFrame:
@@ -65,24 +67,31 @@ def maximal(prefixes: DataFrame) -> DataFrame:
     return single.join(inner, ["n", "h1", "h2"], "left_anti").select("conv_id", "n", "n_equal")
 
 
+def _inert(text: Column) -> Column:
+    return F.regexp_replace(text, r"<\|(im_start|im_end)\|>", "< |$1| >")
+
+
 def rendered_turn(role: Column, text: Column) -> Column:
-    """One turn with markers; markers inside a text are taken apart, so that none can be forged."""
-    inert = F.regexp_replace(text, r"<\|(im_start|im_end)\|>", "< |$1| >")
-    return F.concat(F.lit("<|im_start|>"), role, F.lit("\n"), inert, F.lit("<|im_end|>\n"))
+    """One turn with markers; markers inside a role or text are taken apart, and a role is one line,
+    so that no turn can be forged."""
+    said = F.regexp_replace(_inert(role), r"[\r\n]+", " ")
+    return F.concat(F.lit("<|im_start|>"), said, F.lit("\n"), _inert(text), F.lit("<|im_end|>\n"))
 
 
-def format_chats(turns: DataFrame) -> DataFrame:
+def format_chats(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """``conv_id, part, n_turns, n_equal, text``: the maximal conversations, rendered.
 
     ``n_turns`` is that of the conversation, ``n_equal`` how many ids logged exactly these
-    turns. A conversation of more than ``STRETCH`` turns is rendered in several parts, from 0
-    on. Repeated rows count once; null ``conv_id`` is a conversation of its own; turns are
-    ordered by number (null first), then role and text; null role and text are empty.
+    turns. A conversation of more than ``part_turns`` turns is rendered in several parts, from 0
+    on, so that no row grows with a conversation; its parts in order are its whole text. Repeated
+    rows count once; null ``conv_id`` is a conversation of its own; turns are ordered by number
+    (null first), then role and text, several of one number all count; null role and text are
+    empty. Other columns are not read; an empty table gives an empty one.
     """
     placed = store(_placed(turns))
     kept = store(maximal(_prefixes(placed))).select(F.col("conv_id").alias("c"), F.col("n").alias("n_turns"), "n_equal")
     lines = placed.join(kept, placed["conv_id"].eqNullSafe(kept["c"]))
-    part = F.floor(F.col("at") / STRETCH)
+    part = F.floor(F.col("at") / part_turns)
     turn = F.struct("at", rendered_turn(F.col("role"), F.col("text")).alias("line"))
     parts = lines.groupBy("conv_id", part.alias("part"), "n_turns", "n_equal").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     return parts.select("conv_id", "part", "n_turns", "n_equal", F.array_join(F.transform("turns", lambda t: t["line"]), "").alias("text"))

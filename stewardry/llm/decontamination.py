@@ -29,18 +29,18 @@ NORMAL = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or chr(c).isalnum
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 SPAN = "array<struct<first:int,last:int>>"
-MATCH = f"struct<n_words:bigint,hits:{SPAN},items:array<bigint>>"
+MATCH = f"struct<n_words:bigint,hits:{SPAN},items:array<string>>"
 
 
 def normal_words(text: bytes) -> list[bytes]:
     return text.translate(NORMAL).split()
 
 
-def build_automaton(items: list[tuple[int, bytes]], width: int) -> tuple[dict[bytes, int], ahocorasick.Automaton | None]:
+def build_automaton(items: list[tuple[str, bytes]], width: int) -> tuple[dict[bytes, int], ahocorasick.Automaton | None]:
     """Word numbers (from 1 on, 0 is any other word) and the automaton; its values are the
     length of the window and the items that hold it."""
     numbers: dict[bytes, int] = {}
-    holders: dict[tuple[int, ...], set[int]] = {}
+    holders: dict[tuple[int, ...], set[str]] = {}
     for item, text in items:
         row = tuple(numbers.setdefault(w, len(numbers) + 1) for w in normal_words(text))
         if row:
@@ -90,7 +90,7 @@ def _matches(text: Column, block, width: int) -> Column:
             [
                 pa.array([f[0] for f in found], pa.int64()),
                 pa.array([[{"first": a, "last": b} for a, b in f[1]] for f in found], kind),
-                pa.array([f[2] for f in found], pa.list_(pa.int64())),
+                pa.array([f[2] for f in found], pa.list_(pa.string())),
             ],
             names=["n_words", "hits", "items"],
         )
@@ -101,7 +101,7 @@ def _matches(text: Column, block, width: int) -> Column:
 def _blocks(benchmark: DataFrame) -> list:
     spark = benchmark.sparkSession
     items = benchmark.filter(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(
-        F.col("item_id").cast("long").alias("item_id"), "text"
+        F.col("item_id").cast("string").alias("item_id"), "text"
     )
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // BLOCK_BYTES))
@@ -115,8 +115,9 @@ def _blocks(benchmark: DataFrame) -> list:
 def match_items(docs: DataFrame, benchmark: DataFrame, width: int = 13, as_name: str = "match") -> DataFrame:
     """``docs`` with a struct column ``as_name``: words of the text, hit runs of words, items.
 
-    ``benchmark`` has ``item_id, text``; items without an id or text have no windows. Null text
-    has no words. Repeated items and ids are allowed.
+    ``benchmark`` has ``item_id, text``, ids of any type, given as texts; items without an id or text have no
+    windows. Null text has no words. Repeated items and ids are allowed. A text of any length is
+    scanned as a whole in one row. An empty table gives an empty one, an empty benchmark no hits.
     """
     blocks = _blocks(benchmark)
     if len(blocks) == 1:
@@ -138,7 +139,7 @@ def match_items(docs: DataFrame, benchmark: DataFrame, width: int = 13, as_name:
     value = F.struct(
         n_words.alias("n_words"),
         F.coalesce(joint["hits"], empty).alias("hits"),
-        F.coalesce(joint["items"], F.array().cast("array<bigint>")).alias("items"),
+        F.coalesce(joint["items"], F.array().cast("array<string>")).alias("items"),
     )
     return joined.select(*[docs[c] for c in docs.columns], value.alias(as_name))
 

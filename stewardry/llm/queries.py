@@ -133,7 +133,7 @@ WITH clean AS (
   SELECT * FROM ends WHERE NOT EXISTS (SELECT 1 FROM prefixes p WHERE p.n = ends.n AND p.n < p.length AND p.turns = ends.turns)
 )
 SELECT p.conv_id, ((p.n - 1) // 1024)::BIGINT AS part, kept.n AS n_turns, n_equal,
-       string_agg('<|im_start|>' || role || chr(10) || regexp_replace(text, '<\|(im_start|im_end)\|>', '< || >', 'g') || '<|im_end|>' || chr(10), '' ORDER BY p.n) AS text
+       string_agg('<|im_start|>' || regexp_replace(regexp_replace(role, '<\|(im_start|im_end)\|>', '< || >', 'g'), '[\r\n]+', ' ', 'g') || chr(10) || regexp_replace(text, '<\|(im_start|im_end)\|>', '< || >', 'g') || '<|im_end|>' || chr(10), '' ORDER BY p.n) AS text
 FROM kept JOIN placed p ON p.conv_id IS NOT DISTINCT FROM kept.conv_id
 GROUP BY p.conv_id, part, kept.n, n_equal
 """,
@@ -178,15 +178,26 @@ WITH split AS (
   FROM split s LEFT JOIN dups ON s.doc_id = dups.doc_id LEFT JOIN again ON s.doc_id = again.doc_id
 ), judged AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured
+), flags AS (
+  SELECT *, 100 * n_symbols > 10 * n_words AS symbols, 100 * n_dup_lines > 5 * n_words AS dup_lines,
+         word_chars < 3 * n_words OR word_chars > 10 * n_words AS word_length FROM judged
 ), hosts AS (
-  SELECT source, count(*) AS n, sum(base_failed::INT) AS f FROM judged GROUP BY source
+  SELECT source, rule, count(*)::DOUBLE AS n, sum(failed::INT)::DOUBLE AS f
+  FROM (SELECT source, unnest(['base', 'symbols', 'dup_lines', 'word_length']) AS rule, unnest([base_failed, symbols, dup_lines, word_length]) AS failed FROM flags)
+  GROUP BY source, rule
+), means AS (SELECT rule, count(*) AS k, sum(n) AS total, sum(n * n) AS squares, sum(f) / sum(n) AS m FROM hosts GROUP BY rule
+), spread AS (
+  SELECT rule, k, m, (sum(n * (f / n - m) * (f / n - m)) / nullif(k - 1, 0)) AS msb, sum(n * (f / n) * (1 - f / n)) / nullif(total - k, 0) AS msw,
+         (total - squares / total) / nullif(k - 1, 0) AS n0
+  FROM hosts JOIN means USING (rule) GROUP BY rule, k, m, total, squares
 ), prior AS (
-  SELECT m, CASE WHEN v > 0 AND v < m * (1 - m) THEN m * (1 - m) / v - 1 ELSE 1 END AS k
-  FROM (SELECT avg(f / n) AS m, var_samp(f / n) AS v FROM hosts)
+  SELECT rule, m, CASE WHEN msb > msw THEN 1 / ((msb - msw) / (msb + (n0 - 1) * msw)) - 1 END AS weight FROM spread
+), verdicts AS (
+  SELECT source, bool_or(CASE WHEN weight IS NULL THEN m ELSE (f + m * weight) / (n + weight) END > 0.7) AS rejected
+  FROM hosts JOIN prior USING (rule) GROUP BY source
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT (f + m * k) / (n + k) > 0.9 AS kept
-FROM judged JOIN hosts ON judged.source IS NOT DISTINCT FROM hosts.source, prior
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
+FROM flags JOIN verdicts ON flags.source IS NOT DISTINCT FROM verdicts.source
 """,
 )
 
@@ -301,7 +312,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     matched = decontamination.match_items(docs.select("doc_id", "text"), benchmark)
     match = F.col("match")
-    ids = F.array_join(F.array_sort(F.transform(match["items"], lambda i: i.cast("string"))), ",")
+    ids = F.array_join(F.array_sort(match["items"]), ",")
     return matched.select(
         "doc_id",
         match["n_words"].alias("n_words"),

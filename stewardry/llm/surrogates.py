@@ -4,8 +4,10 @@ Entities are found by pattern and proved where they carry a check digit. Each ge
 replacement that a keyed digest of its canonical form decides: the same entity reads the same
 in every document, its written form (separators, brackets, case, title) stays, and the kind
 holds (cards pass the Luhn check, IBANs the check modulo 97, names keep script and gender).
-Family and given names are entities of their own, so that two people never share a full name.
-After a titled name, later mentions of the name alone in the same document follow it.
+Every part of a name is an entity of its own, so that two people never share a full name. A name
+is what follows a title: any number of capitalised words, with apostrophes, hyphens, initials
+and particles; the last word is the family name. Where a document has a titled name, its parts
+are replaced wherever they stand in it, in any case. Particles stay.
 
 Replacements are checked over the whole corpus: two entities never share one, and none is an
 entity that occurs. Those that clash draw again; only they are joined to the documents.
@@ -13,16 +15,71 @@ entity that occurs. Those that clash draw again; only they are joined to the doc
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, small, store
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-TITLES_F = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа|Κυρία"
-TITLES_M = "Mr|Herrn|Herr|Monsieur|Señor|Sr|Господин|Κύριος"
-_TITLE = rf"(?:{TITLES_F}|{TITLES_M})\.?\x20"
-_PERSON = rf"(?<!\p{{L}}){_TITLE}\p{{Lu}}\p{{L}}+(?:\x20\p{{Lu}}\p{{L}}+)?"
+
+
+@dataclass(frozen=True)
+class Names:
+    """Titles before a name, for women, for men and for anyone, and the particles within one."""
+
+    titles_f: tuple[str, ...] = ("Mrs", "Ms", "Miss", "Mlle", "Frau", "Madame", "Mme", "Señora", "Señorita", "Sra", "Госпожа", "Κυρία")
+    titles_m: tuple[str, ...] = ("Mr", "Herrn", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος")
+    titles_u: tuple[str, ...] = ("Dr", "Doctor", "Prof", "Professor", "Mx")
+    particles: tuple[str, ...] = ("von", "vom", "van", "der", "den", "ter", "zu", "zur", "de", "del", "della", "di", "da", "dos", "du", "des", "la", "le", "las", "los", "al", "el", "bin", "ibn", "y")
+
+    @staticmethod
+    def _one(words: tuple[str, ...]) -> str:
+        return "|".join(sorted(words, key=len, reverse=True))
+
+    @property
+    def title(self) -> str:
+        one = rf"(?:{self._one(self.titles_f + self.titles_m + self.titles_u)})\.?\x20"
+        return rf"(?:{one})+"
+
+    @property
+    def person(self) -> str:
+        particles = rf"(?:(?:{self._one(self.particles)})\x20){{0,3}}"
+        part = rf"{particles}(?:(?:\p{{Lu}}\.)+|{_CAPITALISED}(?:-{_CAPITALISED})*)"
+        return rf"(?<!\p{{L}}){self.title}{part}(?:\x20{part})*"
+
+    @property
+    def entity(self) -> str:
+        return "|".join((_EMAIL, _IBAN, _CARD, _IP, _SSN, _PHONE, self.person))
+
+    @property
+    def cue(self) -> str:
+        """A text without a match of this holds no entity."""
+        return f"[0-9@]|{self.title}"
+
+    def gender(self, hit: Column) -> Column:
+        said = lambda titles: hit.rlike(rf"^(?:{self._one(titles)})\.?\x20")
+        return F.when(said(self.titles_f), "f").when(said(self.titles_m), "m").otherwise("u")
+
+    def parts(self, hit: Column) -> Column:
+        """``text, kind`` of the words of a titled name; kind ``''`` for what stays."""
+        words = F.split(F.regexp_replace(hit, f"^{self.title}", ""), " ")
+        given = F.concat(F.lit("given_"), self.gender(hit))
+
+        def of_word(word: Column, i: Column) -> Column:
+            kind = F.when(i == F.size(words) - 1, "person").otherwise(given)
+            kind = F.when(word.isin(*self.particles), "").otherwise(kind)
+            single = lambda t: F.when(F.char_length(t) == 1, F.when(kind == "", "").otherwise("initial")).otherwise(kind)
+            return F.transform(F.regexp_extract_all(word, F.lit(_NAME_TOKEN), F.lit(0)), lambda t: F.struct(t.alias("text"), single(t).alias("kind")))
+
+        return F.flatten(F.transform(words, of_word))
+
+
+# A capitalised word with apostrophes, such as O'Brien or d'Artagnan, and the letters of a name.
+_CAPITALISED = r"(?:\p{Ll}['’])?\p{Lu}[\p{L}\p{M}]*+(?:['’]\p{L}[\p{L}\p{M}]*+)*+"
+_NAME_TOKEN = r"[\p{L}\p{M}]+(?:['’][\p{L}\p{M}]+)*"
+NAMES = Names()
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 _CARD = r"(?<!\d)(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d)"
@@ -32,12 +89,9 @@ _PHONE = (
     r"(?<![\d+(])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}"
     r"|\(\d{2,4}\)[ ]?\d{3,4}[ -]\d{3,4}|\d{3}-\d{3}-\d{4})(?!\d)"
 )
-ENTITY = "|".join((_EMAIL, _IBAN, _CARD, _IP, _SSN, _PHONE, _PERSON))
-# A text without any of these holds no entity.
-CUE = rf"[0-9@]|{_TITLE}"
 
-# A person is a family name; a given name is an entity by itself, one for each gender.
-GIVEN_KINDS = ("given_f", "given_m")
+# A part of a name that is a given name is another entity for each gender.
+GIVEN_KINDS = ("given_f", "given_m", "given_u")
 KINDS = ("email", "iban", "card", "ip", "ssn", "phone", "person", *GIVEN_KINDS)
 DEFAULT_KEY = "surrogates-1"
 # Draws of a number that keep its length; each later one is a digit longer.
@@ -53,6 +107,7 @@ NAME_END = {
     "person": {"latin": "nell", "cyrillic": "енко", "greek": "κης"},
     "given_f": {"latin": "lia", "cyrillic": "лия", "greek": "λια"},
     "given_m": {"latin": "rian", "cyrillic": "слав", "greek": "νος"},
+    "given_u": {"latin": "sil", "cyrillic": "сим", "greek": "ρις"},
 }
 
 
@@ -132,14 +187,14 @@ def kind_of(hit: Column) -> Column:
 
 
 def canonical_of(kind: Column, hit: Column) -> Column:
-    """One form for all ways of writing an entity; for a person the family name."""
+    """One form for all ways of writing an entity; for a part of a name its lower case."""
     digits = F.regexp_replace(hit, "[^0-9]", "")
     return (
         F.when(kind == "email", F.lower(hit))
         .when(kind == "iban", F.regexp_replace(hit, r"\x20", ""))
         .when(kind == "ip", hit)
         .when(kind == "phone", F.when(hit.startswith("+"), F.concat(F.lit("+"), digits)).otherwise(digits))
-        .when(kind.isin("person", *GIVEN_KINDS), F.lower(F.substring_index(hit, " ", -1)))
+        .when(kind.isin("person", *GIVEN_KINDS), F.lower(hit))
         .otherwise(digits)
     )
 
@@ -225,40 +280,34 @@ def _dressed(hit: Column, plain: Column) -> Column:
 
 
 def _cased(like: Column, text: Column) -> Column:
-    return F.when(like == F.upper(like), F.upper(text)).otherwise(text)
-
+    return F.when(like == F.lower(like), F.lower(text)).when(like == F.upper(like), F.upper(text)).otherwise(F.initcap(text))
 
-def _gender(hit: Column) -> Column:
-    return F.when(hit.rlike(rf"^(?:{TITLES_F})\.?\x20"), "f").otherwise("m")
 
-
-def _bare(hit: Column) -> Column:
-    return F.regexp_replace(hit, f"^{_TITLE}", "")
+def _cased_mail(like: Column, text: Column) -> Column:
+    return F.when(like == F.upper(like), F.upper(text)).otherwise(text)
 
 
-def given_of(hit: Column) -> Column:
-    """``kind, canonical`` of the given name of a titled name; null without one."""
-    kind = F.concat(F.lit("given_"), _gender(hit)).alias("kind")
-    return F.when(_bare(hit).contains(" "), F.struct(kind, F.lower(F.substring_index(_bare(hit), " ", 1)).alias("canonical")))
+def _initial(text: Column, digest: Column) -> Column:
+    """A letter of the script of an initial, in its case."""
+    return _cased(text, F.substring(_name(F.lit("person"), F.lower(text), digest, F.lit(0)), 1, 1))
 
 
-def _person(hit: Column, family: Column, given: Column) -> Column:
-    title = F.regexp_extract(hit, f"^({_TITLE})", 1)
-    names = F.split(F.substr(hit, F.length(title) + 1), " ")
-    last = _cased(F.element_at(names, -1), F.initcap(family))
-    first = F.concat(_cased(names[0], F.initcap(given)), F.lit(" "))
-    return F.concat(title, F.when(F.size(names) > 1, F.concat(first, last)).otherwise(last))
+def _person(hit: Column, parts: Column, title: str) -> Column:
+    """The titled name with the parts ``made`` in the places of its words."""
+    head = F.regexp_extract(hit, f"^({title})", 1)
+    between = F.split(F.substr(hit, F.length(head) + 1), _NAME_TOKEN, -1)
+    return F.concat(head, F.array_join(F.flatten(F.zip_with(between, parts, lambda b, p: F.array(b, F.coalesce(p["made"], F.lit(""))))), ""))
 
 
-def _placed(hit: Column, kind: Column, plain: Column, gender: Column, given: Column) -> Column:
-    """The replacement in the form of ``hit``; ``gender`` is set where it mentions a name alone."""
+def _placed(hit: Column, kind: Column, plain: Column, parts: Column, title: str) -> Column:
+    """The replacement in the form of ``hit``; ``parts`` is set where it is a titled name."""
     flat = F.regexp_replace(plain, "[^0-9A-Za-z]", "")
     return (
         F.when(kind.isNull(), hit)
-        .when(gender.isNotNull(), _cased(hit, F.initcap(plain)))
-        .when(kind == "person", _person(hit, plain, given))
+        .when(parts.isNotNull(), _person(hit, parts, title))
+        .when(kind.isin("person", *GIVEN_KINDS), _cased(hit, plain))
         .when(kind == "ip", plain)
-        .when(kind == "email", _cased(hit, plain))
+        .when(kind == "email", _cased_mail(hit, plain))
         .otherwise(_dressed(hit, flat))
     )
 
@@ -267,99 +316,94 @@ def _with(x: Column, names: tuple[str, ...], **more: Column) -> Column:
     return F.struct(*[x[n].alias(n) for n in names], *[c.alias(n) for n, c in more.items()])
 
 
-def _surrogates(hits: str, names: str, attempts: Column, key: str) -> Column:
+def _surrogates(hits: str, mentioned: str, attempts: Column, key: str, names: Names) -> Column:
     """What stands in place of each match: one step of the work per pass over the array, so that
     every value is computed once."""
-    seen = F.transform(hits, lambda h: F.struct(h.alias("hit"), F.try_element_at(F.col(names), h).alias("gender")))
-    alone = lambda g: F.when(g == "", "person").otherwise(F.concat(F.lit("given_"), g))
-    kinds = F.transform(
-        seen,
-        lambda x: _with(x, ("hit", "gender"), kind=F.when(x["gender"].isNotNull(), alone(x["gender"])).otherwise(kind_of(x["hit"]))),
-    )
-    had = ("hit", "gender", "kind")
-    titled = lambda x: x["gender"].isNull() & (x["kind"] == "person")
+    seen = F.transform(hits, lambda h: F.struct(h.alias("hit"), F.try_element_at(F.col(mentioned), F.lower(h)).alias("mention")))
+    kinds = F.transform(seen, lambda x: _with(x, ("hit", "mention"), kind=F.coalesce(x["mention"], kind_of(x["hit"]))))
+    titled = lambda x: x["mention"].isNull() & (x["kind"] == "person")
     named = F.transform(
         kinds,
-        lambda x: _with(x, had, canonical=canonical_of(x["kind"], x["hit"]), given=F.when(titled(x), given_of(x["hit"]))),
+        lambda x: _with(x, ("hit", "kind"), canonical=canonical_of(x["kind"], x["hit"]), parts=F.when(titled(x), names.parts(x["hit"]))),
     )
-    had += ("canonical", "given")
 
-    def tried(e: Column) -> Column:
-        return F.coalesce(F.try_element_at(attempts, F.concat(e["kind"], F.lit("|"), e["canonical"])), F.lit(0))
+    def tried(kind: Column, canonical: Column) -> Column:
+        return F.coalesce(F.try_element_at(attempts, F.concat(kind, F.lit("|"), canonical)), F.lit(0))
 
-    known = F.transform(
-        named, lambda x: _with(x, had, attempt=tried(x), given_attempt=F.when(x["given"].isNotNull(), tried(x["given"])))
-    )
-    had += ("attempt", "given_attempt")
+    def known(x: Column) -> Column:
+        parts = F.transform(x["parts"], lambda p: _with(p, ("text", "kind"), attempt=tried(p["kind"], F.lower(p["text"]))))
+        return _with(x, ("hit", "kind", "canonical"), parts=parts, attempt=tried(x["kind"], x["canonical"]))
 
     def draw(x: Column) -> Column:
         d, host_d = draws(key, x["kind"], x["canonical"], x["attempt"])
-        given_d = F.when(x["given"].isNotNull(), _digest(key, x["given"]["kind"], x["given"]["canonical"], x["given_attempt"]))
-        return _with(x, had, d=d, host_d=host_d, given_d=given_d)
+        digest = lambda p: _digest(key, p["kind"], F.lower(p["text"]), p["attempt"])
+        parts = F.transform(x["parts"], lambda p: _with(p, ("text", "kind", "attempt"), d=digest(p)))
+        return _with(x, ("hit", "kind", "canonical", "attempt"), parts=parts, d=d, host_d=host_d)
 
     def made(x: Column) -> Column:
         plain = replacement(x["kind"], x["canonical"], x["attempt"], x["d"], x["host_d"])
-        given = F.when(x["given"].isNotNull(), _name(x["given"]["kind"], x["given"]["canonical"], x["given_d"], x["given_attempt"]))
-        return _with(x, ("hit", "gender", "kind"), plain=plain, given=given)
+        name = lambda p: _cased(p["text"], _name(p["kind"], F.lower(p["text"]), p["d"], p["attempt"]))
+        of_part = lambda p: F.when(p["kind"] == "", p["text"]).when(p["kind"] == "initial", _initial(p["text"], p["d"])).otherwise(name(p))
+        parts = F.transform(x["parts"], lambda p: F.struct(of_part(p).alias("made")))
+        return _with(x, ("hit", "kind"), plain=plain, parts=parts)
 
-    plain = F.transform(F.transform(known, draw), made)
-    return F.transform(plain, lambda x: _placed(x["hit"], x["kind"], x["plain"], x["gender"], x["given"]))
+    plain = F.transform(F.transform(F.transform(named, known), draw), made)
+    return F.transform(plain, lambda x: _placed(x["hit"], x["kind"], x["plain"], x["parts"], names.title))
 
 
-def _names(text: Column) -> Column:
-    """Words of the titled names of a text, with the gender of given names ('' for family)."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({_PERSON})"), F.lit(1)))
-    given = F.transform(
-        F.filter(found, lambda h: _bare(h).contains(" ")),
-        lambda h: F.struct(F.substring_index(_bare(h), " ", 1).alias("key"), _gender(h).alias("value")),
-    )
-    family = F.transform(found, lambda h: F.struct(F.substring_index(h, " ", -1).alias("key"), F.lit("").alias("value")))
-    both = F.array_distinct(F.concat(family, given))
-    # The first use of a word counts: family names before given names.
-    once = F.filter(both, lambda x, i: ~F.exists(F.slice(both, F.lit(1), i), lambda y: y["key"] == x["key"]))
-    return F.map_from_entries(once)
+def _mentions(text: Column, names: Names) -> Column:
+    """Lower-case parts of the titled names of a text, with their kind."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({names.person})"), F.lit(1)))
+    parts = F.filter(F.flatten(F.transform(found, names.parts)), lambda p: p["kind"].isin("person", *GIVEN_KINDS))
+    pair = lambda p: F.struct(F.lower(p["text"]).alias("key"), p["kind"].alias("value"))
+    # A word that is a family name and a given name counts as family name.
+    both = F.array_distinct(F.transform(F.concat(F.filter(parts, lambda p: p["kind"] == "person"), F.filter(parts, lambda p: p["kind"] != "person")), pair))
+    keys = F.transform(both, lambda x: x["key"])
+    return F.map_from_entries(F.filter(both, lambda x, i: F.array_position(keys, x["key"]) == i + 1))
 
 
 _NO_NAMES = "map<string,string>"
 
 
-def _found(docs: DataFrame, names: str, hits: str, pieces: str) -> DataFrame:
+def _found(docs: DataFrame, mentioned: str, hits: str, pieces: str, names: Names) -> DataFrame:
     """``docs`` with the names, the matches, and the pieces of text between them.
 
     Longer names stand first in the pattern of a document, so that a mention is taken whole.
     """
     text = docs["text"]
-    titled = F.when(text.rlike(_TITLE), _names(text)).otherwise(F.from_json(F.lit("{}"), _NO_NAMES))
-    with_names = docs.withColumn(names, titled)
-    ordered = F.reverse(F.array_sort(F.map_keys(names)))
-    mentions = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join(ordered, "|"), F.lit(r")(?!\p{L})"))
-    pattern = F.when(F.size(F.map_keys(names)) > 0, F.concat(F.lit(ENTITY + "|"), mentions)).otherwise(F.lit(ENTITY))
-    cue = text.rlike(CUE)
+    titled = F.when(text.rlike(names.title), _mentions(text, names)).otherwise(F.from_json(F.lit("{}"), _NO_NAMES))
+    with_names = docs.withColumn(mentioned, titled)
+    ordered = F.reverse(F.array_sort(F.map_keys(mentioned)))
+    # Before the other kinds come titled names, so that a part of one is not taken for a mention.
+    mentions = F.concat(F.lit(r"(?<![\p{L}\p{M}])(?iu:"), F.array_join(ordered, "|"), F.lit(r")(?![\p{L}\p{M}])"))
+    pattern = F.when(F.size(F.map_keys(mentioned)) > 0, F.concat(F.lit(names.entity + "|"), mentions)).otherwise(F.lit(names.entity))
+    cue = text.rlike(names.cue)
     found = F.when(cue, F.regexp_extract_all(text, pattern, F.lit(0)))
     return with_names.withColumn(hits, found).withColumn(
         pieces, F.when(F.size(hits) > 0, F.split(text, pattern, -1))
     )
 
 
-def _uses(docs: DataFrame, *keep: Column) -> DataFrame:
+def _uses(docs: DataFrame, names: Names, *keep: Column) -> DataFrame:
     """``kind, canonical`` of the entities of each text, after the columns ``keep``.
 
     Titled names are also found by themselves, as mentions of them are replaced wherever they stand.
     """
     found = lambda pattern: F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-    titled = F.when(docs["text"].rlike(_TITLE), found(_PERSON)).otherwise(F.array().cast("array<string>"))
-    hits = F.array_union(found(ENTITY), titled)
-    each = docs.filter(docs["text"].rlike(CUE)).select(*keep, F.explode(hits).alias("hit"))
+    titled = F.when(docs["text"].rlike(names.title), found(names.person)).otherwise(F.array().cast("array<string>"))
+    hits = F.array_union(found(names.entity), titled)
+    each = docs.filter(docs["text"].rlike(names.cue)).select(*keep, F.explode(hits).alias("hit"))
     each = each.select(*each.columns, kind_of(F.col("hit")).alias("kind")).filter(F.col("kind").isNotNull())
-    whole = F.struct(F.col("kind"), canonical_of(F.col("kind"), F.col("hit")).alias("canonical"))
-    given = F.when(F.col("kind") == "person", given_of(F.col("hit")))
-    each = each.withColumn("e", F.explode(F.array_compact(F.array(whole, given))))
+    whole = F.array(F.struct(F.col("kind"), canonical_of(F.col("kind"), F.col("hit")).alias("canonical")))
+    parts = F.filter(names.parts(F.col("hit")), lambda p: p["kind"].isin("person", *GIVEN_KINDS))
+    parts = F.transform(parts, lambda p: F.struct(p["kind"].alias("kind"), F.lower(p["text"]).alias("canonical")))
+    each = each.withColumn("e", F.explode(F.when(F.col("kind") == "person", parts).otherwise(whole)))
     return each.select(*(c for c in each.columns if c not in ("hit", "kind", "e")), "e.kind", "e.canonical")
 
 
-def entities(docs: DataFrame) -> DataFrame:
-    """Distinct ``kind, canonical`` of the whole corpus (family and given names by themselves)."""
-    return _uses(docs).distinct()
+def entities(docs: DataFrame, names: Names = NAMES) -> DataFrame:
+    """Distinct ``kind, canonical`` of the whole corpus (each part of a name by itself)."""
+    return _uses(docs, names).distinct()
 
 
 def clashes(found: DataFrame, key: str = DEFAULT_KEY) -> DataFrame | None:
@@ -395,32 +439,33 @@ def clashes(found: DataFrame, key: str = DEFAULT_KEY) -> DataFrame | None:
         turn += 1
 
 
-def with_surrogates(docs: DataFrame, key: str = DEFAULT_KEY, count_as: str | None = None) -> DataFrame:
+def with_surrogates(docs: DataFrame, key: str = DEFAULT_KEY, count_as: str | None = None, names: Names = NAMES) -> DataFrame:
     """``docs`` with the entities in ``text`` replaced, and their number as ``count_as`` if named.
 
-    Null and empty texts stay. Other columns are not touched. The draw depends on ``key`` and
-    the entity, and on the corpus only where replacements clash.
+    Null and empty texts stay, repeated rows and long texts are rows like others. Other columns are
+    not touched. The draw depends on ``key`` and the entity, and on the corpus only where
+    replacements clash. The pattern of a document grows with the different names in it.
     """
-    again = clashes(store(entities(docs)), key)
-    names, hits, pieces = (fresh(docs, c) for c in ("pii_names", "pii_hits", "pii_pieces"))
-    split = _found(docs, names, hits, pieces)
+    again = clashes(store(entities(docs, names)), key)
+    mentioned, hits, pieces = (fresh(docs, c) for c in ("pii_names", "pii_hits", "pii_pieces"))
+    split = _found(docs, mentioned, hits, pieces, names)
     none = F.from_json(F.lit("{}"), "map<string,int>")
     attempts = none
     if again is not None:
         mark, held = fresh(docs, "pii_key"), fresh(docs, "pii_attempts")
         split = split.withColumn(mark, F.md5("text"))
-        uses = _uses(docs, F.md5("text").alias(mark))
+        uses = _uses(docs, names, F.md5("text").alias(mark))
         uses = uses.join(small(again), ["kind", "canonical"]).select(mark, F.concat_ws("|", "kind", "canonical").alias("e"), "attempt").distinct()
         uses = store(uses.groupBy(mark).agg(F.map_from_entries(F.collect_list(F.struct("e", "attempt"))).alias(held)))
         split = split.join(small(uses), mark, "left")
         attempts = F.coalesce(held, none)
-    new = _surrogates(hits, names, attempts, key)
+    new = _surrogates(hits, mentioned, attempts, key, names)
     before = F.slice(F.col(pieces), F.lit(1), F.size(hits))
     pairs = F.flatten(F.zip_with(before, new, lambda p, r: F.array(p, r)))
     glued = F.concat(F.array_join(pairs, ""), F.element_at(pieces, -1))
     text = F.when(F.size(hits) > 0, glued).otherwise(docs["text"])
     out = [text.alias("text") if c == "text" else docs[c] for c in docs.columns]
     if count_as:
-        proved = F.filter(hits, lambda h: F.map_contains_key(F.col(names), h) | kind_of(h).isNotNull())
+        proved = F.filter(hits, lambda h: F.map_contains_key(F.col(mentioned), F.lower(h)) | kind_of(h).isNotNull())
         out.append(F.when(F.size(hits) > 0, F.size(proved)).otherwise(F.lit(0)).cast("long").alias(count_as))
     return split.select(*out)
