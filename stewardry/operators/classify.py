@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.levels import LEVEL_PATTERN
 from ..functions.text import ColumnOrName, col, strip
 from ..session import cut_lineage
-from .governance import REAL_SOURCES, SHARING_CODES
+from .governance import FALLBACK_SOURCE, SHARING_CODES, by_model
 
 Scorer = Callable[[Sequence[str], Sequence[str]], Sequence[str]]
 
@@ -162,7 +162,7 @@ def classify(
     answers = merged.select(
         "sha256",
         F.when(some, F.col("all")).otherwise(fallback_classification()).alias("result"),
-        F.when(some, F.lit(source)).otherwise("mock").alias("inference_source"),
+        F.when(some, F.lit(source)).otherwise(FALLBACK_SOURCE).alias("inference_source"),
         F.when(~some, "json_or_schema_failed")
         .when(F.col("good") < F.col("parts"), "some_parts_failed")
         .when(F.col("asked_again") > 0, "retry_after_schema_fail")
@@ -175,7 +175,7 @@ def classify(
 def quality_flags(source: ColumnOrName, tags: ColumnOrName, level: ColumnOrName) -> Column:
     """``{likely_mock, shape_ok}``."""
     return F.struct(
-        (~F.coalesce(col(source).isin(*REAL_SOURCES), F.lit(False))).alias("likely_mock"),
+        (~by_model(source)).alias("likely_mock"),
         ((F.size(F.coalesce(col(tags), F.array())) > 0) & (F.coalesce(col(level), F.lit("")) != "")).alias("shape_ok"),
     )
 

@@ -63,10 +63,11 @@ def named_nowhere(names: DataFrame, audit: DataFrame, gram: int = 4) -> DataFram
     sizes = [r.piece for r in left.select("piece").distinct().collect()]
     if not sizes:
         return left.select("name")
-    texts = audit.select(_audit_text().alias("text")).distinct()
+    texts = cut_lineage(audit.select(_audit_text().alias("text")).distinct().withColumn("row", F.monotonically_increasing_id()))
+    # Postings carry the number of a row; its text is fetched for the rows that a name points to.
     postings = reduce(
         DataFrame.unionByName,
-        [texts.select("text", F.lit(n).alias("piece"), F.explode(_grams(F.col("text"), n)).alias("g")) for n in sizes],
+        [texts.select("row", F.lit(n).alias("piece"), F.explode(_grams(F.col("text"), n)).alias("g")) for n in sizes],
     )
     frequency = postings.groupBy("piece", "g").agg(F.count(F.lit(1)).alias("n"))
     pieces = reduce(
@@ -82,7 +83,8 @@ def named_nowhere(names: DataFrame, audit: DataFrame, gram: int = 4) -> DataFram
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r"))
         .select("name", "piece", F.col("r.g").alias("g"))
     )
-    found = rarest.join(postings, ["piece", "g"]).filter(F.col("text").contains(F.col("name"))).select("name").distinct()
+    pointed = rarest.join(postings, ["piece", "g"]).select("name", "row")
+    found = pointed.join(texts, "row").filter(F.col("text").contains(F.col("name"))).select("name").distinct()
     return left.select("name").join(found, "name", "left_anti")
 
 

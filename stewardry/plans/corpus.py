@@ -129,17 +129,19 @@ def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``files_current``: governed files of the corpus (with their text)."""
+    """``files_current``: governed files of the corpus (with their text). A level that is not the model's
+    is the last change, and a copy is related to the file that it is named after."""
     governed = apply_governance(judged(spark, sf_dir), overrides(spark, sf_dir))
     chosen = resolve_categories(CATALOG, "proposed_ids", "proposed_id", "model_tags")
+    raised, copied = F.col("security_level") != F.col("model_security_level"), F.col("ord") % 4 != 0
     return governed.select(
         "*",
         F.substring(F.sha2("path", 256), 1, 32).alias("file_id"),
         chosen["ids"].alias("category_ids"),
         chosen["needs_review"].alias("category_needs_review"),
-        F.lit(None).cast("string").alias("last_change_summary"),
-        F.lit(None).cast("timestamp").alias("last_change_utc"),
-        F.lit(None).cast("array<string>").alias("related_paths"),
+        F.when(raised, F.concat(F.lit("level "), "model_security_level", F.lit(" -> "), "security_level")).alias("last_change_summary"),
+        F.when(raised, F.col("last_analyzed_utc")).alias("last_change_utc"),
+        F.when(copied, F.array(F.regexp_replace("path", r"(?: \(1\)| - copy|_v2)(\.[^.]*)$", "$1"))).alias("related_paths"),
     )
 
 
@@ -166,8 +168,8 @@ owned AS (
   SELECT f.*, coalesce(l.toxic = 1 OR l.quality = 0, FALSE) AS owner_override,
     coalesce(l.quality = 0, FALSE) AS owner_tags, coalesce(l.toxic = 1, FALSE) AS owner_level
   FROM floored f LEFT JOIN labels l ON l.doc_id = f.ord),
-files AS MATERIALIZED (
-  SELECT *,
+files AS MATERIALIZED (SELECT *, CASE WHEN security_level <> model_security_level THEN 'level ' || model_security_level || ' -> ' || security_level END AS last_change_summary
+  FROM (SELECT *,
     CASE WHEN owner_level THEN 'P1' WHEN owner_override OR floor_level = '' THEN model_security_level
          ELSE least(model_security_level, floor_level) END AS security_level,
     CASE WHEN owner_override OR floor_level = '' OR floor_level >= model_security_level THEN '' ELSE floor_level END AS rule_floor,
@@ -175,7 +177,7 @@ files AS MATERIALIZED (
     substr(sha256(path), 1, 32) AS file_id,
     CASE WHEN ord % 3 = 0 THEN list_concat(CASE WHEN lang = 'en' THEN ['en'] WHEN lang IN ('fr', 'de') THEN [lang, 'en'] ELSE ['uncategorized', 'en'] END, ['uncategorized'])
          WHEN lang IN ('en', 'fr', 'de') THEN [lang] ELSE ['uncategorized'] END AS category_ids
-  FROM owned)"""
+  FROM owned))"""
 )
 
 
@@ -299,6 +301,11 @@ def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(raw).drop("content")
 
 
+def blanked(texts: DataFrame) -> DataFrame:
+    """Every 17th file has nothing but blanks in it."""
+    return texts.withColumn("text", F.when(F.col("ord") % 17 == 0, F.regexp_replace("text", r"(?s).", " ")).otherwise(F.col("text")))
+
+
 def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents are known already, the toxic ones with another content."""
     labels = table(spark, sf_dir, "labels")
@@ -307,7 +314,7 @@ def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(labels, F.col("ord") == F.col("doc_id"))
         .select("path", F.when(F.col("toxic") == 1, sha256_hex("path")).otherwise(F.col("sha256")).alias("sha256"))
     )
-    return route(extracted(spark, sf_dir), known, **ROUTE)
+    return route(blanked(extracted(spark, sf_dir)), known, **ROUTE)
 
 
 ROUTED_SQL = (
@@ -317,7 +324,7 @@ routed AS (
   SELECT corpus.*, CASE
     WHEN length NOT BETWEEN 300 AND 20000 THEN 'skip_filter'
     WHEN path LIKE '%.docx' THEN 'skip_extract'
-    WHEN NOT regexp_matches(text, '\S') THEN 'skip_empty'
+    WHEN ord % 17 = 0 THEN 'skip_empty'
     WHEN l.doc_id IS NOT NULL AND l.toxic <> 1 THEN 'skip_hash'
     ELSE 'classify' END AS outcome
   FROM corpus LEFT JOIN labels l ON l.doc_id = corpus.ord)"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from datetime import datetime, timedelta, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,12 +33,16 @@ from ..operators.lineage import (
 )
 from ..operators.related import related_docs
 from ..operators.similarity import SimilaritySettings, jaccard_pairs, similarity_features, stem_ratio_udf
+from ..operators.text_index import TextIndex
 from ..operators.threads import build_threads, folder_files, qualifying_folders, threads_top
-from ..operators.versions import adopt_renames, assign_file_ids, files_current, peer_changes, recent_changes, self_changes, summary_history
+from ..operators.versions import adopt_renames, assign_file_ids, files_current, last_changes, peer_changes, recent_changes, self_changes, summary_history
 from ..session import checkpoint_dir, cut_lineage
+from ..sources.lookup import FileLookup
 from ..streaming.ingest import IngestSettings, process_batch, stored_files
+from ..streaming.refresh import key_node, lineage_labels, refresh, status_counts
 from ..streaming.throttle import throttle
 from . import corpus as c
+from ..schema import FILES, with_columns_of
 from .registry import query
 
 
@@ -187,12 +192,20 @@ def summary_histories(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _account(texts: list[str], hints: list[str]) -> list[str]:
-    """A scorer that tells the number of lines."""
-    return [json.dumps({"tags": ["turn"], "security_level": "P4", "summary": f"{text.count(chr(10)) + 1} lines"}) for text in texts]
+    """A scorer that tells the number of lines, and the level by it."""
+    lines = [text.count("\n") + 1 for text in texts]
+    return [json.dumps({"tags": ["turn"], "security_level": f"P{1 + n % 4}", "summary": f"{n} lines"}) for n in lines]
+
+
+_REPLAYS: dict[tuple[str, str], str] = {}
 
 
 def _replayed(spark: SparkSession, sf: str) -> str:
-    """The turns of all conversations taken in as batches: each turn replaces the text of its file."""
+    """The turns of all conversations taken in as batches, each followed by a refresh: a turn replaces the
+    text of its file. Done once per application; three queries look at the result."""
+    replay = (spark.sparkContext.applicationId, sf)
+    if replay in _REPLAYS:
+        return _REPLAYS[replay]
     root = f"{checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}"
     turns = c.table(spark, sf, "conversations").filter(F.col("text").isNotNull())
     found = turns.select(
@@ -204,6 +217,8 @@ def _replayed(spark: SparkSession, sf: str) -> str:
     for turn in range((turns.agg(F.max("turn")).first()[0] or 0) + 1):
         rules = IngestSettings((".md",), scorer=_account, history_entries=4, clock=lambda turn=turn: start + timedelta(minutes=30 * turn))
         process_batch(found.filter(F.col("turn") == turn).drop("turn"), turn, root, rules)
+        refresh(spark, root, turn)
+    _REPLAYS[replay] = root
     return root
 
 
@@ -223,6 +238,39 @@ def ingested_history(spark: SparkSession, sf: str) -> DataFrame:
     return stored_files(spark, _replayed(spark, sf)).select("path", F.array_join(F.transform("summary_history", entry), ";").alias("entries"), "sha256")
 
 
+@query(
+    "refreshed_lineage",
+    c.VERSIONS_SQL,
+    r""",
+held AS (SELECT DISTINCT path, sha256 FROM versions WHERE regexp_matches(text, '\S')),
+links AS MATERIALIZED (SELECT DISTINCT x.path AS u, y.path AS v FROM held x JOIN held y ON x.sha256 = y.sha256),
+reach AS (SELECT u AS node, u AS seen FROM links UNION SELECT reach.node, links.v FROM reach JOIN links ON links.u = reach.seen),
+label AS (SELECT node AS path, min(seen) AS first_path FROM reach GROUP BY node),
+newest AS (SELECT * FROM versions WHERE regexp_matches(text, '\S') QUALIFY row_number() OVER (PARTITION BY path ORDER BY last_analyzed_utc DESC, ord DESC) = 1)""",
+    sql="""SELECT path, first_path, count(*) OVER (PARTITION BY first_path) AS size FROM label JOIN newest USING (path)""",
+)
+def refreshed_lineage(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of files that ever had a content in common, kept up to date batch by batch."""
+    root = _replayed(spark, sf)
+    files = stored_files(spark, root).select("path", key_node().alias("node"))
+    placed = files.join(lineage_labels(spark, root), "node")
+    groups = placed.groupBy("component").agg(F.min("path").alias("first_path"), F.count(F.lit(1)).alias("size"))
+    return placed.join(groups, "component").select("path", "first_path", "size")
+
+
+@query(
+    "refreshed_counts",
+    c.VERSIONS_SQL,
+    r""",
+newest AS (SELECT *, 'P' || (1 + len(string_split(text, chr(10))) % 4) AS level FROM versions WHERE regexp_matches(text, '\S')
+  QUALIFY row_number() OVER (PARTITION BY path ORDER BY last_analyzed_utc DESC, ord DESC) = 1)""",
+    sql="""SELECT 'security_level' AS kind, level AS value, count(*) AS n FROM newest GROUP BY level
+      UNION ALL SELECT 'inference_source', 'scorer', count(*) FROM newest""",
+)
+def refreshed_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return status_counts(spark, _replayed(spark, sf))
+
+
 @query(
     "recent_changes",
     c.VERSIONS_SQL,
@@ -631,8 +679,8 @@ def thread_of_newest(spark: SparkSession, sf: str) -> DataFrame:
     _THREADS_SQL,
     """,
 top AS (SELECT * FROM threads ORDER BY last_utc DESC, k, size DESC, f, gk LIMIT 1)""",
-    sql="""SELECT top.id AS thread_id, top.kind AS kind, pos - 1 AS position, path, '' AS last_change_summary FROM top JOIN shown ON top.k = 0 AND shown.folder = top.folder
-      UNION ALL SELECT top.id, top.kind, pos - 1, path, '' FROM top JOIN listed ON top.k = 1 AND listed.group_key = top.gk""",
+    sql="""SELECT top.id AS thread_id, top.kind AS kind, pos - 1 AS position, path, coalesce(last_change_summary, '') AS last_change_summary FROM top JOIN shown ON top.k = 0 AND shown.folder = top.folder
+      UNION ALL SELECT top.id, top.kind, pos - 1, path, coalesce(last_change_summary, '') FROM top JOIN listed ON top.k = 1 AND listed.group_key = top.gk""",
 )
 def thread_lineage(spark: SparkSession, sf: str) -> DataFrame:
     files = c.stored(c.files(spark, sf))
@@ -758,16 +806,83 @@ def plain_search(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("path", "security_level", F.substring("summary", 1, 160).alias("summary"))
 
 
+_QUESTIONS = (("text", " The Th"), ("text", "license"), ("text", "src1/EN/n0"), ("text", "no such text"), ("text", "én"), ("pattern", r"SRC1\d/[ef].*\.md"),
+              ("pattern", r"licen[cs]e|mit licen"), ("pattern", r"[0-9]{3}-[0-9]{2}"), ("pattern", "warranty.{0,40}kind"))
+
+
 @query(
-    "get_file",
+    "search_by_index",
     c.FILES_SQL,
-    sql="""SELECT path, file_id, sha256, security_level, TRUE AS in_allowlist, CAST(0 AS BIGINT) AS history FROM files ORDER BY ord LIMIT 1""",
+    """,
+blobs AS (SELECT path, path || chr(10) || CASE WHEN ord % 5 = 0 THEN 'license of old' ELSE summary END || chr(10) || array_to_string(tags, ', ') || chr(10)
+  || array_to_string(category_ids, ' ') AS blob FROM files)""",
+    sql=" UNION ALL ".join(
+        f"SELECT CAST({i} AS BIGINT) AS question, path FROM blobs WHERE "
+        + (f"contains(lower(blob), '{q.strip().lower()}')" if kind == "text" else f"regexp_matches(blob, '(?i){q}')")
+        for i, (kind, q) in enumerate(_QUESTIONS)
+    ),
+)
+def search_by_index(spark: SparkSession, sf: str) -> DataFrame:
+    """All questions asked of an index of two segments, then half of them again of the merged one; every
+    fifth file has another summary in the second segment."""
+    files = c.stored(c.files(spark, sf))
+    index = TextIndex(spark, f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}")
+    index.create(files, 0)
+    index.add(files.filter(F.col("ord") % 5 == 0).withColumn("summary", F.lit("license of old")), 1)
+    found = []
+    for i, (kind, q) in enumerate(_QUESTIONS):
+        if i == len(_QUESTIONS) // 2:
+            index.merge(2)
+        found.append(index.search(q, regex=kind == "pattern").select(F.lit(i).cast("long").alias("question"), "path"))
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(
+    "get_file",
+    c.VERSIONS_SQL,
+    """,
+counted AS (
+  SELECT path, arg_max(sha256, (last_analyzed_utc, ord)) AS sha256, count(*) AS n, substr(sha256(path || chr(31) || arg_min(sha256, (last_analyzed_utc, ord)) || chr(31)
+    || epoch_us(min(last_analyzed_utc))), 1, 32) AS file_id, arg_max(change_summary, (last_analyzed_utc, ord)) AS line FROM changes GROUP BY path),
+asked AS (SELECT * FROM counted ORDER BY n DESC, path LIMIT 1)""",
+    sql="""SELECT 'path' AS by, path, file_id, sha256, FALSE AS in_allowlist, least(n, 5) AS history, coalesce(line, '') AS line FROM asked
+      UNION ALL SELECT 'file_id', path, file_id, sha256, TRUE, least(n, 5), coalesce(line, '') FROM asked""",
 )
 def get_file(spark: SparkSession, sf: str) -> DataFrame:
-    files = c.files(spark, sf).withColumn("summary_history", F.lit(None).cast("array<struct<sha256:string,summary:string,utc:timestamp,change_summary:string>>"))
-    first = c.corpus(spark, sf).orderBy("ord").select("path").first().path
-    found = search.get(files, path=first.upper(), roots=c.ROOTS)
-    return found.select("path", "file_id", "sha256", "security_level", "in_allowlist", F.size("summary_history").cast("long").alias("history"))
+    """The file with most versions: by its path in capitals with a root elsewhere, and by its id."""
+    steps = c.changes(spark, sf)
+    files = files_current(steps.drop("change_summary")).join(last_changes(steps), "path", "left").join(summary_history(steps), "path")
+    files = c.stored(with_columns_of(files, FILES))
+    most = steps.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("file_id").alias("id")).orderBy(F.desc("n"), "path").first()
+    looked_up = {"path": search.get(files, path=most.path.upper(), roots=["/conv/other"]), "file_id": search.get(files, file_id=most.id, roots=["/conv"])}
+    rows = [
+        found.select(
+            F.lit(by).alias("by"), "path", "file_id", "sha256", "in_allowlist", F.size("summary_history").cast("long").alias("history"),
+            _kind_of_text(F.col("last_change_summary")).alias("line"),
+        )
+        for by, found in looked_up.items()
+    ]
+    return rows[0].unionByName(rows[1])
+
+
+@query(
+    "looked_up",
+    c.FILES_SQL,
+    """,
+asked AS (SELECT *, row_number() OVER (ORDER BY md5(path)) AS i FROM files QUALIFY i <= 3)""",
+    sql="""SELECT 'path' AS by, path, sha256 FROM asked WHERE i = 1 UNION ALL SELECT 'file_id', path, sha256 FROM asked WHERE i = 2
+      UNION ALL SELECT * FROM (SELECT 'hash', path, sha256 FROM files WHERE starts_with(sha256, (SELECT substr(sha256, 1, 9) FROM asked WHERE i = 3)) ORDER BY ord LIMIT 20)""",
+)
+def looked_up(spark: SparkSession, sf: str) -> DataFrame:
+    """Look-ups by path, id and hash prefix in a layout of all files."""
+    files = c.stored(c.files(spark, sf))
+    lookup = FileLookup(spark, f"{checkpoint_dir(spark)}/lookup-{uuid.uuid4().hex}")
+    lookup.write(files)
+    one, two, three = files.orderBy(F.md5("path")).select("path", "file_id", "sha256").limit(3).collect()
+    by_hash = lookup.by_hash(three.sha256[:9].upper()).select("path").join(files.select("path", "sha256"), "path")
+    found = [lookup.locate(path=one.path.upper()), lookup.locate(file_id=two.file_id), by_hash]
+    rows = [df.select(F.lit(by).alias("by"), "path", "sha256") for by, df in zip(("path", "file_id", "hash"), found)]
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query(
@@ -917,7 +1032,7 @@ _METRICS_SQL = c.AUDIT_SQL + c.SKIPS_SQL.replace(c.CORPUS_SQL, "") + """,
 metrics AS (
   SELECT count(*) AS tracked_files, count(*) FILTER (security_level = 'P1') AS p1, count(*) FILTER (security_level = 'P2') AS p2,
     count(*) FILTER (CAST(last_analyzed_utc AS DATE) = DATE '2024-01-01') AS today_classified,
-    count(*) FILTER (NOT owner_override AND security_level <> model_security_level) AS mismatch, CAST(0 AS BIGINT) AS with_related,
+    count(*) FILTER (NOT owner_override AND security_level <> model_security_level) AS mismatch, count(*) FILTER (ord % 4 <> 0) AS with_related,
     (SELECT count(*) FROM skips) AS skip_extract, (SELECT count(keyword) FROM skips) AS skip_sensitive,
     (SELECT count(*) FROM audit WHERE contains(note, '[sharing: redact')) AS redact,
     (SELECT count(*) FROM audit WHERE contains(note, '[sharing: internal_only')) AS internal_only
@@ -934,6 +1049,24 @@ _CADENCE = (
 )
 
 
+_CADENCE_SQL = (
+    c.CORPUS_SQL
+    + rf""",
+named AS (SELECT *, {c.NAME_SQL} AS name, date_trunc('week', last_analyzed_utc) = DATE '2024-01-01' AS week,
+  date_trunc('month', last_analyzed_utc) = DATE '2024-01-01' AS month FROM corpus),
+found AS (
+  SELECT 0 AS ord, 'weekly_n' AS id, arg_max(path, (last_analyzed_utc, -ord)) FILTER (week AND regexp_full_match(name, 'n.*_v2\.md')) AS latest FROM named
+  UNION ALL SELECT 1, 'monthly_docx', arg_max(path, (last_analyzed_utc, -ord)) FILTER (month AND name LIKE '%.docx' AND contains(path, 'src1/')) FROM named
+  UNION ALL SELECT 2, 'brackets', arg_max(path, (last_analyzed_utc, -ord)) FILTER (week AND regexp_full_match(name, 'n[0-4]..*\.txt')) FROM named
+  UNION ALL SELECT 3, 'invalid', arg_max(path, (last_analyzed_utc, -ord)) FILTER (week AND contains(name, '(1')) FROM named
+  UNION ALL SELECT 4, 'late', arg_max(path, (last_analyzed_utc, -ord)) FILTER (week AND contains(path, '/elsewhere/')) FROM named
+  UNION ALL SELECT 5, 'never', arg_max(path, (last_analyzed_utc, -ord)) FILTER (month AND starts_with(name, 'zzz')) FROM named),
+misses AS (SELECT ord, label || ': not found (pattern=' || pattern || ')' AS message FROM found JOIN (VALUES
+  (0, 'Weekly notes', 'n*_v2.md'), (1, 'monthly_docx', '\.docx$'), (2, 'Bracketed', 'n[0-4]?*.TXT'), (3, 'Invalid pattern', '(1'), (4, 'Late', '*'),
+  (5, 'Never', 'zzz*')) r(ord, label, pattern) USING (ord) WHERE latest IS NULL)"""
+)
+
+
 def _metrics(spark: SparkSession, sf: str) -> DataFrame:
     files = c.stored(c.files(spark, sf))
     return digest.metrics_row(digest.metrics(files, c.skips(spark, sf), c.audit_of(files), _AS_OF))
@@ -952,34 +1085,40 @@ lines AS (
   UNION ALL SELECT 4, 'mismatch', 'level differs from the model: ' || mismatch FROM metrics WHERE mismatch > 0
   UNION ALL SELECT 5, 'skip_sensitive', 'unclassified with a sensitive name: ' || skip_sensitive FROM metrics WHERE skip_sensitive > 0
   UNION ALL SELECT 5, 'skip', 'unclassified: ' || skip_extract FROM metrics WHERE skip_sensitive = 0 AND skip_extract > 0
-  UNION ALL SELECT 104, 'cadence', 'periodic document missing: Late: not found (pattern=*)'
-  UNION ALL SELECT 105, 'cadence', 'periodic document missing: Never: not found (pattern=zzz*)')"""
+  UNION ALL SELECT 6, 'related', 'files with related candidates: ' || with_related FROM metrics WHERE with_related > 0
+  UNION ALL SELECT 100 + ord, 'cadence', 'periodic document missing: ' || message FROM misses)"""
+_CADENCE_PART = _CADENCE_SQL.replace(c.CORPUS_SQL, "")
 
 
-@query("action_lines", _METRICS_SQL, _ACTIONS_SQL, sql="SELECT CAST(p AS BIGINT) AS priority, code, message FROM lines ORDER BY p LIMIT 6")
+@query("action_lines", _METRICS_SQL, _CADENCE_PART, _ACTIONS_SQL, sql="SELECT CAST(p AS BIGINT) AS priority, code, message FROM lines ORDER BY p LIMIT 8")
 def action_lines(spark: SparkSession, sf: str) -> DataFrame:
     cadence = evaluate_cadence(c.corpus(spark, sf), _CADENCE, _AS_OF)
-    return digest.action_lines(_metrics(spark, sf), cadence, 6).withColumn("priority", F.col("priority").cast("long"))
+    return digest.action_lines(_metrics(spark, sf), cadence, 8).withColumn("priority", F.col("priority").cast("long"))
 
 
 @query(
     "digest_payload",
     _METRICS_SQL,
+    _CADENCE_PART,
     _ACTIONS_SQL,
+    _THREADS_SQL.replace(c.FILES_SQL, ""),
     sql="""SELECT today_classified, p1, p2, tracked_files, skip_extract, skip_sensitive,
       CASE WHEN skip_extract = 0 THEN '' ELSE 'unclassified (no text extracted): ' || skip_extract ||
         CASE WHEN skip_sensitive > 0 THEN ', of which sensitive file names: ' || skip_sensitive ELSE '' END END AS blind_spot,
       (SELECT arg_max(inference_source, last_analyzed_utc) FROM files) AS last_inference_backend,
       (SELECT string_agg(message, ';' ORDER BY p) FROM (SELECT * FROM lines ORDER BY p LIMIT 4)) AS actions,
-      'Late: not found (pattern=*);Never: not found (pattern=zzz*)' AS cadence_misses, CAST(0 AS BIGINT) AS threads FROM metrics""",
+      (SELECT string_agg(message, ';' ORDER BY ord) FROM misses) AS cadence_misses,
+      (SELECT string_agg(title || ' ' || member_count || ' ' || today_n, ';' ORDER BY last_utc DESC, k, size DESC, f, gk) FROM (
+        SELECT * FROM threads ORDER BY last_utc DESC, k, size DESC, f, gk LIMIT 3)) AS threads FROM metrics""",
 )
 def digest_payload(spark: SparkSession, sf: str) -> DataFrame:
     files = c.stored(c.files(spark, sf))
-    payload = digest.digest_payload(files, c.skips(spark, sf), c.audit_of(files), _AS_OF, _CADENCE)
+    payload = digest.digest_payload(files, c.skips(spark, sf), c.audit_of(files), _AS_OF, _CADENCE, c.stored(_threads(spark, sf)))
+    thread = lambda t: F.concat_ws(" ", *[F.get_json_object(t, f"$.{k}") for k in ("title", "count", "today_n")])
     return payload.select(
         "today_classified", "p1", "p2", "tracked_files", "skip_extract", "skip_sensitive", "blind_spot", "last_inference_backend",
         F.array_join("actions", ";").alias("actions"), F.array_join("cadence_misses", ";").alias("cadence_misses"),
-        F.size("threads_top").cast("long").alias("threads"),
+        F.array_join(F.transform("threads_top", thread), ";").alias("threads"),
     )
 
 
@@ -994,20 +1133,6 @@ def last_inference(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_CADENCE_SQL = (
-    c.CORPUS_SQL
-    + rf""",
-named AS (SELECT *, {c.NAME_SQL} AS name, date_trunc('week', last_analyzed_utc) = DATE '2024-01-01' AS week,
-  date_trunc('month', last_analyzed_utc) = DATE '2024-01-01' AS month FROM corpus),
-found AS (
-  SELECT 0 AS ord, 'weekly_n' AS id, arg_max(path, (last_analyzed_utc, -ord)) FILTER (week AND regexp_full_match(name, 'n.*_v2\.md')) AS latest FROM named
-  UNION ALL SELECT 1, 'monthly_docx', arg_max(path, (last_analyzed_utc, -ord)) FILTER (month AND name LIKE '%.docx' AND contains(path, 'src1/')) FROM named
-  UNION ALL SELECT 2, 'brackets', arg_max(path, (last_analyzed_utc, -ord)) FILTER (week AND regexp_full_match(name, 'n[0-4]..*\.txt')) FROM named
-  UNION ALL SELECT 3, 'invalid', arg_max(path, (last_analyzed_utc, -ord)) FILTER (week AND contains(name, '(1')) FROM named
-  UNION ALL SELECT 4, 'late', NULL UNION ALL SELECT 5, 'never', NULL)"""
-)
-
-
 @query(
     "cadence",
     _CADENCE_SQL,

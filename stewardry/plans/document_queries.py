@@ -21,6 +21,7 @@ from ..functions.text import (
     tags_cell,
 )
 from ..functions.times import as_timestamp, in_period, iso_utc, parse_utc, report_time
+from ..operators.category_tables import resolve_category_table
 from ..operators.classify import classify, extract_json, handling_hints, parse_handling, quality_flags, validate_classification
 from ..operators.governance import (
     activity_rows,
@@ -61,7 +62,7 @@ def corpus_view(spark: SparkSession, sf: str) -> DataFrame:
     sql=rf"""SELECT path, {c.NAME_SQL} AS basename, {c.FOLDER_SQL} AS folder, regexp_extract(path, '\.[^.]*$') AS ext,
       {c.KEY_SQL} AS group_key,
       lower(regexp_replace(regexp_replace(regexp_replace(regexp_extract(path, '([^/]*)\.[^.]*$', 1), ' \(1\)$', ''), ' - copy$', ''), '_v2$', '')) AS stem,
-      substr(sha256, 1, 12) AS sha12, CAST(2 AS BIGINT) AS depth, source = 'src1' AS excluded, lang IN ('en', 'fr') AS allowed
+      substr(sha256, 1, 12) AS sha12, CAST(CASE WHEN source = 'src1' THEN 1 WHEN lang = 'fr' AND source = 'src2' THEN 0 ELSE 2 END AS BIGINT) AS depth, source = 'src1' AS excluded, lang IN ('en', 'fr') AS allowed
       FROM corpus""",
 )
 def path_parts(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,7 +76,7 @@ def path_parts(spark: SparkSession, sf: str) -> DataFrame:
         lineage_group_key(name).alias("group_key"),
         normalize_stem(name).alias("stem"),
         sha_prefix("sha256").alias("sha12"),
-        parent_depth("path", ["/corpus", "/elsewhere"]).cast("long").alias("depth"),
+        parent_depth("path", ["/corpus", "/corpus/src1/", "/corpus/src2/fr", "/elsewhere"]).cast("long").alias("depth"),
         in_excluded_dir("path", ["SRC1"]).alias("excluded"),
         (F.col("lang").isin("en", "fr") & path_allowed("path", ["/corpus"]) & ~path_allowed("path", ["/corp"])).alias("allowed"),
     )
@@ -85,11 +86,11 @@ def path_parts(spark: SparkSession, sf: str) -> DataFrame:
     "normalized_paths",
     sql=r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS rest FROM pages)
       SELECT page_id, '/a/b' || regexp_replace(rtrim(rest, '/'), '/[^/]*$', '') || '/z' AS path,
-        '\\host\share' || replace(rtrim(rest, '/'), '/', '\') AS share_path, TRUE AS unc FROM p""",
+        CASE WHEN page_id % 2 = 0 THEN '\\host\share' || replace(rtrim(rest, '/'), '/', '\') ELSE '/host/share' || rtrim(rest, '/') END AS share_path, page_id % 2 = 0 AS unc FROM p""",
 )
 def normalized_paths(spark: SparkSession, sf: str) -> DataFrame:
     rest = F.regexp_extract("url", r"^[a-z]+://[^/]+(/[^?#]*)", 1)
-    share = F.concat(F.lit("//host/share"), rest)
+    share = F.concat(F.when(F.col("page_id") % 2 == 0, "//host/share").otherwise("/host/share"), rest)
     return c.table(spark, sf, "pages").select(
         "page_id",
         normalize_path(F.concat(F.lit(" /a/./b"), rest, F.lit("/../z"))).alias("path"),
@@ -221,7 +222,7 @@ _EVALUATED_SQL = (
     + r""",
 evaluated AS (
   SELECT path, substr(path, 9) AS rel_path, CASE WHEN length NOT BETWEEN 300 AND 20000 THEN 'filtered_out'
-    WHEN path LIKE '%.docx' THEN 'extract_skip' WHEN source = 'src3' THEN 'infer_error' ELSE 'ok' END AS status,
+    WHEN path LIKE '%.docx' THEN 'extract_skip' WHEN ord % 17 = 0 THEN 'empty_text' WHEN source = 'src3' THEN 'infer_error' ELSE 'ok' END AS status,
     length, length(text) AS chars, * EXCLUDE (path, length)
   FROM files)"""
 )
@@ -235,14 +236,30 @@ def _evaluate(spark: SparkSession, sf: str) -> DataFrame:
         "inference_reason",
         F.when(F.col("source") == "src3", "timed out").alias("infer_error"),
     )
-    return batch_evaluation(c.extracted(spark, sf).join(answers, "path"), "/corpus", **c.ROUTE)
+    return batch_evaluation(c.blanked(c.extracted(spark, sf)).join(answers, "path"), "/corpus", **c.ROUTE)
+
+
+@query(
+    "batch_extraction",
+    _EVALUATED_SQL,
+    """,
+past AS (SELECT path FROM evaluated WHERE status <> 'filtered_out' ORDER BY path LIMIT 1 OFFSET 60)""",
+    sql="""SELECT rel_path, CASE WHEN status IN ('infer_error', 'ok') THEN 'extract_ok' ELSE status END AS status,
+      CAST(CASE WHEN status IN ('extract_skip', 'empty_text') THEN 0 WHEN status <> 'filtered_out' THEN chars END AS BIGINT) AS extract_chars
+      FROM evaluated WHERE path < coalesce((SELECT path FROM past), '~')""",
+)
+def extraction(spark: SparkSession, sf: str) -> DataFrame:
+    """Text extraction alone; the run ends at a number of files, which is what the limit is for."""
+    texts = c.blanked(c.extracted(spark, sf))
+    found = batch_evaluation(texts, "/corpus", **c.ROUTE, extract_only=True, limit=60)
+    return found.select("rel_path", "status", F.col("extract_chars").cast("long").alias("extract_chars"))
 
 
 @query(
     "batch_evaluation",
     _EVALUATED_SQL,
     sql="""SELECT path, rel_path, status, CASE WHEN status <> 'filtered_out' THEN length END AS file_size_bytes,
-      CAST(CASE WHEN status = 'extract_skip' THEN 0 WHEN status <> 'filtered_out' THEN chars END AS BIGINT) AS extract_chars,
+      CAST(CASE WHEN status IN ('extract_skip', 'empty_text') THEN 0 WHEN status <> 'filtered_out' THEN chars END AS BIGINT) AS extract_chars,
       CASE status WHEN 'extract_skip' THEN 'unsupported extension: .docx' WHEN 'infer_error' THEN 'timed out' ELSE '' END AS skip_or_error,
       CASE WHEN status = 'ok' THEN lang || ';' || source ELSE '' END AS infer_tags,
       CASE WHEN status = 'ok' THEN model_security_level ELSE '' END AS security_level,
@@ -547,3 +564,34 @@ def rule_table_hits(spark: SparkSession, sf: str) -> DataFrame:
     number = spark.createDataFrame([(0, "number", "[0-9]{3}-[0-9]{2}-[0-9]{4}", None, "P1", "")], rules.schema)
     hits = match_rule_table(files.select("path", "text"), rules.unionByName(number))
     return hits.select("path", F.array_join(F.transform("hits", lambda h: h["id"]), ",").alias("hits"))
+
+
+@query(
+    "category_table",
+    c.CORPUS_SQL,
+    """,
+stated AS (
+  SELECT path, CASE ord % 3 WHEN 0 THEN [ord * 7919 % 60000, ord % 60000, ord * 104729 % 60000, ord % 60000, 59999] WHEN 1 THEN [ord * 613 % 60000]
+    ELSE [ord * 31 % 60000] END AS ids, ord % 3 AS kind FROM corpus),
+numbered AS (SELECT path, kind, unnest(ids) AS id, unnest(range(len(ids))) AS pos FROM stated),
+kept AS (
+  SELECT path, pos, id FROM numbered WHERE (id >= 50000 AND kind < 2) OR (id < 50000 AND pos = (SELECT min(o.pos) FROM numbered o WHERE o.path = numbered.path AND o.id = numbered.id))),
+found AS (
+  SELECT path, list(CASE WHEN id >= 50000 THEN 'uncategorized' ELSE 'c' || id END ORDER BY pos) AS ids,
+    list(CASE WHEN id >= 50000 THEN 'uncategorized' ELSE 'Category ' || id END ORDER BY pos) AS labels FROM kept GROUP BY path)""",
+    sql="""SELECT path, array_to_string(coalesce(ids, ['uncategorized']), ',') AS ids, array_to_string(coalesce(labels, ['uncategorized']), ',') AS labels,
+      list_contains(coalesce(ids, ['uncategorized']), 'uncategorized') AS needs_review FROM corpus LEFT JOIN found USING (path)""",
+)
+def category_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A catalog of 50,000 categories; a sixth of the proposals is not in it."""
+    catalog = spark.range(50_000).select(F.col("id").alias("ord"), F.concat(F.lit(" c"), "id").alias("id"), F.concat(F.lit("Category "), "id").alias("label"))
+    of = lambda n: F.concat(F.lit("c"), (F.col("ord") * n % 60_000).cast("string"))
+    kind = F.col("ord") % 3
+    files = c.corpus(spark, sf).select(
+        "path",
+        F.when(kind == 0, F.array(of(7919), of(1), of(104729), of(1), F.lit("c59999"), F.lit(" "))).alias("proposed_ids"),
+        F.when(kind == 1, of(613)).alias("proposed_id"),
+        F.array(F.col("lang"), of(31)).alias("model_tags"),
+    )
+    found = resolve_category_table(files, catalog)
+    return found.select("path", F.array_join("ids", ",").alias("ids"), F.array_join("labels", ",").alias("labels"), "needs_review")

@@ -79,23 +79,23 @@ def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_categories(spark: SparkSession, path: str, limit: int = 10_000) -> Catalog | None:
-    """The category catalog, or None without categories. A catalog is configuration: more than
-    ``limit`` entries are an error, not data to be brought to the driver."""
+def read_category_table(spark: SparkSession, path: str) -> DataFrame:
+    """``mode, ord, id, label`` of the categories of a catalog of any size, for
+    :func:`operators.category_tables.resolve_category_table`."""
     doc = _documents(spark, path).select(
         F.from_json("value", "struct<mode:string,categories:array<struct<id:string,label:string>>>").alias("s")
     )
-    rows = (
-        doc.select("s.mode", F.posexplode("s.categories").alias("ord", "c"))
-        .withColumn("id", strip("c.id"))
-        .filter(F.col("id") != "")
-        .orderBy("ord")
-        .select("mode", "id", F.coalesce("c.label", F.lit("")).alias("label"))
-        .limit(limit + 1)
-        .collect()
-    )
+    rows = doc.select(F.coalesce("s.mode", F.lit("single")).alias("mode"), F.posexplode("s.categories").alias("ord", "c"))
+    named = rows.select("mode", "ord", strip("c.id").alias("id"), F.coalesce("c.label", F.lit("")).alias("label"))
+    return named.filter(F.coalesce("id", F.lit("")) != "")
+
+
+def read_categories(spark: SparkSession, path: str, limit: int = 10_000) -> Catalog | None:
+    """The category catalog as configuration, or None without categories. Expressions carry it, so
+    more than ``limit`` entries are an error; :func:`read_category_table` has no limit."""
+    rows = read_category_table(spark, path).orderBy("ord").limit(limit + 1).collect()
     if len(rows) > limit:
-        raise ValueError(f"more than {limit} categories")
+        raise ValueError(f"more than {limit} categories: use them as a table")
     if not rows:
         return None
     return Catalog(tuple(Category(r.id, r.label) for r in rows), rows[0].mode or "single")
