@@ -579,12 +579,12 @@ conversations AS (
     CASE WHEN bool_or(group_key IN (SELECT group_key FROM multi)) THEN 'mixed' ELSE 'conversation' END AS kind,
     regexp_extract(folder, '[^/]*$') AS title, folder, arg_min(path, pos) AS latest_path, max(last_analyzed_utc) AS last_utc,
     count(*) AS member_count, count(*) FILTER (CAST(last_analyzed_utc AS DATE) = DATE '2024-01-01') AS today_n,
-    min(security_level) AS max_security, arg_min(summary, pos) AS one_liner, 0 AS k, 0 AS size, first_ord AS f, '' AS gk
+    min(security_level) AS max_security, arg_min(coalesce(last_change_summary, summary), pos) AS one_liner, 0 AS k, 0 AS size, first_ord AS f, '' AS gk
   FROM shown GROUP BY folder, first_ord HAVING count(*) >= 2),
 threads AS MATERIALIZED (SELECT * FROM (
   SELECT * FROM conversations UNION ALL
   SELECT 'ver:' || substr(group_key, 1, 80), 'version', group_key, NULL, arg_min(path, pos), max(last_analyzed_utc), count(*),
-    count(*) FILTER (CAST(last_analyzed_utc AS DATE) = DATE '2024-01-01'), min(security_level), arg_min(summary, pos), 1, size, 0, group_key
+    count(*) FILTER (CAST(last_analyzed_utc AS DATE) = DATE '2024-01-01'), min(security_level), arg_min(coalesce(last_change_summary, summary), pos), 1, size, 0, group_key
   FROM listed GROUP BY group_key, size)
   ORDER BY last_utc DESC, k, size DESC, f, gk LIMIT 40)"""
 _THREADS_SQL = c.MEMBERS_SQL + _FOLDERS_SQL
