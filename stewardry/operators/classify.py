@@ -41,15 +41,24 @@ def fallback_classification() -> Column:
     ).cast(CLASSIFICATION_TYPE)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once per row, however often ``use`` names it. A plain expression
+    would be computed once for each mention, which multiplies from step to step of a long answer."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def extract_json(raw: ColumnOrName) -> Column:
     """The first fenced block if there is one, then from its first ``{`` to its last ``}``; else null."""
-    text = strip(F.coalesce(col(raw), F.lit("")))
     fence = r"(?is)```(?:json)?\s*(.*?)```"
-    body = F.when(text.rlike(fence), strip(F.regexp_extract(text, fence, 1))).otherwise(text)
-    start = F.locate("{", body)
-    end = F.length(body) - F.locate("}", F.reverse(body)) + 1
-    found = (start > 0) & body.contains("}") & (end > start)
-    return F.when(found, F.substring(body, start, end - start + 1))
+
+    def between(body: Column) -> Column:
+        start = F.locate("{", body)
+        end = F.length(body) - F.locate("}", F.reverse(body)) + 1
+        found = (start > 0) & body.contains("}") & (end > start)
+        return F.when(found, F.substring(body, start, end - start + 1))
+
+    unfenced = lambda text: F.when(text.rlike(fence), strip(F.regexp_extract(text, fence, 1))).otherwise(text)
+    return _once(strip(F.coalesce(col(raw), F.lit(""))), lambda text: _once(unfenced(text), between))
 
 
 def _string_list(doc: Column, key: str) -> Column:
@@ -71,26 +80,36 @@ def _text(doc: Column, key: str) -> Column:
 
 def validate_classification(json_text: ColumnOrName) -> Column:
     """``{valid, error, result}`` for one JSON answer."""
-    doc = F.try_parse_json(col(json_text))
-    tags, level, summary = _string_list(doc, "tags"), _text(doc, "security_level"), _text(doc, "summary")
-    category_field = F.try_variant_get(doc, "$.category_ids", "variant")
-    category_ids = F.when(F.schema_of_variant(category_field).startswith("ARRAY"), _string_list(doc, "category_ids"))
-    error = (
-        F.when(col(json_text).isNull(), F.lit("no_json_object"))
-        .when(doc.isNull(), F.lit("bad_json"))
-        .when(tags.isNull(), F.lit("tags_not_a_list"))
-        .when(F.size(tags) == 0, F.lit("tags_empty"))
-        .when(~level.rlike(LEVEL_PATTERN), F.lit("bad_security_level"))
-        .when(summary == "", F.lit("summary_empty"))
-    )
-    result = F.struct(
-        tags.alias("tags"),
-        level.alias("security_level"),
-        summary.alias("summary"),
-        strip(F.try_variant_get(doc, "$.category_id", "string")).alias("category_id"),
-        category_ids.alias("category_ids"),
-    ).cast(CLASSIFICATION_TYPE)
-    return F.struct(error.isNull().alias("valid"), error.alias("error"), F.when(error.isNull(), result).alias("result"))
+
+    def read(json: Column) -> Column:
+        return _once(F.try_parse_json(json), lambda doc: _once(fields(json, doc), judged))
+
+    def fields(json: Column, doc: Column) -> Column:
+        category_field = F.try_variant_get(doc, "$.category_ids", "variant")
+        category_ids = F.when(F.schema_of_variant(category_field).startswith("ARRAY"), _string_list(doc, "category_ids"))
+        return F.struct(
+            json.isNull().alias("no_json"),
+            doc.isNull().alias("bad_json"),
+            _string_list(doc, "tags").alias("tags"),
+            _text(doc, "security_level").alias("security_level"),
+            _text(doc, "summary").alias("summary"),
+            strip(F.try_variant_get(doc, "$.category_id", "string")).alias("category_id"),
+            category_ids.alias("category_ids"),
+        )
+
+    def judged(f: Column) -> Column:
+        error = (
+            F.when(f["no_json"], F.lit("no_json_object"))
+            .when(f["bad_json"], F.lit("bad_json"))
+            .when(f["tags"].isNull(), F.lit("tags_not_a_list"))
+            .when(F.size(f["tags"]) == 0, F.lit("tags_empty"))
+            .when(~f["security_level"].rlike(LEVEL_PATTERN), F.lit("bad_security_level"))
+            .when(f["summary"] == "", F.lit("summary_empty"))
+        )
+        result = F.struct(*[f[name].alias(name) for name in ("tags", "security_level", "summary", "category_id", "category_ids")]).cast(CLASSIFICATION_TYPE)
+        return F.struct(error.isNull().alias("valid"), error.alias("error"), F.when(error.isNull(), result).alias("result"))
+
+    return _once(col(json_text), read)
 
 
 def _score(df: DataFrame, scorer: Scorer) -> DataFrame:
@@ -182,11 +201,16 @@ def quality_flags(source: ColumnOrName, tags: ColumnOrName, level: ColumnOrName)
 
 def parse_handling(raw: ColumnOrName) -> Column:
     """``{handling_note, sharing}`` from a raw answer; null where there is no note."""
-    doc = F.try_parse_json(extract_json(raw))
-    note = _text(doc, "handling_note")
-    share = strip(F.coalesce(F.try_variant_get(doc, "$.sharing", "string"), F.lit("internal_only")))
-    share = F.when(share.isin(*SHARING_CODES), share).otherwise(F.lit(SHARING_CODES[0]))
-    return F.when(doc.isNotNull() & (note != ""), F.struct(note.alias("handling_note"), share.alias("sharing")))
+    def read(doc: Column) -> Column:
+        stated = strip(F.coalesce(F.try_variant_get(doc, "$.sharing", "string"), F.lit("internal_only")))
+        fields = F.struct(doc.isNotNull().alias("there"), _text(doc, "handling_note").alias("note"), stated.alias("sharing"))
+        return _once(fields, noted)
+
+    def noted(f: Column) -> Column:
+        share = F.when(f["sharing"].isin(*SHARING_CODES), f["sharing"]).otherwise(F.lit(SHARING_CODES[0]))
+        return F.when(f["there"] & (f["note"] != ""), F.struct(f["note"].alias("handling_note"), share.alias("sharing")))
+
+    return _once(F.try_parse_json(extract_json(raw)), read)
 
 
 def handling_hints(docs: DataFrame, scorer: Scorer, part_chars: int = 1200) -> DataFrame:
