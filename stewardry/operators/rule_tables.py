@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 from ..functions.levels import RANK
 from ..functions.literals import required_literals
 from ..functions.patterns import PatternError, java_pattern
+from ..functions.text import distinct_grams
 from ..session import cut_lineage, shuffle_partitions
 from .governance import HITS_TYPE
 
 GRAM = 4
+# So many filed grams, a number and a few bytes each, are broadcast.
+SMALL = 500_000
 _PREPARED = "pattern string, literals array<string>"
 
 
@@ -58,17 +61,17 @@ def _prepared(rules: DataFrame) -> DataFrame:
     return cut_lineage(kept.filter(F.col("pattern").isNotNull() | (F.size("keywords") > 0)))
 
 
-def _grams(text: Column) -> Column:
-    last = F.char_length(text) - (GRAM - 1)
-    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(GRAM)))))
-
-
 def _test(rule: Column, text: Column, lowered: Column) -> Column:
     there = rule["literals"].isNull() | F.exists(rule["literals"], lambda w: F.contains(lowered, w))
     by_pattern = F.coalesce(F.regexp_like(text, F.concat(F.lit("(?imUd)"), rule["pattern"])), F.lit(False))
     return there & (F.exists(rule["keywords"], lambda w: F.contains(lowered, w)) | by_pattern)
 
 
+def _small(filed: DataFrame) -> DataFrame:
+    """With few rows, sent to every task: the grams of the texts, which are many, are then not shuffled."""
+    return F.broadcast(filed) if filed.limit(SMALL + 1).count() <= SMALL else filed
+
+
 def match_rule_table(texts: DataFrame, rules: DataFrame, key: str = "path") -> DataFrame:
     """``key, hits`` of the rows of ``texts(key, text)`` that rules hit; hits in the order of ``ord``.
 
@@ -76,7 +79,7 @@ def match_rule_table(texts: DataFrame, rules: DataFrame, key: str = "path") -> D
     """
     rules = _prepared(rules)
     literals = rules.filter(F.col("literals").isNotNull()).select("ord", F.explode("literals").alias("literal")).select(
-        "ord", "literal", F.explode(_grams(F.col("literal"))).alias("gram")
+        "ord", "literal", F.explode(distinct_grams("literal", GRAM)).alias("gram")
     )
     # Of a literal's grams the one that fewest literals have, so that no gram stands for many.
     load = literals.groupBy("gram").agg(F.count(F.lit(1)).alias("load"))
@@ -84,13 +87,14 @@ def match_rule_table(texts: DataFrame, rules: DataFrame, key: str = "path") -> D
     # Every text looks up one of the grams that no text has, where the rules without literals are.
     salts = shuffle_partitions(rules.sparkSession)
     open_rules = rules.filter(F.col("literals").isNull()).select("ord", F.explode(F.array(*[F.lit(f"\0{i}") for i in range(salts)])).alias("gram"))
-    filed = cut_lineage(least.select("ord", "gram").unionByName(open_rules).distinct())
+    filed = _small(cut_lineage(least.select("ord", "gram").unionByName(open_rules).distinct()))
     any_gram = F.concat(F.lit("\0"), F.pmod(F.xxhash64(key), F.lit(salts)).cast("string"))
-    own = F.concat(F.array(any_gram), F.coalesce(_grams(F.lower("text")), F.array().cast("array<string>")))
+    own = F.concat(F.array(any_gram), distinct_grams(F.lower("text"), GRAM))
     wanted = texts.select(key, F.explode(own).alias("gram")).join(filed, "gram").select(key, "ord").distinct()
     rule = F.struct("ord", "id", "hint", "min_level", "pattern", "literals", "keywords")
     asked = wanted.join(rules, "ord").groupBy(key).agg(F.sort_array(F.collect_list(rule)).alias("_asked"))
     met = texts.select(key, F.coalesce("text", F.lit("")).alias("text"), F.lower(F.coalesce("text", F.lit(""))).alias("lowered")).join(asked, key)
     hit = F.filter("_asked", lambda r: _test(r, F.col("text"), F.col("lowered")))
     shown = F.transform(hit, lambda r: F.struct(r["id"].alias("id"), r["hint"].alias("hint"), r["min_level"].alias("min_level")))
-    return met.select(key, shown.cast(HITS_TYPE).alias("hits")).filter(F.size("hits") > 0)
+    # As a generated column: a filter on a computed one would run the patterns a second time.
+    return met.select(key, F.explode(F.array(shown.cast(HITS_TYPE))).alias("hits")).filter(F.size("hits") > 0)
