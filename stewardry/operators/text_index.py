@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.literals import required_literals
+from ..functions.text import distinct_grams
 from ..session import cut_lineage, shuffle_partitions
 from ..sources.sinks import write_batch
 from .search import matching, search_blob
@@ -26,12 +27,6 @@ BLOCK_BITS = 16
 RAREST = 4
 
 
-def _grams(text: Column) -> Column:
-    last = F.char_length(text) - (GRAM - 1)
-    some = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(GRAM)))
-    return F.when(last >= 1, F.array_distinct(some)).otherwise(F.array().cast("array<string>"))
-
-
 def _gaps(numbers: Column) -> Column:
     """A sorted array as its first number and the distances between neighbours."""
     return F.transform(numbers, lambda x, i: F.when(i == 0, x).otherwise(x - F.get(numbers, i - 1)))
@@ -69,7 +64,7 @@ class TextIndex:
         folder = f"{self.root}/rows/segment={segment}"
         files.withColumn("n", F.monotonically_increasing_id()).write.mode("overwrite").parquet(folder)
         rows = self.spark.read.parquet(folder)
-        single = rows.select("n", F.explode(_grams(F.lower(search_blob()))).alias("gram"))
+        single = rows.select("n", F.explode(distinct_grams(F.lower(search_blob()), GRAM)).alias("gram"))
         low = F.col("n").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int")
         posting = single.groupBy("gram", F.shiftright("n", BLOCK_BITS).alias("block")).agg(F.array_sort(F.collect_list(low)).alias("ns"))
         coded = posting.select("gram", "block", F.size("ns").alias("size"), _gaps(F.col("ns")).alias("gaps"))
