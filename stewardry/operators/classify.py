@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.levels import LEVEL_PATTERN
-from ..functions.text import ColumnOrName, col, strip
+from ..functions.text import ColumnOrName, col, once, strip
 from ..session import cut_lineage
 from .governance import FALLBACK_SOURCE, SHARING_CODES, by_model
 
@@ -41,12 +41,6 @@ def fallback_classification() -> Column:
     ).cast(CLASSIFICATION_TYPE)
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once per row, however often ``use`` names it. A plain expression
-    would be computed once for each mention, which multiplies from step to step of a long answer."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def extract_json(raw: ColumnOrName) -> Column:
     """The first fenced block if there is one, then from its first ``{`` to its last ``}``; else null."""
     fence = r"(?is)```(?:json)?\s*(.*?)```"
@@ -58,7 +52,7 @@ def extract_json(raw: ColumnOrName) -> Column:
         return F.when(found, F.substring(body, start, end - start + 1))
 
     unfenced = lambda text: F.when(text.rlike(fence), strip(F.regexp_extract(text, fence, 1))).otherwise(text)
-    return _once(strip(F.coalesce(col(raw), F.lit(""))), lambda text: _once(unfenced(text), between))
+    return once(strip(F.coalesce(col(raw), F.lit(""))), lambda text: once(unfenced(text), between))
 
 
 def _string_list(doc: Column, key: str) -> Column:
@@ -82,7 +76,7 @@ def validate_classification(json_text: ColumnOrName) -> Column:
     """``{valid, error, result}`` for one JSON answer."""
 
     def read(json: Column) -> Column:
-        return _once(F.try_parse_json(json), lambda doc: _once(fields(json, doc), judged))
+        return once(F.try_parse_json(json), lambda doc: once(fields(json, doc), judged))
 
     def fields(json: Column, doc: Column) -> Column:
         category_field = F.try_variant_get(doc, "$.category_ids", "variant")
@@ -109,7 +103,7 @@ def validate_classification(json_text: ColumnOrName) -> Column:
         result = F.struct(*[f[name].alias(name) for name in ("tags", "security_level", "summary", "category_id", "category_ids")]).cast(CLASSIFICATION_TYPE)
         return F.struct(error.isNull().alias("valid"), error.alias("error"), F.when(error.isNull(), result).alias("result"))
 
-    return _once(col(json_text), read)
+    return once(col(json_text), read)
 
 
 def _score(df: DataFrame, scorer: Scorer) -> DataFrame:
@@ -204,13 +198,13 @@ def parse_handling(raw: ColumnOrName) -> Column:
     def read(doc: Column) -> Column:
         stated = strip(F.coalesce(F.try_variant_get(doc, "$.sharing", "string"), F.lit("internal_only")))
         fields = F.struct(doc.isNotNull().alias("there"), _text(doc, "handling_note").alias("note"), stated.alias("sharing"))
-        return _once(fields, noted)
+        return once(fields, noted)
 
     def noted(f: Column) -> Column:
         share = F.when(f["sharing"].isin(*SHARING_CODES), f["sharing"]).otherwise(F.lit(SHARING_CODES[0]))
         return F.when(f["there"] & (f["note"] != ""), F.struct(f["note"].alias("handling_note"), share.alias("sharing")))
 
-    return _once(F.try_parse_json(extract_json(raw)), read)
+    return once(F.try_parse_json(extract_json(raw)), read)
 
 
 def handling_hints(docs: DataFrame, scorer: Scorer, part_chars: int = 1200) -> DataFrame:
