@@ -14,6 +14,7 @@ from ..functions.times import as_timestamp, utc_day
 from .cadence import CadenceRule, evaluate_cadence
 from .groups import top_per_group
 from .threads import threads_top
+from ..session import cut_lineage
 from .versions import recent_changes
 
 
@@ -208,8 +209,9 @@ def digest_payload(
     aggregate over their union.
     """
     names = {**DEFAULT_LABELS, **(labels or {})}
-    row = metrics_row(metrics(files, skips, audit, as_of))
-    cadence = evaluate_cadence(files, rules, as_of) if rules else None
+    # One row, and one per rule, read by several parts: counted once.
+    row = cut_lineage(metrics_row(metrics(files, skips, audit, as_of)))
+    cadence = cut_lineage(evaluate_cadence(files, rules, as_of)) if rules else None
     empty = F.lit(None)
     text = lambda kind, df, order, value: df.select(
         F.lit(kind).alias("kind"), order.cast("long").alias("at"), value.cast("string").alias("text")
