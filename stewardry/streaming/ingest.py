@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -26,6 +26,7 @@ from ..operators.governance import (
     resolve_categories,
     rule_hint_block,
 )
+from ..operators.groups import previous_in_group, top_per_group
 from ..operators.routing import checked, route, skip_events
 from ..operators.versions import adopt_renames
 from ..schema import FILES, OVERRIDES, with_columns_of
@@ -52,6 +53,9 @@ class IngestSettings:
     rules: Sequence[Rule] = ()
     catalog: Catalog | None = None
     clock: Callable[[], datetime] = lambda: datetime.now(timezone.utc)
+    # Column of the found rows with the time at which each was taken in. A batch may then hold several versions
+    # of a file, each judged against the one before it, as if every time had been a batch of its own.
+    at: str | None = None
 
 
 HASHES = T.StructType([f for f in FILES.fields if f.name in ("path", "sha256", "file_id", "last_analyzed_utc", "last_checked_utc")])
@@ -91,8 +95,10 @@ def process_batch(
     paths that exist now, from the buckets of their hashes: renamed files keep their id.
     """
     spark = found.sparkSession
+    if settings.at is not None and live is not None:
+        raise ValueError("renames are looked for in batches of one version a file")
     now = settings.clock()
-    at = as_timestamp(now)
+    at = as_timestamp(now) if settings.at is None else F.col(settings.at)
     files, by_hash = current_files(spark, root), _by_hash(spark, root)
     current = files.read(batch_id, files.touched(found))
     listed = found.filter(~in_excluded_dir("path", settings.exclude_dirs))
@@ -105,6 +111,8 @@ def process_batch(
     )
     # Extraction runs once; everything below reads its written result.
     routed = cut_lineage(route(texts, current.select("path", "sha256"), settings.extensions, settings.min_bytes, settings.max_bytes))
+    if settings.at is not None:
+        routed = cut_lineage(_stepwise(routed, settings.at))
     order = F.lit(batch_id) * F.lit(2**40) + F.pmod(F.xxhash64("path"), F.lit(2**40))
     routed = routed.withColumn("ord", order)
 
@@ -140,9 +148,10 @@ def process_batch(
     known = current.select("path", *[F.col(c).alias(f"_old_{c}") for c in ("file_id", "sha256", "summary", "summary_history")])
     made_id = F.substring(F.sha2(F.concat_ws("\x1f", "path", "sha256", F.lit(str(batch_id))), 256), 1, 32)
     versions = (
-        governed.join(known, "path", "left")
+        _with_old(governed, known, made_id, settings.at)
         .withColumn("file_id", F.coalesce("_old_file_id", made_id))
-        .withColumns(_history_columns(at, settings.history_entries))
+        .withColumns(_change_columns(at))
+        .withColumn("summary_history", _history(settings.history_entries, settings.at))
         .withColumn("last_analyzed_utc", at)
         .withColumn("last_checked_utc", at)
     )
@@ -158,9 +167,19 @@ def process_batch(
         written, gone = cut_lineage(with_columns_of(carried, FILES).unionByName(new_versions)), old.select("path", "sha256")
         write_batch(moves, f"{root}/file_moves", batch_id)
     write_batch(written, f"{root}/file_versions", batch_id)
-    seen = checked(routed, at).select("path")
-    rechecked = current.join(seen, "path", "left_semi").withColumn("last_checked_utc", at)
-    files.replace(batch_id, written.unionByName(rechecked.select(FILES.names)), gone)
+    if settings.at is None:
+        seen = checked(routed, at).select("path")
+        rechecked = current.join(seen, "path", "left_semi").withColumn("last_checked_utc", at)
+        state = written.unionByName(rechecked.select(FILES.names))
+    else:
+        written = cut_lineage(top_per_group(written, ["path"], [F.col("last_analyzed_utc").desc(), F.col("sha256").desc()], 1).drop("rn"))
+        seen = checked(routed, at).groupBy("path").agg(F.max("checked_utc").alias("_seen"))
+        rechecked = current.join(seen, "path", "left_semi").join(written, "path", "left_anti")
+        state = (
+            written.unionByName(rechecked.select(FILES.names)).join(seen, "path", "left")
+            .withColumn("last_checked_utc", F.greatest("last_checked_utc", "_seen")).select(FILES.names)
+        )
+    files.replace(batch_id, state, gone)
     # The hash that a new version replaces, and the one that a renamed file leaves, are given up.
     given_up = current.select("path", "sha256").join(written.select("path"), "path", "left_semi")
     by_hash.replace(batch_id, written.select(HASHES.names), given_up if gone is None else given_up.unionByName(gone))
@@ -171,8 +190,31 @@ def process_batch(
     write_batch(build_report(new_versions, settings.catalog), f"{root}/classification_report", batch_id)
 
 
-def _history_columns(at: Column, entries: int) -> dict[str, Column]:
-    """Change line and history of a new version, against the stored version of its path.
+def _stepwise(routed: DataFrame, at: str) -> DataFrame:
+    """Outcomes of a batch with several versions of a file: unchanged is what equals the version before."""
+    readable = F.col("outcome").isin("skip_hash", "classify")
+    version = ["path", at, "sha256"]
+    # Versions that cannot be read or are empty are passed over.
+    steps = routed.filter(readable).select(*version, "prev_sha256").distinct()
+    before = previous_in_group(steps, ["path"], [at, "sha256"], {"_before": F.col("sha256")})
+    held = before.select(*version, F.coalesce("_before", "prev_sha256").alias("_held"))
+    decided = F.when(F.col("_held") == F.col("sha256"), "skip_hash").otherwise("classify")
+    return routed.join(held, version, "left").withColumn("outcome", F.when(readable, decided).otherwise(F.col("outcome"))).drop("_held")
+
+
+def _with_old(governed: DataFrame, known: DataFrame, made_id: Column, at: str | None) -> DataFrame:
+    """The version that each new one follows, as ``_old_`` columns: the stored one, or one of the batch."""
+    joined = governed.join(known, "path", "left")
+    if at is None:
+        return joined
+    order = Window.partitionBy("path").orderBy(at, "sha256")
+    first = F.row_number().over(order) == 1
+    old = {f"_old_{c}": F.when(first, F.col(f"_old_{c}")).otherwise(F.lag(c).over(order)) for c in ("sha256", "summary")}
+    return joined.drop("text").withColumns({"_old_file_id": F.coalesce("_old_file_id", F.first(made_id).over(order)), **old})
+
+
+def _change_columns(at: Column) -> dict[str, Column]:
+    """Change line and history entry of a new version, against the version that it follows.
 
     Old texts are not kept, so a change is told by the summary, else by the hash alone.
     """
@@ -183,12 +225,17 @@ def _history_columns(at: Column, entries: int) -> dict[str, Column]:
     entry = F.struct(
         F.col("sha256").alias("sha256"), F.col("summary").alias("summary"), at.alias("utc"), F.when(changed, line).alias("change_summary")
     )
+    return {"last_change_summary": F.when(changed, line), "last_change_utc": F.when(changed, at), "_entry": entry}
+
+
+def _history(entries: int, at: str | None) -> Column:
+    """The stored history and the entries up to the version's own, the newest ``entries`` of them."""
+    added = F.array("_entry")
+    if at is not None:
+        added = F.collect_list("_entry").over(Window.partitionBy("path").orderBy(at, "sha256").rowsBetween(1 - entries, 0))
     before = F.coalesce("_old_summary_history", F.array().cast(FILES["summary_history"].dataType))
-    return {
-        "last_change_summary": F.when(changed, line),
-        "last_change_utc": F.when(changed, at),
-        "summary_history": F.slice(F.concat(before, F.array(entry)), -F.least(F.size(before) + 1, F.lit(entries)), entries),
-    }
+    whole = F.concat(before, added)
+    return F.slice(whole, -F.least(F.size(whole), F.lit(entries)), entries)
 
 
 def _audit_rows(versions: DataFrame, texts: DataFrame, settings: IngestSettings) -> DataFrame:
