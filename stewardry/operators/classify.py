@@ -6,7 +6,7 @@ validation of the answers are Spark expressions; only the scorer itself runs in
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -107,14 +107,13 @@ def validate_classification(json_text: ColumnOrName) -> Column:
 
 
 def _score(df: DataFrame, scorer: Scorer) -> DataFrame:
-    """``sha256, hint, raw``; an exception of the scorer fails the task, which Spark retries."""
+    """``df`` with ``raw`` for its ``text, hint``; an exception of the scorer fails the task, which Spark retries."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            raw = scorer(batch["text"].tolist(), batch["hint"].tolist())
-            yield batch[["sha256", "hint"]].assign(raw=list(raw))
+    @F.pandas_udf("string")
+    def ask(text: pd.Series, hint: pd.Series) -> pd.Series:
+        return pd.Series(list(scorer(text.tolist(), hint.tolist())), dtype=object)
 
-    return df.select("sha256", "text", "hint").mapInPandas(run, "sha256 string, hint string, raw string")
+    return df.withColumn("raw", ask.asNondeterministic()("text", "hint"))
 
 
 def _in_parts(contents: DataFrame, chars: int) -> DataFrame:
@@ -140,8 +139,8 @@ def classify(
 
     Equal contents are scored once, and whole: a text longer than ``part_chars`` is scored in
     parts, of which the most sensitive level, all tags and categories, and the first summary
-    count. Answers are written out before they are parsed, so that the scorer never runs twice
-    for one part within a pass; invalid ones get one second pass.
+    count. Answers are written out with the texts of the invalid ones, which get one second pass,
+    so that the scorer never runs twice for one part within a pass, and texts move once.
     """
     if scorer is None:
         return docs.select(
@@ -151,30 +150,34 @@ def classify(
             F.lit("no_scorer").alias("inference_reason"),
         )
     contents = docs.groupBy("sha256").agg(F.first(F.coalesce("text", F.lit(""))).alias("text"), F.min("hint").alias("hint"))
-    parts = cut_lineage(_in_parts(contents, part_chars))
-    checked = lambda df, name: df.select("sha256", validate_classification(extract_json("raw")).alias(name))
-    first = cut_lineage(checked(_score(parts, scorer), "check"))
-    failed = first.filter(~F.col("check.valid")).select("sha256")
-    again = parts.join(failed, "sha256", "left_semi").withColumn("hint", F.concat_ws("\n\n", "hint", F.lit(RETRY_HINT)))
-    second = cut_lineage(checked(_score(again, scorer), "retry"))
-    each = _of_part(first.join(second, "sha256", "left")).withColumn("found", F.coalesce("check.result", "retry.result"))
-    by_part = lambda value: F.transform(F.array_sort(F.collect_list(F.when(F.col("found").isNotNull(), F.struct("part", value.alias("v"))))), lambda e: e["v"])
+
+    def answered(parts: DataFrame) -> DataFrame:
+        checked = _score(parts, scorer).select("*", validate_classification(extract_json("raw")).alias("check"))
+        unread = F.when(~F.col("check.valid"), F.col("text"))
+        return cut_lineage(checked.select("sha256", "hint", unread.alias("text"), F.col("check.result").alias("found"), "check.valid"))
+
+    first = answered(_in_parts(contents, part_chars))
+    failed = first.filter(~F.col("valid")).select("sha256", "text", F.concat_ws("\n\n", "hint", F.lit(RETRY_HINT)).alias("hint"))
+    of_pass = lambda df, again: df.select("sha256", "found", F.lit(again).alias("again"))
+    each = _of_part(of_pass(first.filter("valid"), False).union(of_pass(answered(failed), True)))
     merged = each.groupBy("sha256").agg(
-        F.struct(
-            F.array_distinct(F.flatten(by_part(F.col("found.tags")))).alias("tags"),
-            F.min("found.security_level").alias("security_level"),
-            F.get(by_part(F.col("found.summary")), F.lit(0)).alias("summary"),
-            F.get(by_part(F.col("found.category_id")), F.lit(0)).alias("category_id"),
-            F.array_distinct(F.flatten(F.filter(by_part(F.col("found.category_ids")), lambda x: x.isNotNull()))).alias("category_ids"),
-        ).cast(CLASSIFICATION_TYPE).alias("all"),
+        F.array_sort(F.collect_list(F.when(F.col("found").isNotNull(), F.struct("part", "found")))).alias("found"),
         F.count("found").alias("good"),
         F.count(F.lit(1)).alias("parts"),
-        F.count(F.when(~F.col("check.valid"), 1)).alias("asked_again"),
+        F.count(F.when(F.col("again"), 1)).alias("asked_again"),
     )
+    by_part = lambda name: F.transform("found", lambda e: e["found"][name])
+    everything = F.struct(
+        F.array_distinct(F.flatten(by_part("tags"))).alias("tags"),
+        F.array_min(by_part("security_level")).alias("security_level"),
+        F.get(by_part("summary"), F.lit(0)).alias("summary"),
+        F.get(by_part("category_id"), F.lit(0)).alias("category_id"),
+        F.array_distinct(F.flatten(F.filter(by_part("category_ids"), lambda x: x.isNotNull()))).alias("category_ids"),
+    ).cast(CLASSIFICATION_TYPE)
     some = F.col("good") > 0
     answers = merged.select(
         "sha256",
-        F.when(some, F.col("all")).otherwise(fallback_classification()).alias("result"),
+        F.when(some, everything).otherwise(fallback_classification()).alias("result"),
         F.when(some, F.lit(source)).otherwise(FALLBACK_SOURCE).alias("inference_source"),
         F.when(~some, "json_or_schema_failed")
         .when(F.col("good") < F.col("parts"), "some_parts_failed")
